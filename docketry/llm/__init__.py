@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: module, query name
 OPERATORS = (
+    ("maxscore", "op2_maxscore"),
     ("mixing", "op8_mixing"),
+    ("warc", "op9_warc"),
     ("sharding", "op10_sharding"),
 )
 
