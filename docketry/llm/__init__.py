@@ -7,6 +7,7 @@ from importlib import import_module
 #: module, query name
 OPERATORS = (
     ("maxscore", "op2_maxscore"),
+    ("simhash", "op4_simhash"),
     ("packing", "op7_packing"),
     ("mixing", "op8_mixing"),
     ("warc", "op9_warc"),
