@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module, query name
 OPERATORS = (
+    ("gif", "op1_gif"),
     ("maxscore", "op2_maxscore"),
     ("simhash", "op4_simhash"),
     ("packing", "op7_packing"),
