@@ -8,6 +8,7 @@ from importlib import import_module
 OPERATORS = (
     ("gif", "op1_gif"),
     ("maxscore", "op2_maxscore"),
+    ("secret_scan", "op3_secrets"),
     ("simhash", "op4_simhash"),
     ("packing", "op7_packing"),
     ("mixing", "op8_mixing"),
