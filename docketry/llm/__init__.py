@@ -10,6 +10,8 @@ OPERATORS = (
     ("maxscore", "op2_maxscore"),
     ("secret_scan", "op3_secrets"),
     ("simhash", "op4_simhash"),
+    ("toxicity", "op5_toxicity"),
+    ("quality", "op6_quality"),
     ("packing", "op7_packing"),
     ("mixing", "op8_mixing"),
     ("warc", "op9_warc"),

@@ -27,9 +27,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: Characters of a key; a candidate is a run of at least CANDIDATE_LEAST of them.
+#: Characters of a key; a candidate is a run of at least CANDIDATE_LEAST of them, DISTINCT_LEAST of them different.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE_LEAST = 20
+CANDIDATE_LEAST, DISTINCT_LEAST = 20, 8
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}")
 _STATE = {c: k + 1 for k, c in enumerate(ALPHABET)}  # 0 is the start of a string
 _STATES = len(ALPHABET) + 1
@@ -115,7 +115,8 @@ def secret_spans(text: str | None, models: MarkovPair, threshold: float = THRESH
     base = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and models.score(m[0]) >= threshold:
+        free = len(set(m[0])) >= DISTINCT_LEAST and not any(a < m.end() and m.start() < b for a, b, _ in base)
+        if free and models.score(m[0]) >= threshold:
             added.append((m.start(), m.end(), "random"))
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
