@@ -23,6 +23,8 @@ from docketry.llm.shared import scratch, stash, table
 
 CRLF = b"\r\n"
 CHUNK = 1 << 16
+#: Tasks that read archives, at most.
+READ_TASKS = 100_000
 RECORD_ID = "urn:x-page:"
 
 
@@ -143,7 +145,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, da
 
 
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Rows of the archives named in ``manifest``, each file read from its start to its end by one task."""
+    """Rows of the archives named in ``manifest``, each file read from its start to its end by one task.
+
+    Files are dealt to as many tasks as there are files (READ_TASKS at most): the manifest itself is far too small to be split by size.
+    """
     schema = "path string, record_id string, record_type string, uri string, refers_to string, payload_bytes long, payload_digest string, verified boolean"
     schema += ", payload binary" * with_payload
 
@@ -169,7 +174,8 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
                 if rows:
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return manifest.select("path").repartition(F.col("path")).mapInPandas(read, schema)
+    tasks = min(max(1, manifest.count()), READ_TASKS)
+    return manifest.select("path").repartition(tasks).mapInPandas(read, schema)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, **options) -> tuple[DataFrame, str]:
