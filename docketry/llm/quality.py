@@ -22,7 +22,7 @@ PASSAGE_WORDS, FIT_DOCS = 64, 6000
 #: Buckets of hashed word endings in a passage's features.
 ENDINGS = 32
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 SYMBOLS = b"|#%$&*!.,"
 
 _SPACE = np.zeros(256, bool)
@@ -191,7 +191,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at, some in batches_of([bytes(d) for d in pdf["data"]]):
+            for at, some in batches_of(pdf["data"].tolist()):
                 owner, x = passages(some)
                 cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 bags = [b.astype(np.float32).tobytes() for b in np.split(x, cuts[1:])]
@@ -209,7 +209,7 @@ def score(model: AttentionModel, data: Column) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([bytes(t) for t in texts]))
+        return pd.Series(model.scores(texts.tolist()))
 
     return of(data)
 

@@ -150,15 +150,18 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", most_docs: int = S
     """
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple[str, bool]] = []
         for pdf in batches:
-            rows: list[tuple[str, bool]] = []
             for text in pdf["text"]:
                 spans = [s for s in base_spans(text) if s[2] != "assign"]
                 rows += [(text[a:b], True) for a, b, _ in spans]
                 words = re.findall(r"[A-Za-z_][A-Za-z0-9_]*", re.sub(r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{15,}", " ", text))
                 rows += [(w, False) for w in words]
                 rows += [(a + joint + (b if joint else b.capitalize()), False) for a, b in zip(words, words[1:], strict=False) for joint in ("_", "-", "/", "")]
-            yield pd.DataFrame(rows, columns=["text", "is_random"])
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["text", "is_random"])
+                    rows.clear()
+        yield pd.DataFrame(rows, columns=["text", "is_random"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text")).dropna()
     few = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(most_docs).select("text")

@@ -147,7 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         swapper = Swapper(terms)
         for pdf in batches:
-            for at, some in batches_of([bytes(d) for d in pdf["data"]]):
+            for at, some in batches_of(pdf["data"].tolist()):
                 swapped = [swapper.swapped(t.decode("utf-8", "replace")) for t in some]
                 there = [k for k, t in enumerate(swapped) if t is not None]
                 others: list[bytes | None] = [None] * len(some)
@@ -167,7 +167,7 @@ def score(model: SparseModel, data: Column, spark: SparkSession) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(SparseModel(*shared.value).scores([bytes(t) for t in texts]))
+        return pd.Series(SparseModel(*shared.value).scores(texts.tolist()))
 
     return of(data)
 
