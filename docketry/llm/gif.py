@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import table, text_bytes
+from docketry.llm.shared import bounded_batches, table, text_bytes
 
 #: Samples of a row and rows of a frame of stored bytes.
 ROW, FRAME_ROWS = 64, 512
@@ -327,6 +327,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts give 64 zeros; repeated rows give equal rows; long texts take several frames. Other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 

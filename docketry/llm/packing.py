@@ -17,13 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import stash, table
+from docketry.llm.shared import bounded_batches, stash, table
 
 MAX_TOKENS, END_ID = 2048, 0
 #: Bins that a packer holds open, and pieces that one packer takes (so many tasks work at any input size).
 OPEN_BINS, SHARD_PIECES = 1024, 65_536
 #: Pre-tokens that a worker remembers the ids of.
-CACHED = 600_000
+CACHED = 300_000
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -134,6 +134,7 @@ def pieces_of(ids: bytes, end_id: int = END_ID, limit: int = MAX_TOKENS) -> list
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document; null texts are empty and have the end id only."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.shared import table
+from docketry.llm.shared import bounded_batches, table
 
 # The kinds of base span in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -163,6 +163,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", most_docs: int = S
                     rows.clear()
         yield pd.DataFrame(rows, columns=["text", "is_random"])
 
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text")).dropna()
     few = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(most_docs).select("text")
     found = few.repartition(8).mapInPandas(sample, "text string, is_random boolean")

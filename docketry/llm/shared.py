@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -29,6 +30,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that Spark hands to Python at a time; documents are long, so its default of 10,000 rows holds too much.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Python workers get small batches of texts, unless the session asks for smaller ones still."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        size = int(re.sub(r"[^0-9-]", "", now)) if now else -1
+        if size <= 0 or size > most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.shared import stash, table, text_bytes
+from docketry.llm.shared import bounded_batches, stash, table, text_bytes
 
 SEED = 42
 #: Members of a leaf and children of an upper node.
@@ -66,6 +66,7 @@ def _fingerprints(texts: pd.Series, widths: pd.Series) -> pd.Series:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", width: int = 3) -> DataFrame:
     """Add the 64-bit fingerprint as a long; null texts are empty."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(name, _fingerprints(text_bytes(text_col), F.lit(width)))
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import scratch, stash, table
+from docketry.llm.shared import bounded_batches, scratch, stash, table
 
 CRLF = b"\r\n"
 CHUNK = 1 << 16
@@ -140,6 +140,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, da
             out.close()
             yield pd.DataFrame({"path": [path], "records": [records], "bytes": [size]})
 
+    bounded_batches(pages.sparkSession)
     ids = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), "payload", F.col("refers_to").cast("string"))
     return ids.mapInPandas(write, "path string, records long, bytes long")
 
