@@ -74,7 +74,10 @@ def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bucket: float
 
     from docketry.functions.vectors import l2_normalize
 
-    prepare = lambda df, i: df.select(F.col(i), array_to_vector(l2_normalize(F.col("vector"))).alias("features")).dropna()
+    # a null vector must not reach the conversion or the hashes, wherever the planner puts the filter
+    size = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
+    whole = F.coalesce("vector", F.array_repeat(F.lit(0.0), max(1, size)))
+    prepare = lambda df, i: df.filter(F.size("vector") > 0).select(F.col(i), array_to_vector(l2_normalize(whole)).alias("features"))
     a, b = prepare(queries, "query_id"), prepare(vectors, "doc_id")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
     near = model.approxSimilarityJoin(a, b, radius, "distance")

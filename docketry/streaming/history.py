@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def windowed_stats(rows: DataFrame, window: Column, late: str = "1 hour", by: tuple[str, ...] = ("route_taken",)) -> DataFrame:
-    """H8: per event-time window and route the count, refusal rate, mean latency and tokens; rows later than ``late`` behind the newest are dropped.
+def windowed_stats(rows: DataFrame, window: Column, late: str | None = "1 hour", by: tuple[str, ...] = ("route_taken",)) -> DataFrame:
+    """H8: per event-time window and route the count, refusal rate, mean latency and tokens; rows later than ``late`` behind the newest are dropped (None: the rows have a watermark already).
 
     Works on streams and on tables. ``window``: ``F.window("ts", "1 day")``, a sliding one, or ``F.session_window("ts", gap)`` (with a user in ``by``).
     """
-    stats = rows.withWatermark("ts", late).groupBy(window.alias("window"), *by).agg(
+    rows = rows if late is None else rows.withWatermark("ts", late)
+    stats = rows.groupBy(window.alias("window"), *by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("is_refused").cast("double")).alias("refusal_rate"), F.avg("total_latency_ms").alias("mean_latency_ms"), F.sum("total_tokens").alias("tokens"),
     )
     return stats.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "refusal_rate", "mean_latency_ms", "tokens")
