@@ -80,6 +80,19 @@ def evidence_gate(questions: DataFrame, scored: DataFrame, bonus: float = 0.15,
     return out.select("query_id", F.round(F.coalesce("best", F.lit(0.0)), 4).alias("best"), total.alias("gate_score"), reason.isNull().alias("passed"), reason.alias("reason"))
 
 
+def evidence_status(questions: DataFrame, rows: DataFrame, full: float = 0.5, part: float = 0.25) -> DataFrame:
+    """(query_id, n_full, n_partial, status, confidence) of chunks (query_id, doc_id, coverage, conditions_met).
+
+    A chunk with ``full`` keyword coverage and its conditions met is enough: SUFFICIENT; with one of ``part`` coverage PARTIAL; else INSUFFICIENT. Confidence is the best coverage.
+    """
+    per = rows.groupBy("query_id").agg(
+        F.count_if((F.col("coverage") >= full) & F.col("conditions_met")).alias("n_full"), F.count_if(F.col("coverage") >= part).alias("n_partial"), F.round(F.max("coverage"), 4).alias("confidence"),
+    )
+    out = questions.select("query_id").distinct().join(per, "query_id", "left").fillna(0, ["n_full", "n_partial", "confidence"])
+    status = F.when(F.col("n_full") > 0, "SUFFICIENT").when(F.col("n_partial") > 0, "PARTIAL").otherwise("INSUFFICIENT")
+    return out.select("query_id", "n_full", "n_partial", status.alias("status"), "confidence")
+
+
 def scope_check(text: Column, greetings: Sequence[str], foreign: Mapping[str, Sequence[str]], actors: Sequence[str], actions: Sequence[str]) -> Column:
     """``greeting`` (a greeting word, three words at most), ``ambiguous`` (two words at most), the label of a foreign domain unless an actor and an action word are there; else null."""
     low, n = F.lower(F.coalesce(text, F.lit(""))), F.size(words(text))

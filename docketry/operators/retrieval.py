@@ -243,3 +243,24 @@ def corrective_merge(first: DataFrame, second: DataFrame) -> DataFrame:
     open_ = F.col("second").isNull() | (F.col("second") != "SUFFICIENT")
     from_first = a.filter(F.col("relevant") & open_ & (F.col("status") != "INSUFFICIENT")).select("query_id", "doc_id", "score")
     return ranked(from_second.unionByName(from_first).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")))
+
+
+def improved_retrieval(version: str, queries: DataFrame, docs: DataFrame, k: int, expand=None, vectors: DataFrame | None = None, drift: Sequence[tuple[Sequence[str], Sequence[str], float]] = ()) -> DataFrame:
+    """Versions of one pipeline. V0 dense (of ``vectors`` and a ``vector`` of the queries), V1 lexical, V2 lexical with expanded questions, V3 that re-ranked, V4 that behind the relevance gate.
+
+    ``queries``: query_id, text; ``docs``: doc_id, text, and title and article if there are. Hybrid candidates are used from V2 on if vectors are given.
+    """
+    if version == "V0":
+        return dense_topk(queries, vectors, k)
+    asked = queries if version == "V1" or expand is None else queries.withColumn("text", expand(F.col("text")))
+    pool = k if version in ("V1", "V2") else pool_size(k)
+    found = bm25_topk(asked, docs, pool) if vectors is None or version == "V1" else retrieve("hybrid", asked, docs, vectors, pool)
+    if version in ("V1", "V2"):
+        return found
+    extra = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("title", "article")]
+    rows = found.join(docs.select("doc_id", F.col("text").alias("content"), *extra), "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    best = rerank(rows, k, drift)
+    if version == "V3":
+        return best
+    kept, _ = relevance_gate(queries, rows.drop("score", "rank").join(best, ["query_id", "doc_id"]))
+    return ranked(kept.select("query_id", "doc_id", "score"), k)

@@ -134,3 +134,13 @@ def lost_words(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, word) of words of a document's text that none of its chunks holds."""
     words = lambda df, c: df.select("doc_id", F.explode(F.array_distinct(lower_words(F.col(c)))).alias("word")).distinct()
     return words(docs, "text").join(words(chunks, "content"), ["doc_id", "word"], "left_anti")
+
+
+def question_status(questions: DataFrame, gold: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """V9: (query_id, status); later rules overwrite: VALID, INVALID (a refusal with gold or an answer without), CORPUS_MISMATCH (gold that is no chunk), INDEX_MISMATCH (gold without a vector)."""
+    known = lambda df, name: df.select("doc_id").distinct().withColumn(name, F.lit(True))
+    marked = gold.join(known(chunks, "_c"), "doc_id", "left").join(known(vectors, "_v"), "doc_id", "left")
+    per = marked.groupBy("query_id").agg(F.bool_and(F.col("_c").isNotNull()).alias("corpus"), F.bool_and(F.col("_v").isNotNull()).alias("index"))
+    rows = questions.join(per, "query_id", "left")
+    status = F.when(~F.col("index"), "INDEX_MISMATCH").when(~F.col("corpus"), "CORPUS_MISMATCH").when(F.col("requires_refusal") == F.col("corpus").isNotNull(), "INVALID").otherwise("VALID")
+    return rows.select("query_id", status.alias("status"))
