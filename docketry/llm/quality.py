@@ -19,6 +19,8 @@ from docketry.llm.shared import bounded_batches, held_out, table, text_bytes
 
 #: Words of a passage; labelled documents that a model is fitted on (chosen by a hash of the id).
 PASSAGE_WORDS, FIT_DOCS = 64, 6000
+#: Neutral words that a passage's shares are taken over besides its own, and their length.
+NEUTRAL_WORDS, NEUTRAL_CHARS = 3, 5
 #: Buckets of hashed word endings in a passage's features.
 ENDINGS = 32
 #: Bytes of text that are encoded at a time.
@@ -54,7 +56,7 @@ def passages(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = (ends - starts).astype(float)
     upper, lower, digit, symbol, high = (within(_CLASSES[raw, k]) for k in range(5))
     letters = upper + lower + high
-    chars = np.maximum(total(size), 1)
+    chars = total(size)
     # a hash of each word: the sum over its bytes of values that depend on byte and place
     spot = np.arange(len(raw), dtype=np.uint64) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(raw)])).astype(np.uint64)
     bytes_ = mixed((raw.astype(np.uint64) + np.uint64(1)) * _P + spot * np.uint64(0x2545F4914F6CDD1D))
@@ -66,13 +68,14 @@ def passages(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     again = np.r_[False, (h[1:] == h[:-1]) & (of[1:] == of[:-1])]
     tail = sum(raw[np.maximum(ends - k, starts)].astype(np.uint64) * np.uint64(257**k) for k in (1, 2, 3))
     bucket = (mixed(tail * _P) >> np.uint64(59)).astype(np.int64)
-    endings = np.bincount(of * ENDINGS + bucket, minlength=len(heads) * ENDINGS).reshape(-1, ENDINGS) / count[:, None]
+    # shares are taken over a few neutral words more, so that a short passage says little
+    n, chars, mean = count + NEUTRAL_WORDS, chars + NEUTRAL_WORDS * NEUTRAL_CHARS, (chars + NEUTRAL_WORDS * NEUTRAL_CHARS) / (count + NEUTRAL_WORDS)
+    squares = (total(size**2) + NEUTRAL_WORDS * NEUTRAL_CHARS**2) / n
+    endings = np.bincount(of * ENDINGS + bucket, minlength=len(heads) * ENDINGS).reshape(-1, ENDINGS) / n[:, None]
     stats = [
-        count / PASSAGE_WORDS, chars / count / 8, np.sqrt(np.maximum(total(size**2) / count - (chars / count) ** 2, 0)) / 8,
-        total(upper) / chars, total(digit) / chars, total(symbol) / chars, total(high) / chars,
-        total((upper > 1) & (lower == 0)) / count, total(letters == 0) / count, total((upper == 1) & (lower > 0)) / count,
-        total(symbol > 1) / count, total(size <= 3) / count, total(size > 14) / count, distinct / count, total(again) / count,
-        *(4 * total(within(raw == s)) / chars for s in SYMBOLS),
+        count / PASSAGE_WORDS, mean / 8, np.sqrt(np.maximum(squares - mean**2, 0)) / 8, total(upper) / chars, total(digit) / chars, total(symbol) / chars, total(high) / chars,
+        total((upper > 1) & (lower == 0)) / n, total(letters == 0) / n, total((upper == 1) & (lower > 0)) / n, total(symbol > 1) / n, total(size <= 3) / n, total(size > 14) / n,
+        (distinct + NEUTRAL_WORDS) / n, total(again) / n, *(4 * total(within(raw == s)) / chars for s in SYMBOLS),
     ]
     rows = np.concatenate([np.stack(stats, 1), endings], 1)
     if len(empty):
@@ -159,7 +162,7 @@ def fit(bags: Sequence[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int =
         base = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return AttentionModel(p | {"c": np.zeros(hidden), "d": np.array([np.log(base / (1 - base))])})
     every = np.concatenate(bags)
-    model = AttentionModel(p, every.mean(0), every.std(0) + 0.05)
+    model = AttentionModel(p, every.mean(0), every.std(0) + 0.02)
     bags = [(b - model.mean) / model.scale for b in bags]
     m, s = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     order: list[int] = []
