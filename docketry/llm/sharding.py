@@ -37,7 +37,7 @@ def assign_shards(
         key.alias("doc_id"), (F.octet_length(payload) + 1).cast("long").alias("size"), F.crc32(payload).alias("text_crc32"),
         rendezvous(key, weights).alias("shard"), rendezvous(key, [*weights, added]).alias("grown_shard"),
     )
-    rows = stash(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int")), "shard-rows")
+    rows = stash(rows.withColumn("bucket", F.floor(uniform(F.col("doc_id"), F.col("size"), F.col("text_crc32")) * buckets).cast("int")), "shard-rows")
     counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -49,3 +49,28 @@ def assign_shards(
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assign_shards(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _draw_sql(*parts: str) -> str:
+    text = " || ':' || ".join(f"coalesce(({p})::VARCHAR, 'null')" for p in parts)
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)"
+
+
+def _shard_sql(shards: int) -> str:
+    costs = ", ".join(f"{{'cost': -ln({_draw_sql('doc_id', str(k))}), 'shard': {k}}}" for k in range(shards))
+    return f"list_min([{costs}]).shard::INT"
+
+
+# CRC-32 by its table: entry i is i divided by the polynomial, eight times; a byte at a time
+ORACLE = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), b AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents
+), c AS (
+  SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, crc
+), s AS (
+  SELECT *, {_shard_sql(8)} AS shard, {_shard_sql(9)} AS grown_shard, floor({_draw_sql("doc_id", "size", "text_crc32")} * 1024)::INT AS bucket FROM c
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s
+"""
