@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.hashing import mixed
-from docketry.llm.shared import bounded_batches, held_out, table, text_bytes
+from docketry.llm.shared import bounded_batches, hash_sample, held_out, table, text_bytes
 
 #: Words of a passage; labelled documents that a model is fitted on (chosen by a hash of the id).
 PASSAGE_WORDS, FIT_DOCS = 64, 6000
@@ -185,7 +185,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     """(doc_id, data, label) of at most ``most`` labelled ids that are not held out, by a hash of the id; ids are joined by broadcast of so many."""
     bounded_batches(docs.sparkSession)
     few = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label).cast("int").alias("label")).dropna().filter(~held_out(F.col("id")))
-    few = few.orderBy(F.xxhash64("id"), "label").limit(most)
+    few = hash_sample(few, most, "id", "label")
     rows = docs.select(F.col(id_col).cast("string").alias("id"), text_bytes(text_col).alias("data"))
     return rows.join(F.broadcast(few), "id").select("id", "data", "label")
 

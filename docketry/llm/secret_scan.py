@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.shared import bounded_batches, table
+from docketry.llm.shared import bounded_batches, hash_sample, table
 
 # The kinds of base span in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -143,8 +143,8 @@ def seeded_identifiers(each: int = SEEDED, seed: int = 12) -> list[str]:
     return out + [c * 24 for c in ALPHABET for _ in range(4)]
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", most_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, is_random) from at most ``most_docs`` documents, chosen by a hash of their text, and from seeded strings.
+def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(text, is_random) from at most ``most_docs`` documents, chosen by a hash of id and text, and from seeded strings.
 
     Values that the fixed patterns find are random strings; words outside them are ordinary identifiers, alone and joined in pairs.
     """
@@ -164,8 +164,8 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", most_docs: int = S
         yield pd.DataFrame(rows, columns=["text", "is_random"])
 
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).dropna()
-    few = texts.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(most_docs).select("text")
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).dropna(subset=["text"])
+    few = hash_sample(texts, most_docs, "id", "text").select("text")
     found = few.repartition(8).mapInPandas(sample, "text string, is_random boolean")
     rows = [(s, True) for s in seeded_strings()] + [(s, False) for s in seeded_identifiers()]
     seeded = docs.sparkSession.createDataFrame(rows, "text string, is_random boolean")

@@ -58,6 +58,18 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def hash_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of ``key``.
+
+    Rows are counted first and only those below a threshold that leaves a fifth more than ``most`` are sorted, so what meets in one task does not grow
+    with the table.
+    """
+    total = rows.count()
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / float(1 << 40)
+    few = rows if total <= most else rows.filter(place < min(1.0, 1.2 * most / total))
+    return few.orderBy(F.xxhash64(*key), *key).limit(most)
+
+
 def held_out(id_col: Column) -> Column:
     """True for rows that no label may be learned from: crc32 of the id as text is a multiple of five."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
