@@ -239,13 +239,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     from pyspark.sql import Window as W
 
     width = options.get("width", 3)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("key")
     own = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    own = with_fingerprint(own, "text", width=width).drop("text")
+    own = with_fingerprint(own, "text", width=width).select("_doc", key, "fingerprint")
     classes = simhash_classes(docs, id_col, text_col, **options)
-    kept = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint")).alias("best")).select("best.doc_id", "best.fingerprint")
-    match = F.col("own.doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("own.fingerprint") == F.col("kept.fingerprint"))
-    found = own.alias("own").join(kept.alias("kept"), match).select("own._doc", "own.doc_id", "own.fingerprint")
-    turn = F.row_number().over(W.partitionBy("doc_id", "fingerprint").orderBy(F.lit(1)))
+    kept = classes.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fingerprint")).alias("best")).select("best.*")
+    # the window keeps the partitions of the join, so texts are shuffled once
+    found = own.join(kept.select(key, "fingerprint"), ["key", "fingerprint"])
+    turn = F.row_number().over(W.partitionBy("key", "fingerprint").orderBy(F.lit(1)))
     return found.withColumn("turn", turn).filter("turn = 1").select("_doc.*")
 
 
