@@ -125,13 +125,13 @@ M9 = """SELECT CASE WHEN (o_orderkey % 5 = 0) <> (o_orderkey % 10 = 0) THEN 'REF
 
 def m16(spark, d):
     """Two models over days, one test for each of two metrics."""
-    rows = log(spark, d).groupBy("model_name", F.to_date("ts").alias("day")).agg(F.round(F.avg("total_latency_ms"), 3).alias("latency"), F.round(F.avg("total_tokens"), 3).alias("tokens"))
+    rows = log(spark, d).groupBy("model_name", F.to_date("ts").alias("day")).agg(F.max("total_latency_ms").alias("latency"), F.sum("total_tokens").cast("double").alias("tokens"))
     long = rows.unpivot(["model_name", "day"], ["latency", "tokens"], "metric", "value")
     out = E.paired_test(long, "day", "model_name", "value", "m0", "m2", by=["metric"])
     return out.select("metric", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t_statistic", 6).alias("t_statistic"), F.round("cohens_d", 6).alias("cohens_d"))
 
 
-M16 = f"""WITH {LOG}, l AS (SELECT model_name, ts::DATE AS day, round(avg(total_latency_ms), 3) AS latency, round(avg(total_tokens), 3) AS tokens FROM log GROUP BY ALL), u AS (SELECT model_name, day, 'latency' AS metric, latency AS v FROM l UNION ALL SELECT model_name, day, 'tokens', tokens FROM l
+M16 = f"""WITH {LOG}, l AS (SELECT model_name, ts::DATE AS day, max(total_latency_ms) AS latency, sum(total_tokens)::DOUBLE AS tokens FROM log GROUP BY ALL), u AS (SELECT model_name, day, 'latency' AS metric, latency AS v FROM l UNION ALL SELECT model_name, day, 'tokens', tokens FROM l
 ), p AS (SELECT a.metric, a.v - b.v AS d FROM u a JOIN u b ON a.metric = b.metric AND a.day = b.day WHERE a.model_name = 'm0' AND b.model_name = 'm2')
 SELECT metric, count(*) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t_statistic, round(avg(d) / stddev_samp(d), 6) AS cohens_d FROM p GROUP BY metric"""
 
