@@ -46,8 +46,8 @@ def strip_score(text: Column, query: Column, score: Column, stop_words: Sequence
 
 
 def split_strips(chunks: DataFrame, heading: str = HEADING) -> DataFrame:
-    """Rows (query_id, doc_id, score, query, strip_no from 0, strip) of rows with ``content``."""
-    return chunks.select("query_id", "doc_id", "score", "query", F.posexplode(strips_of(F.col("content"), heading)).alias("strip_no", "strip"))
+    """Rows (query_id, doc_id, score, query, ..., strip_no from 0, strip) of rows with ``content``; the other columns stay."""
+    return chunks.select(*[c for c in chunks.columns if c != "content"], F.posexplode(strips_of(F.col("content"), heading)).alias("strip_no", "strip"))
 
 
 def filter_strips(strips: DataFrame, threshold: float = 0.50, heading: str = HEADING) -> DataFrame:

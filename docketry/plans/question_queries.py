@@ -189,10 +189,8 @@ def x3(spark, d):
 
 
 def x4(spark, d):
-    full = candidates(spark, d).select("query_id", "doc_id", F.length("content").alias("full_length"))
-    kept = X.filter_strips(X.split_strips(candidates(spark, d)))
-    ranks = full.withColumn("rank", F.row_number().over(E.W.partitionBy("query_id").orderBy("doc_id")))
-    return X.recompose(kept.join(ranks, ["query_id", "doc_id"])).select("query_id", F.length("context").alias("length"), "n_sources", "compression")
+    rows = candidates(spark, d).withColumns({"full_length": F.length("content"), "rank": F.row_number().over(E.W.partitionBy("query_id").orderBy("doc_id"))})
+    return X.recompose(X.filter_strips(X.split_strips(rows))).select("query_id", F.length("context").alias("length"), "n_sources", "compression")
 
 
 def x5(spark, d):
