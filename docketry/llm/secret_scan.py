@@ -37,7 +37,7 @@ _IS_KEY = np.zeros(256, bool)
 _IS_KEY[list(ALPHABET.encode())] = True
 
 #: Documents that samples are taken from, and strings of each seeded random kind.
-SAMPLE_DOCS, SEEDED = 4000, 400
+SAMPLE_DOCS, SEEDED = 2000, 400
 #: A candidate is reported from this mean log-likelihood ratio a character on.
 THRESHOLD = 1.0
 
@@ -54,12 +54,15 @@ class MarkovPair:
         return float(self.ratio[states[:-1], states[1:]].mean()) if text else 0.0
 
 
+_BYTE_STATE = np.zeros(256, np.int64)
+_BYTE_STATE[list(ALPHABET.encode())] = np.arange(1, _STATES)
+
+
 def transitions(texts: Iterable[str]) -> np.ndarray:
-    counts = np.zeros(_STATES * _STATES, np.int64)
-    for text in texts:
-        states = np.array([0, *(_STATE.get(c, 0) for c in text)])
-        np.add.at(counts, states[:-1] * _STATES + states[1:], 1)
-    return counts
+    """Counts of each character after each other one, or after the start; characters outside the alphabet end a string."""
+    states = _BYTE_STATE[np.frombuffer("\n".join(["", *texts]).encode("utf-8", "replace"), np.uint8)]
+    into = states[1:] > 0
+    return np.bincount((states[:-1] * _STATES + states[1:])[into], minlength=_STATES * _STATES)
 
 
 def train_markov(samples: DataFrame, smoothing: float = 0.5) -> MarkovPair:
@@ -146,7 +149,7 @@ def seeded_identifiers(each: int = SEEDED, seed: int = 12) -> list[str]:
 def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(text, is_random) from at most ``most_docs`` documents, chosen by a hash of id and text, and from seeded strings.
 
-    Values that the fixed patterns find are random strings; words outside them are ordinary identifiers, alone and joined in pairs.
+    Values that the fixed patterns find are random strings; the different words outside them are ordinary identifiers, alone and joined in pairs.
     """
 
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,9 +158,10 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             for text in pdf["text"]:
                 spans = [s for s in base_spans(text) if s[2] != "assign"]
                 rows += [(text[a:b], True) for a, b, _ in spans]
-                words = re.findall(r"[A-Za-z_][A-Za-z0-9_]*", re.sub(r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{15,}", " ", text))
+                words = dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", re.sub(r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{15,}", " ", text)))
                 rows += [(w, False) for w in words]
-                rows += [(a + joint + (b if joint else b.capitalize()), False) for a, b in zip(words, words[1:], strict=False) for joint in ("_", "-", "/", "")]
+                nexts = [*words][1:]
+                rows += [(a + joint + (b if joint else b.capitalize()), False) for a, b in zip(words, nexts, strict=False) for joint in ("_", "")]
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["text", "is_random"])
                     rows.clear()
