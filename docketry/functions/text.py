@@ -149,17 +149,20 @@ def lower_words(text: Column) -> Column:
     return words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
 
 
+def one_of(word: Column, words_: Sequence[str]) -> Column:
+    """Whether a word is in a fixed list; a list of more than ten becomes a hash set."""
+    return word.isin(*words_) if words_ else F.lit(False)
+
+
 def keywords(text: Column, stop_words: Sequence[str] = ANSWER_STOP_WORDS) -> Column:
     """Words of two or more characters that are no stop words, repeats included."""
-    stops = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    return F.filter(lower_words(text), lambda w: (F.length(w) >= 2) & ~F.array_contains(stops, w))
+    return F.filter(lower_words(text), lambda w: (F.length(w) >= 2) & ~one_of(w, stop_words))
 
 
 def index_terms(text: Column, stop_words: Sequence[str] = INDEX_STOP_WORDS) -> Column:
     """Unigrams of two or more characters that are no stop words, and pairs of neighbours of which at least one is no stop word."""
     every = lower_words(text)
-    stops = F.array(*map(F.lit, stop_words)) if stop_words else F.array().cast("array<string>")
-    stopped = lambda w: F.array_contains(stops, w)
+    stopped = lambda w: one_of(w, stop_words)
     single = F.filter(every, lambda w: (F.length(w) >= 2) & ~stopped(w))
     nexts = F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))
     pairs = F.filter(F.zip_with(every, nexts, lambda a, b: F.when(~stopped(a) | ~stopped(b), F.concat(a, F.lit("_"), b))), lambda p: p.isNotNull())

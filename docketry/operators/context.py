@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import WHITE, estimate_tokens, source_tags, strip
+from docketry.functions.text import WHITE, estimate_tokens, one_of, source_tags, strip
 
 # Stop words of strip scoring, and the words that its pairs leave out.
 STRIP_STOP_WORDS = (
@@ -29,15 +29,21 @@ def strips_of(content: Column, heading: str = HEADING, longest: int = 250) -> Co
     return F.flatten(F.transform(lines, lambda s: F.when(s.rlike(heading), F.array(s)).otherwise(cut(s))))
 
 
-def strip_score(text: Column, query: Column, score: Column, stop_words: Sequence[str] = STRIP_STOP_WORDS, pair_stops: Sequence[str] = PAIR_STOP_WORDS, heading: str = HEADING) -> Column:
-    """Score of a strip for a query, given the score of its chunk, rounded to four places."""
+def strip_terms(query: Column, stop_words: Sequence[str] = STRIP_STOP_WORDS, pair_stops: Sequence[str] = PAIR_STOP_WORDS) -> tuple[Column, Column]:
+    """The words of a query that a strip is searched for, and its pairs of neighbouring words of more than five characters."""
+    asked = F.lower(F.coalesce(query, F.lit("")))
+    tokens = F.filter(F.regexp_extract_all(asked, F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: (F.length(w) > 1) & ~one_of(w, stop_words))
+    words = F.filter(F.split(asked, rf"{WHITE}+"), lambda w: (w != "") & ~one_of(w, pair_stops))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return tokens, F.filter(pairs, lambda p: p.isNotNull() & (F.length(p) > 5))
+
+
+def strip_score(text: Column, query: Column, score: Column, terms: tuple[Column, Column] | None = None, heading: str = HEADING) -> Column:
+    """Score of a strip for a query, given the score of its chunk, rounded to four places. ``terms``: those of ``strip_terms``, if they are known."""
     low, asked = F.lower(text), F.lower(F.coalesce(query, F.lit("")))
-    in_ = lambda w, ws: F.array_contains(F.array(*map(F.lit, ws)), w)
-    tokens = F.filter(F.regexp_extract_all(asked, F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: (F.length(w) > 1) & ~in_(w, stop_words))
+    tokens, pairs = terms or strip_terms(query)
     hits = F.size(F.filter(tokens, lambda w: low.contains(w)))
-    words = F.filter(F.split(asked, rf"{WHITE}+"), lambda w: (w != "") & ~in_(w, pair_stops))
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    bonus = 0.2 * F.size(F.filter(pairs, lambda p: p.isNotNull() & (F.length(p) > 5) & low.contains(p)))
+    bonus = 0.2 * F.size(F.filter(pairs, lambda p: low.contains(p)))
     named = F.regexp_extract(text, r"(?iu)^Điều\s+(\d+)", 1)
     head = F.when((named != "") & asked.contains(named), 1.0).otherwise(0.75)
     mixed = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.25 * score + 0.5 * hits / F.size(tokens) + F.least(F.lit(0.25), bonus)))
@@ -47,14 +53,16 @@ def strip_score(text: Column, query: Column, score: Column, stop_words: Sequence
 
 def split_strips(chunks: DataFrame, heading: str = HEADING) -> DataFrame:
     """Rows (query_id, doc_id, score, query, ..., strip_no from 0, strip) of rows with ``content``; the other columns stay."""
-    return chunks.select(*[c for c in chunks.columns if c != "content"], F.posexplode(strips_of(F.col("content"), heading)).alias("strip_no", "strip"))
+    tokens, pairs = strip_terms(F.col("query"))  # once a chunk, not once a strip
+    return chunks.select(*[c for c in chunks.columns if c != "content"], tokens.alias("_tokens"), pairs.alias("_pairs"), F.posexplode(strips_of(F.col("content"), heading)).alias("strip_no", "strip"))
 
 
 def filter_strips(strips: DataFrame, threshold: float = 0.50, heading: str = HEADING) -> DataFrame:
     """Strips that reach ``threshold`` and headings; if no other strip of a chunk does, its best one too (the first of equals)."""
     by = W.partitionBy("query_id", "doc_id")
     head = F.col("strip").rlike(heading)
-    marked = strips.withColumns({"is_heading": head, "strip_score": strip_score(F.col("strip"), F.col("query"), F.col("score"), heading=heading)})
+    terms = (F.col("_tokens"), F.col("_pairs")) if "_tokens" in strips.columns else None
+    marked = strips.withColumns({"is_heading": head, "strip_score": strip_score(F.col("strip"), F.col("query"), F.col("score"), terms, heading)}).drop("_tokens", "_pairs")
     body = ~F.col("is_heading")
     best = F.max(F.when(body, F.struct("strip_score", (-F.col("strip_no")).alias("n")))).over(by)
     enough = F.max(F.when(body, F.col("strip_score"))).over(by) >= threshold

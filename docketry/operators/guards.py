@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import INDEX_STOP_WORDS, WHITE, extract_references, lower_words, strip, words
+from docketry.functions.text import INDEX_STOP_WORDS, WHITE, extract_references, lower_words, one_of, strip, words
 
 UPPER, LOWER = 0.68, 0.45
 
@@ -28,10 +28,9 @@ def grade_chunks(rows: DataFrame, out_of_scope: Sequence[str] = (), stop_words:
     score + 0.4 content pairs + 0.25 title pairs, at least 0.7; a quarter of the pairs (or half of the single words where there are no pairs): half and half; nothing
     0.4 x score; else 0.4 score + 0.3 single words.
     """
-    stops = F.array(*map(F.lit, stop_words))
     title, content = F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("content", F.lit("")))
     every = lower_words(F.col("query"))
-    fine = lambda w: ~F.array_contains(stops, w)
+    fine = lambda w: ~one_of(w, stop_words)
     singles = F.array_distinct(F.filter(every, lambda w: (F.length(w) >= 2) & fine(w)))
     nexts = F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))
     pairs = F.array_distinct(F.filter(F.zip_with(every, nexts, lambda a, b: F.when(fine(a) & fine(b), F.concat(a, F.lit(" "), b))), lambda p: p.isNotNull()))
