@@ -1,0 +1,137 @@
+"""Near copies by the Jaccard similarity of word shingles: min-hash bands propose pairs, an exact count on the texts decides.
+
+Texts with equal sets of shingles are one code. A code's ``HASHES`` minima are cut into ``BANDS``; codes that share a band are
+a bucket. In a bucket every member is compared with the first ones (by id), as many as keep the pairs in proportion to the
+bucket; a member that is a near copy leaves all buckets, and what is left is compared with the next ones, until no pair is
+untested. So a text is dropped only for a tested pair, and of a proposed pair at most one text is kept.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from docketry.llm.shared import bounded_batches, stash, text_bytes
+
+#: Words of a shingle, and least similarity of near copies as a fraction.
+WIDTH, LEAST = 5, (4, 5)
+#: Minima of a text and bands of them: a pair of similarity 0.8 shares no band once in 2,900 times, one of 0.9 once in 10**7.
+HASHES, BANDS = 100, 20
+#: Pairs of a bucket in the first round, at least (one first member is always taken).
+ROUND_PAIRS = 2_000
+_P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_DRAW = np.random.default_rng(42)
+_FACTORS = _DRAW.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _DRAW.integers(0, 1 << 63, HASHES, np.uint64)
+WORDS_KEPT = 300_000
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _M
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_hashes(data: bytes, known: dict[bytes, int], width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles; fewer words than ``width`` are one shingle, none give none. Words as in ``simhash.fingerprint``."""
+    import xxhash
+
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(known) > WORDS_KEPT:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, 42)
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    w = min(width, len(words))
+    h = np.zeros(len(words) - w + 1, np.uint64)
+    for k in range(w):
+        h = _mixed(h * _P + codes[k : len(codes) - w + 1 + k])
+    return np.unique(h)
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, list[int]]:
+    """A code of the whole set, and a key for each band (none for an empty set); both as signed longs."""
+    with np.errstate(over="ignore"):
+        code = int(_mixed(np.array([hashes.sum(dtype=np.uint64) * _P + np.bitwise_xor.reduce(_mixed(hashes + _P)) + np.uint64(len(hashes))])).view(np.int64)[0])
+    if not len(hashes):
+        return code, []
+    least = np.full(HASHES, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, _top(hashes[at : at + 4096]).min(1))
+    h = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, -1).T:
+        h = _mixed(h * _P + column)
+    return code, h.view(np.int64).tolist()
+
+
+def _top(hashes: np.ndarray) -> np.ndarray:
+    h = hashes[None, :] * _FACTORS[:, None] + _SHIFTS[:, None]
+    h ^= h >> np.uint64(32)
+    h *= _M
+    return h
+
+
+@F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def _sketches(texts: pd.Series) -> pd.DataFrame:
+    known: dict[bytes, int] = {}
+    return pd.DataFrame([sketch(shingle_hashes(bytes(t), known)) for t in texts], columns=["code", "keys"])
+
+
+@lru_cache(64)
+def _shingles(data: bytes) -> frozenset[tuple[bytes, ...]]:
+    words = data.lower().split()
+    w = min(WIDTH, len(words))
+    return frozenset(zip(*[words[k : len(words) - w + 1 + k] for k in range(w)], strict=True)) if words else frozenset()
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether the shingles of two texts have a Jaccard similarity of ``LEAST`` or more; texts without words are similar to each other."""
+    x, y = _shingles(a), _shingles(b)
+    if min(len(x), len(y)) * LEAST[1] < max(len(x), len(y)) * LEAST[0]:
+        return False
+    both = len(x & y)
+    return both * LEAST[1] >= (len(x) + len(y) - both) * LEAST[0]
+
+
+@F.pandas_udf(T.BooleanType())
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([similar(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` with all their columns, without those that are a near copy of one with a smaller id (nulls last; of repeated rows any one stays).
+
+    Null texts are empty, and texts without words copies of each other. A kept row of a dropped one's chain of near copies always exists.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("doc"), _sketches(text_bytes(text_col)).alias("s"), F.monotonically_increasing_id().alias("row"))
+    rows = stash(rows.select("doc", "s.code", "s.keys", "row"), "near-rows")
+    name = F.col("doc").getField(id_col)
+    best = rows.groupBy("code").agg(F.min(F.struct(name.isNull().alias("no_id"), name.alias("id"), "row")).alias("m"))
+    best = stash(best.select("m"), "near-codes")
+    texts = rows.select("row", text_bytes(F.col("doc").getField(text_col)).alias("text"))
+    members = best.select("m", F.col("m.row").alias("row")).join(rows.select("row", "keys"), "row").select("m", F.explode("keys").alias("key"))
+    dropped, more = None, 1
+    while True:
+        gathered = members.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("ms")).filter("size(ms) > 1")
+        buckets = stash(gathered.withColumn("firsts", F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.size("ms"))).cast("int") * F.lit(more)), "near-buckets")
+        pairs = buckets.select("ms", F.posexplode(F.slice("ms", F.lit(1), F.col("firsts"))).alias("at", "u"))
+        pairs = pairs.select("u.row", F.explode(F.transform(F.slice("ms", F.col("at") + 2, F.size("ms")), lambda m: m["row"])).alias("other")).distinct()
+        sides = pairs.join(texts, "row").select("row", F.col("text").alias("a"), F.col("other"))
+        sides = sides.join(texts.select(F.col("row").alias("other"), F.col("text").alias("b")), "other")
+        found = stash(sides.filter(_similar("a", "b")).select(F.col("other").alias("row")).distinct(), "near-dropped")
+        dropped = found if dropped is None else dropped.unionByName(found).distinct()
+        rest = buckets.filter(F.size("ms") > F.col("firsts") + 1).select("key", F.explode(F.expr("slice(ms, firsts + 1, size(ms))")).alias("m"))
+        members = stash(rest.join(found, F.col("m.row") == F.col("row"), "left_anti"), "near-members")
+        if members.isEmpty():
+            break
+        more *= 4
+    kept = best.select("m.row").join(dropped, "row", "left_anti")
+    return rows.join(kept, "row", "left_semi").select("doc.*")

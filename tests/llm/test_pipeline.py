@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from docketry.llm import near_copies
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,3 +37,36 @@ def test_stages(spark, tmp_path):
 
 def test_run_has_no_sql():
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_stage_drops_edited_texts(spark, tmp_path):
+    draw = random.Random(4)
+    words = [f"word{k}" for k in range(400)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.randint(30, 300))), "en", "a", 1) for i in range(150)]
+    for i in range(150):  # some words replaced: similarities on both sides of 0.8
+        copy = rows[i][1].split()
+        for at in draw.sample(range(len(copy)), max(1, len(copy) * draw.randint(1, 5) // 100)):
+            copy[at] = "other"
+        rows.append((1000 + i, " ".join(copy), "en", "a", 1))
+    base = rows[0][1].split()  # a large class, each text with another last word
+    rows += [(2000 + k, " ".join([*base, f"end{k}"]), "en", "a", 1) for k in range(300)]
+    rows += [(5000, None, "en", "a", 1), (5001, " ", "en", "a", 1), (5002, "one two", "en", "a", 1), (None, "ONE  two", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()}
+    alike = lambda i: 5 * len(shingles(rows[i][1]) & shingles(rows[150 + i][1])) >= 4 * len(shingles(rows[i][1]) | shingles(rows[150 + i][1]))
+    copies = {1000 + i for i in range(150) if alike(i)}
+    assert 30 < len(copies) < 120 and not kept & copies
+    assert kept == {*range(150), *(set(range(1000, 1150)) - copies), 5000, 5002}
+
+
+def test_near_copies_in_buckets_of_unlike_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "ROUND_PAIRS", 1)  # one first member a round, then four times as many
+    common = " ".join(f"c{j}" for j in range(60))
+    rows = [(k, f"{common} " + " ".join(f"w{k % 20}x{j}" for j in range(10)) + " end" * (k // 20)) for k in range(60)]
+    kept = near_copies.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(range(20))
