@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
-One model is trained on random strings, the other on ordinary identifiers, both from labelled samples. A long run of
+One model is trained on random strings, the other on ordinary identifiers, both from all documents and seeded strings. A long run of
 key characters that no pattern covers is reported when it is far likelier under the first model.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.shared import bounded_batches, hash_sample, table
+from docketry.llm.shared import bounded_batches, table
 
 # The kinds of base span in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -36,8 +36,8 @@ _STATES = len(ALPHABET) + 1
 _IS_KEY = np.zeros(256, bool)
 _IS_KEY[list(ALPHABET.encode())] = True
 
-#: Documents that samples are taken from, and strings of each seeded random kind.
-SAMPLE_DOCS, SEEDED = 2000, 400
+#: Strings of each seeded kind.
+SEEDED = 400
 #: A candidate is reported from this mean log-likelihood ratio a character on.
 THRESHOLD = 1.0
 
@@ -65,24 +65,12 @@ def transitions(texts: Iterable[str]) -> np.ndarray:
     return np.bincount((states[:-1] * _STATES + states[1:])[into], minlength=_STATES * _STATES)
 
 
-def train_markov(samples: DataFrame, smoothing: float = 0.5) -> MarkovPair:
-    """Train both models from rows (text string, is_random boolean).
+def train_markov(counted: DataFrame, smoothing: float = 0.5) -> MarkovPair:
+    """Train both models from rows (is_random boolean, move int, n long), the counts of each transition, which may repeat.
 
-    Transitions are counted in the tasks and summed by Spark, so at most two small tables reach the driver. Null texts and
-    labels are left out; without samples of a label its model is uniform.
+    Spark sums them, so at most two small tables reach the driver. Without rows of a label its model is uniform.
     """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {True: np.zeros(_STATES**2, np.int64), False: np.zeros(_STATES**2, np.int64)}
-        for pdf in batches:
-            for label, rows in pdf.groupby("is_random"):
-                total[bool(label)] += transitions(rows["text"])
-        for label, counts in total.items():
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"is_random": label, "move": at, "n": counts[at]})
-
-    rows = samples.select("text", "is_random").dropna().mapInPandas(count, "is_random boolean, move int, n long")
-    summed = rows.groupBy("is_random", "move").agg(F.sum("n").alias("n")).collect()
+    summed = counted.groupBy("is_random", "move").agg(F.sum("n").alias("n")).collect()
     tables = np.full((2, _STATES**2), smoothing)
     for row in summed:
         tables[int(row["is_random"]), row["move"]] += row["n"]
@@ -146,34 +134,75 @@ def seeded_identifiers(each: int = SEEDED, seed: int = 12) -> list[str]:
     return out + [c * 24 for c in ALPHABET for _ in range(4)]
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", most_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(text, is_random) from at most ``most_docs`` documents, chosen by a hash of id and text, and from seeded strings.
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_DIGIT = re.compile(r"[0-9]")
+_FOUND = (re.compile(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"), re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}"))
+#: State of the capital and of the small letter of each state.
+_UPPER, _LOWER = (np.array([0, *(_STATE[f(c)] for c in ALPHABET)]) for f in (str.upper, str.lower))
+
 
-    Values that the fixed patterns find are random strings; the different words outside them are ordinary identifiers, alone and joined in pairs.
+def ordinary_words(text: str) -> list[str]:
+    """Words of a text outside runs of key characters that have a digit with 15 or more of them after it."""
+    return _WORD.findall(_RUN.sub(lambda m: " " if _DIGIT.search(m[0], 0, len(m[0]) - 15) else m[0], text))
+
+
+def word_transitions(texts: Iterable[Sequence[str]]) -> np.ndarray:
+    """Transitions of all words, repeats included, alone and joined with the next of their text by each of four joints (``_``, ``-``, ``/``, a capital).
+
+    The same as ``transitions`` of all those strings, without making them.
+    """
+    texts = [words for words in texts if words]
+    total = np.zeros(_STATES**2, np.int64)
+    if not texts:
+        return total
+    states = _BYTE_STATE[np.frombuffer("\n".join(["", *(w for words in texts for w in words), ""]).encode(), np.uint8)]
+    edges = np.flatnonzero(states == 0)
+    first, last = states[edges[:-1] + 1], states[edges[1:] - 1]
+    ends = np.cumsum([len(words) for words in texts])
+    has_next, has_before = np.ones(len(first), bool), np.ones(len(first), bool)
+    has_next[ends - 1] = False
+    has_before[np.r_[0, ends[:-1]]] = False
+
+    def add(a: np.ndarray | int, b: np.ndarray | int, times: np.ndarray | int = 1) -> None:
+        total[:] += np.bincount(a * _STATES + b, None if isinstance(times, int) else times, _STATES**2).astype(np.int64)
+
+    sizes = np.diff(edges) - 1
+    inner = (states[:-1] > 0) & (states[1:] > 0)
+    word = np.repeat(np.arange(len(first)), sizes - 1)
+    a, b = states[:-1][inner], states[1:][inner]
+    add(a, b, (1 + 4 * has_next + 3 * has_before)[word])
+    start = np.r_[True, word[1:] != word[:-1]][: len(word)]
+    then = has_before[word]
+    add(np.where(start, _UPPER[a], _LOWER[a])[then], _LOWER[b][then])
+    add(0, first, 1 + 4 * has_next)
+    for joint in "_-/":
+        add(last[has_next], _STATE[joint])
+        add(_STATE[joint] * np.ones(int(has_before.sum()), np.int64), first[has_before])
+    add(last[has_next], _UPPER[first[has_before]])
+    return total
+
+
+def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(is_random, move, n): transitions counted over all documents and seeded strings, for ``train_markov``.
+
+    Values that the fixed patterns find are random strings; words outside them are ordinary identifiers, alone and joined in pairs.
     """
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple[str, bool]] = []
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        random_, ordinary = np.zeros(_STATES**2, np.int64), np.zeros(_STATES**2, np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                spans = [s for s in base_spans(text) if s[2] != "assign"]
-                rows += [(text[a:b], True) for a, b, _ in spans]
-                words = dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", re.sub(r"[A-Za-z0-9+/_=-]*[0-9][A-Za-z0-9+/_=-]{15,}", " ", text)))
-                rows += [(w, False) for w in words]
-                nexts = [*words][1:]
-                rows += [(a + joint + (b if joint else b.capitalize()), False) for a, b in zip(words, nexts, strict=False) for joint in ("_", "")]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["text", "is_random"])
-                    rows.clear()
-        yield pd.DataFrame(rows, columns=["text", "is_random"])
+            random_ += transitions(value for text in pdf["text"] for pattern in _FOUND for value in pattern.findall(text))
+            ordinary += word_transitions(ordinary_words(text) for text in pdf["text"])
+        for label, counts in ((True, random_), (False, ordinary)):
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"is_random": label, "move": at, "n": counts[at]})
 
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).dropna(subset=["text"])
-    few = hash_sample(texts, most_docs, "id", "text").select("text")
-    found = few.repartition(8).mapInPandas(sample, "text string, is_random boolean")
-    rows = [(s, True) for s in seeded_strings()] + [(s, False) for s in seeded_identifiers()]
-    seeded = docs.sparkSession.createDataFrame(rows, "text string, is_random boolean")
-    return found.unionByName(seeded)
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).dropna()
+    found = texts.mapInPandas(count, "is_random boolean, move int, n long")
+    seeded = [(label, int(k), int(n[k])) for label, n in ((True, transitions(seeded_strings())), (False, transitions(seeded_identifiers()))) for k in np.flatnonzero(n)]
+    return found.unionByName(docs.sparkSession.createDataFrame(seeded, "is_random boolean, move int, n long"))
 
 
 def with_spans(docs: DataFrame, models: MarkovPair, text_col: str = "text", name: str = "secrets", threshold: float = THRESHOLD) -> DataFrame:
