@@ -100,18 +100,30 @@ def worth_a_look(data: bytes) -> bool:
 
 
 def secret_spans(text: str | None, models: MarkovPair, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Base spans, and spans of kind ``random`` where the models find a random string that no base span touches."""
+    """Base spans, and spans of kind ``random`` where the models find a random string in what base spans leave of a candidate."""
     if not text or not worth_a_look(text.encode("utf-8", "replace")):
         return []
     base = base_spans(text)
     added = []
     for m in CANDIDATE.finditer(text):
-        free = len(set(m[0])) >= DISTINCT_LEAST and not any(a < m.end() and m.start() < b for a, b, _ in base)
-        if free and models.score(m[0]) >= threshold:
-            added.append((m.start(), m.end(), "random"))
+        for start, end in left_of(m.start(), m.end(), base):
+            piece = text[start:end]
+            if len(piece) >= CANDIDATE_LEAST and len(set(piece)) >= DISTINCT_LEAST and models.score(piece) >= threshold:
+                added.append((start, end, "random"))
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def left_of(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of start to end outside ``spans``, which are sorted by start."""
+    for a, b, _ in spans:
+        if b > start and a < end:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def seeded_strings(each: int = SEEDED, seed: int = 11) -> list[str]:
     """Random strings by construction: hexadecimal, upper case and digits, letters and digits, base 64."""
     draw = random.Random(seed)

@@ -213,3 +213,15 @@ def test_training_counts_all_documents_repeats_and_joints(spark):
     for r in secret_scan.labelled_samples(documents(spark, list(enumerate(texts)))).collect():
         found[int(r.is_random), r.move] += r.n
     assert (found[0] == want[0]).all() and (found[1] == want[1]).all()
+
+
+def test_rest_of_a_run_beside_a_base_span_is_scored(models):
+    draw = random.Random(8)
+    token = "".join(draw.choices(secret_scan.ALPHABET[:62], k=40))
+    access, hexadecimal = "AKIA" + "".join(draw.choices(secret_scan.ALPHABET[26:62], k=16)), "".join(draw.choices("0123456789abcdef", k=40))
+    for text, base in ((f"{access}/{token}", (0, 20, "access")), (f"{hexadecimal}/{token}", (0, 40, "hex")), (f"{token}_token=abcdef", (41, 53, "assign"))):
+        spans = secret_scan.secret_spans(text, models)
+        assert base in spans and [k for _, _, k in spans].count("random") == 1
+        assert token not in secret_scan.redacted(text, spans, "*") and secret_scan.base_spans(text) == [base]
+    cut = f"{token[:15]}/{hexadecimal}/{token[:15]}"
+    assert [k for _, _, k in secret_scan.secret_spans(cut, models)] == ["hex"]
