@@ -49,10 +49,11 @@ def get_by_id(vectors: DataFrame, ids: Sequence[object], key: str = "doc_id") ->
 
 
 def candidate_pool(chunks: DataFrame, wanted: DataFrame, size: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """The wanted rows (positives and hard negatives), filled up to ``size`` with those of the smallest seeded hashes."""
-    ids = wanted.select(key).distinct().withColumn("_wanted", F.lit(1))
-    rows = chunks.join(ids, key, "left").withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")))
-    return rows.orderBy(F.col("_wanted").desc_nulls_last(), "_h", key).limit(size).drop("_wanted", "_h")
+    """All wanted rows (positives and hard negatives), filled up to ``size``, if they are fewer, with those of the smallest seeded hashes."""
+    ids = wanted.select(key).distinct()
+    critical = chunks.join(ids, key, "left_semi")
+    others = chunks.join(ids, key, "left_anti").withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")))
+    return critical.unionByName(others.orderBy("_h", key).limit(max(0, size - critical.count())).drop("_h"))
 
 
 def compare_embeddings(ranked: DataFrame, relevant: DataFrame, negatives: DataFrame, scores: DataFrame) -> DataFrame:

@@ -295,3 +295,11 @@ def test_results_do_not_depend_on_partitions(spark):
     rows = spark.createDataFrame([(draw.randrange(4), float(draw.randrange(30))) for _ in range(500)], "g int, v double")
     a, b = (sorted(map(str, E.latency_profile(r, ["g"], "v").collect())) for r in (rows, rows.repartition(13)))
     assert a == b
+
+
+def test_candidate_pool_keeps_every_wanted_row(spark):
+    chunks = spark.range(200).withColumnRenamed("id", "doc_id")
+    pool = lambda wanted, size: sorted(r.doc_id for r in EM.candidate_pool(chunks, spark.createDataFrame([(k,) for k in wanted], "doc_id long"), size).collect())
+    assert pool(range(0, 200, 4), 10) == [*range(0, 200, 4)]
+    filled = pool([3, 7, 7, 999], 10)
+    assert len(filled) == len(set(filled)) == 10 and {3, 7} <= set(filled)
