@@ -99,14 +99,26 @@ def pack_context(chunks: DataFrame, budget: int = 3000, separator: int = 5) -> D
 
 
 def sectioned_context(rows: DataFrame, most: int = 4000) -> DataFrame:
-    """(query_id, context) of rows (query_id, sub_no, sub_query, rank, content): a section for each sub-query, sources numbered through, cut at ``most`` characters."""
-    order = W.partitionBy("query_id").orderBy("sub_no", "rank", "content")
-    numbered = rows.withColumn("n", F.row_number().over(order))
-    line = F.concat(F.lit("[SOURCE "), F.col("n").cast("string"), F.lit("] "), F.col("content"))
-    sections = numbered.groupBy("query_id", "sub_no").agg(F.first("sub_query").alias("q"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda s: s["t"]), "\n").alias("body"))
-    text = F.concat(F.lit("## "), F.col("q"), F.lit("\n"), F.col("body"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub_no", text.alias("t")))), lambda s: s["t"]), "\n\n")
-    return sections.groupBy("query_id").agg(F.substring(whole, 1, most).alias("context"))
+    """(query_id, context) of rows (query_id, sub_no, sub_query, rank, content): a section for each sub-query, its sources whole, numbered through.
+
+    A source that would take all sources (a line end each) over ``most`` characters ends its section; headings do not count. A later section may still have room.
+    """
+    line = lambda s, r: F.concat(F.lit("[SOURCE "), (s["n"] + 1).cast("string"), F.lit("] "), F.coalesce(r["content"], F.lit("")))
+
+    def step(s: Column, r: Column) -> Column:
+        new = ~s["sub"].eqNullSafe(r["sub_no"])
+        text = F.when(s["started"] & new, F.concat(s["text"], F.lit("\n\n"))).otherwise(s["text"])
+        text = F.when(~s["started"] | new, F.concat(text, F.lit("## "), F.coalesce(r["sub_query"], F.lit("")))).otherwise(text)
+        open_ = ~s["started"] | new | s["open"]
+        fits = open_ & (s["used"] + F.length(line(s, r)) + 1 <= most)
+        return F.struct(
+            F.when(fits, F.concat(text, F.lit("\n"), line(s, r))).otherwise(text).alias("text"), F.when(fits, s["used"] + F.length(line(s, r)) + 1).otherwise(s["used"]).alias("used"),
+            F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"), r["sub_no"].alias("sub"), fits.alias("open"), F.lit(True).alias("started"),
+        )
+
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(None).cast(rows.schema["sub_no"].dataType).alias("sub"), F.lit(True).alias("open"), F.lit(False).alias("started"))
+    ordered = F.array_sort(F.collect_list(F.struct("sub_no", "rank", "content", "sub_query")))
+    return rows.groupBy("query_id").agg(ordered.alias("parts")).select("query_id", F.aggregate("parts", start, step, lambda s: s["text"]).alias("context"))
 
 
 def resolve_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.functions import dates as D
@@ -145,7 +146,8 @@ X7 = "SELECT DISTINCT l_orderkey, l_linenumber, '[Luật, Điều ' || l_partkey
 
 
 def x6(spark, d):
-    subs = candidates(spark, d).filter("score >= 0.9").select("query_id", (F.col("doc_id") % 2).cast("int").alias("sub_no"), F.concat(F.lit("part "), F.col("doc_id") % 2).alias("sub_query"), F.lit(1).alias("rank"), F.substring("content", 1, 80).alias("content"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    subs = candidates(spark, d).select("query_id", (F.col("doc_id") % 2).cast("int").alias("sub_no"), F.concat(F.lit("part "), F.col("doc_id") % 2).alias("sub_query"), place.alias("rank"), "content")
     return X.sectioned_context(subs).select("query_id", F.length("context").alias("length"))
 
 

@@ -303,3 +303,10 @@ def test_candidate_pool_keeps_every_wanted_row(spark):
     assert pool(range(0, 200, 4), 10) == [*range(0, 200, 4)]
     filled = pool([3, 7, 7, 999], 10)
     assert len(filled) == len(set(filled)) == 10 and {3, 7} <= set(filled)
+
+
+def test_sections_end_at_whole_sources(spark):
+    sizes = [(0, 1, 60), (0, 2, 80), (0, 3, 5), (1, 1, 20), (1, 2, 300), (2, 1, 200)]  # the second does not fit and ends its section
+    rows = spark.createDataFrame([(1, s, f"q{s}", r, "x" * n) for s, r, n in sizes], "query_id int, sub_no int, sub_query string, rank int, content string")
+    found = X.sectioned_context(rows, 120).first().context
+    assert found == f"## q0\n[SOURCE 1] {'x' * 60}\n\n## q1\n[SOURCE 2] {'x' * 20}\n\n## q2"
