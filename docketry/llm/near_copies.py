@@ -1,9 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles: min-hash bands propose pairs, an exact count on the texts decides.
 
 Texts with equal sets of shingles are one code. A code's ``HASHES`` minima are cut into ``BANDS``; codes that share a band are
-a bucket. In a bucket every member is compared with the first ones (by id), as many as keep the pairs in proportion to the
-bucket; a member that is a near copy leaves all buckets, and what is left is compared with the next ones, until no pair is
-untested. So a text is dropped only for a tested pair, and of a proposed pair at most one text is kept.
+a bucket. First every code is compared with the smallest id that it shares a bucket with, so a large class goes in one pair a
+text. Then in every bucket each member is compared with the first ones (by id); a member that is a near copy leaves all
+buckets, and what is left is compared with the next ones, four times as many, until no pair is untested. So a text is dropped only for a tested pair, and of a proposed pair at most one text is kept.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from docketry.llm.shared import bounded_batches, stash, text_bytes
 WIDTH, LEAST = 5, (4, 5)
 #: Minima of a text and bands of them: a pair of similarity 0.8 shares no band once in 2,900 times, one of 0.9 once in 10**7.
 HASHES, BANDS = 100, 20
-#: Pairs of a bucket in the first round, at least (one first member is always taken).
-ROUND_PAIRS = 2_000
+#: Members of a bucket that the others are compared with in the first round over whole buckets.
+FIRSTS = 4
 _P, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _DRAW = np.random.default_rng(42)
 _FACTORS = _DRAW.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,6 +105,13 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows ``other`` of the pairs (row, other) that are near copies of ``row``."""
+    sides = pairs.join(texts, "row").select("row", F.col("text").alias("a"), "other")
+    sides = sides.join(texts.select(F.col("row").alias("other"), F.col("text").alias("b")), "other")
+    return sides.filter(_similar("a", "b")).select(F.col("other").alias("row")).distinct()
+
+
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with all their columns, without those that are a near copy of one with a smaller id (nulls last; of repeated rows any one stays).
 
@@ -118,20 +125,20 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = stash(best.select("m"), "near-codes")
     texts = rows.select("row", text_bytes(F.col("doc").getField(text_col)).alias("text"))
     members = best.select("m", F.col("m.row").alias("row")).join(rows.select("row", "keys"), "row").select("m", F.explode("keys").alias("key"))
-    dropped, more = None, 1
+    tested = lambda pairs: stash(_near(pairs, texts), "near-dropped")
+    heads = members.groupBy("key").agg(F.min("m").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "u")
+    dropped = tested(members.join(heads, "key").groupBy("m.row").agg(F.min("u").alias("u")).select(F.col("u.row").alias("row"), F.col("row").alias("other")).filter("row <> other"))
+    members, firsts = members.join(dropped, F.col("m.row") == F.col("row"), "left_anti"), FIRSTS
     while True:
         gathered = members.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("ms")).filter("size(ms) > 1")
-        buckets = stash(gathered.withColumn("firsts", F.greatest(F.lit(1), F.floor(F.lit(ROUND_PAIRS) / F.size("ms"))).cast("int") * F.lit(more)), "near-buckets")
-        pairs = buckets.select("ms", F.posexplode(F.slice("ms", F.lit(1), F.col("firsts"))).alias("at", "u"))
-        pairs = pairs.select("u.row", F.explode(F.transform(F.slice("ms", F.col("at") + 2, F.size("ms")), lambda m: m["row"])).alias("other")).distinct()
-        sides = pairs.join(texts, "row").select("row", F.col("text").alias("a"), F.col("other"))
-        sides = sides.join(texts.select(F.col("row").alias("other"), F.col("text").alias("b")), "other")
-        found = stash(sides.filter(_similar("a", "b")).select(F.col("other").alias("row")).distinct(), "near-dropped")
-        dropped = found if dropped is None else dropped.unionByName(found).distinct()
-        rest = buckets.filter(F.size("ms") > F.col("firsts") + 1).select("key", F.explode(F.expr("slice(ms, firsts + 1, size(ms))")).alias("m"))
+        buckets = stash(gathered, "near-buckets")
+        pairs = buckets.select("ms", F.posexplode(F.slice("ms", 1, firsts)).alias("at", "u"))
+        found = tested(pairs.select("u.row", F.explode(F.transform(F.slice("ms", F.col("at") + 2, F.size("ms")), lambda m: m["row"])).alias("other")).distinct())
+        dropped = dropped.unionByName(found)
+        rest = buckets.filter(F.size("ms") > firsts + 1).select("key", F.explode(F.slice("ms", F.lit(firsts + 1), F.size("ms"))).alias("m"))
         members = stash(rest.join(found, F.col("m.row") == F.col("row"), "left_anti"), "near-members")
         if members.isEmpty():
             break
-        more *= 4
+        firsts *= 4
     kept = best.select("m.row").join(dropped, "row", "left_anti")
     return rows.join(kept, "row", "left_semi").select("doc.*")

@@ -65,7 +65,7 @@ def test_near_copies_stage_drops_edited_texts(spark, tmp_path):
 
 
 def test_near_copies_in_buckets_of_unlike_texts(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "ROUND_PAIRS", 1)  # one first member a round, then four times as many
+    monkeypatch.setattr(near_copies, "FIRSTS", 1)  # one first member a round, then four times as many
     common = " ".join(f"c{j}" for j in range(60))
     rows = [(k, f"{common} " + " ".join(f"w{k % 20}x{j}" for j in range(10)) + " end" * (k // 20)) for k in range(60)]
     kept = near_copies.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string"))
