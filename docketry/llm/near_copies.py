@@ -1,9 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles: min-hash bands propose pairs, an exact count on the texts decides.
 
 Texts with equal sets of shingles are one code. A code's ``HASHES`` minima are cut into ``BANDS``; codes that share a band are
-a bucket. First every code is compared with the smallest id that it shares a bucket with, so a large class goes in one pair a
-text. Then in every bucket each member is compared with the first ones (by id); a member that is a near copy leaves all
-buckets, and what is left is compared with the next ones, four times as many, until no pair is untested. So a text is dropped only for a tested pair, and of a proposed pair at most one text is kept.
+a bucket. First every code is compared with the smallest id that it shares a bucket with, so near copies of that one go in one
+pair a text. Then in every bucket each member is compared with the first ones (by id); a member that is a near copy leaves all
+buckets, and what is left is compared with the next ones, four times as many, until no pair is untested; texts that share a bucket and are
+not similar enough cost pairs with the square of the bucket. So a text is dropped only for a tested pair, and of a proposed pair at most one text is kept.
 """
 
 from __future__ import annotations
