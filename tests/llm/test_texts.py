@@ -66,10 +66,72 @@ def test_classes_match_brute_force(spark):
     out = simhash.simhash_classes(documents(spark, rows))
     found = Counter((r.doc_id, f"{r.fingerprint & (1 << 64) - 1:016x}", r.component_id) for r in out.collect())
     assert found == classes(rows)
-    kept = simhash.keep_one(documents(spark, rows))
-    assert kept.columns == ["doc_id", "text", "fingerprint", "piece", "spans"]
-    want = Counter(c for _, _, c in set((f, None, c) for _, f, c in classes(rows)))
-    assert kept.count() == len({c for _, _, c in classes(rows)}) and set(r.doc_id for r in kept.collect()) == set(want)
+
+
+def test_classes_over_several_trees_match_brute_force(spark):
+    """A table of more codes than a tree holds: dealt by blocks, and where these are shared by too many again by blocks of the other bits."""
+    draw = np.random.default_rng(9)
+    codes = draw.integers(0, 1 << 20, 60, dtype=np.uint64) << np.uint64(44) | np.uint64(7)  # the low bits are shared by all
+    for _ in range(3):
+        codes = np.unique(np.concatenate([codes, codes ^ (np.uint64(1) << draw.integers(0, 64, len(codes), dtype=np.uint64))]))
+    units = spark.createDataFrame([(simhash.signed(int(c)),) * 2 for c in codes], "unit long, code long")
+    for limit, tree_codes in ((1, 30), (2, 60)):
+        rows = simhash.dealt(units, limit, tree_codes).collect()
+        assert max(r.key for r in rows) > limit + 1  # some were dealt again
+        held = Counter((r.key, r.bits) for r in rows)
+        assert max(held.values()) <= 2 * tree_codes and len({(r.key, r.unit) for r in rows}) == len(rows)
+        edges = simhash.near_edges(units, limit, tree_codes)
+        found = {(min(r.u, r.v), max(r.u, r.v)) for r in edges.collect()}
+        want = {(min(x, y), max(x, y)) for i, a in enumerate(codes) for b in codes[:i] if int(a ^ b).bit_count() <= limit for x, y in [(simhash.signed(int(a)), simhash.signed(int(b)))]}
+        assert found <= want and components(found) == components(want)
+        every = [(min(r.u, r.v), max(r.u, r.v)) for r in simhash.near_edges(units, limit, tree_codes, most=10_000).collect()]
+        assert sorted(every) == sorted(want)  # each pair from one tree only
+
+
+def components(edges):
+    root = {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in list(root)}
+
+
+def test_kept_rows_match_brute_force(spark, monkeypatch):
+    """Groups of pairs within eight bits whose five-word shingles are alike; unlike texts within the limit are told apart."""
+    monkeypatch.setattr(simhash, "GROWTH", 2)
+    draw = random.Random(14)
+    common = [f"w{k}" for k in range(300)]
+    rows = [(500 - i, " ".join(draw.choices(common, k=draw.randint(2, 200)))) for i in range(80)]
+    for i in range(120):  # edited copies of copies: similarities on both sides of 0.8
+        words = draw.choice(rows)[1].split()
+        for at in draw.sample(range(len(words)), max(1, len(words) * draw.randint(0, 4) // 100)):
+            words[at] = f"v{i}"
+        rows.append((1000 + i, " ".join(words)))
+    base = rows[0][1].split()
+    rows += [(2000 + k, " ".join([*base, f"end{k}"])) for k in range(60)]
+    rows += [(5000, None), (4999, ""), (5001, " \n"), (None, "one"), (None, "one"), (7, "One"), (7, "one"), (6000, "one two"), (6001, "word " * 70_000)]
+    docs = documents(spark, rows)
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set()
+    words = [(t or "").lower().split() for _, t in rows]
+    sets, codes = [shingles(t) for t in words], [slow_fingerprint(t) for _, t in rows]
+    near = lambda a, b: words[a] == words[b] or ((codes[a] ^ codes[b]).bit_count() <= 8 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    edges = [(b, a) for a in range(len(rows)) for b in range(a) if near(a, b)]
+    unlike = sum((codes[a] ^ codes[b]).bit_count() <= 8 and not near(a, b) for a in range(len(rows)) for b in range(a))
+    root = {k: k for k in range(len(rows))} | components(edges)
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best.setdefault(root[k], []).append((i is None, i or 0, k))
+    want = Counter(rows[min(v)[2]][0] for v in best.values())
+    for tree_codes in (2048, 60):
+        kept = simhash.keep_one(docs, tree_codes=tree_codes)
+        assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == want
+    assert unlike > 5 and 80 < sum(want.values()) < 200
 
 
 def test_index_finds_all_links_and_only_those():
@@ -78,19 +140,23 @@ def test_index_finds_all_links_and_only_those():
     for _ in range(3):
         codes = np.unique(np.concatenate([codes, codes ^ (np.uint64(1) << draw.integers(0, 64, len(codes), dtype=np.uint64))]))
     groups = draw.integers(0, 3, len(codes))
-    index = simhash.GrayIndex(groups, codes)
-    found = {tuple(sorted((int(index.codes[a]), int(index.codes[b])))) for x, y in index.links(2) for a, b in zip(x, y, strict=True)}
-    want = {(int(min(a, b)), int(max(a, b))) for i, a in enumerate(codes) for j, b in enumerate(codes[:i]) if groups[i] == groups[j] and int(a ^ b).bit_count() <= 2}
-    assert found == want and len(want) > 100
-
-
-def test_masks_lose_no_pair():
-    draw = random.Random(2)
-    wanted = simhash.masks(2)
-    for _ in range(500):
-        differ = sum(1 << b for b in draw.sample(range(64), 2))
-        assert any(not differ & m for m in wanted)
-    assert all(30 < m.bit_count() < 40 for m in wanted)
+    for limit in (0, 2, 9):
+        index = simhash.GrayIndex(groups, codes)
+        found = {tuple(sorted((int(index.codes[a]), int(index.codes[b])))) for x, y, _ in index.pairs(limit) for a, b in zip(x, y, strict=True)}
+        want = {(int(min(a, b)), int(max(a, b))) for i, a in enumerate(codes) for j, b in enumerate(codes[:i]) if groups[i] == groups[j] and int(a ^ b).bit_count() <= limit}
+        assert found == want and (not limit or len(want) > 100)
+
+
+def test_index_prunes_whole_groups():
+    """A large tree has upper nodes, and a search sees a small share of it; classes that are linked already are not searched again."""
+    codes = np.random.default_rng(2).integers(0, 2**63, 16_384, dtype=np.uint64)
+    index = simhash.GrayIndex(np.zeros(len(codes), np.int64), codes)
+    assert len(index.levels) == 5
+    assert not sum(len(a) for a, _, _ in index.pairs(2))
+    assert index.visited < 0.15 * len(codes) ** 2 / 2 and index.pruned > 20 * len(codes)
+    before = index.visited
+    index.link(np.zeros(len(codes), np.int64))
+    assert not sum(len(a) for a, _, _ in index.pairs(64)) and index.visited - before <= 8 * len(codes)
 
 
 def test_components_of_a_long_chain(spark):
