@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm.mixing import emit
-from docketry.llm.near_copies import keep_distinct
 from docketry.llm.packing import default_tokenizer, pack_documents
 from docketry.llm.quality import with_quality
 from docketry.llm.secret_scan import labelled_samples, redact, train_markov
 from docketry.llm.shared import stash, table
+from docketry.llm.simhash import keep_one
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the near copies (five-word Jaccard similarity of 0.8 or more) of one with a smaller id."""
-    return keep_distinct(docs.select(*COLUMNS))
+    """One document of each group of copies and near copies: fingerprints within eight bits by the Gray index, five-word Jaccard similarity of 0.8 or more."""
+    return keep_one(docs.select(*COLUMNS))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
