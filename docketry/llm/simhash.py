@@ -36,6 +36,8 @@ TREE_CODES, WIDE_TREE_CODES = 16_384, 2048
 HOT_ROWS = 10_000
 #: Near copies that an exact test decides: words of a shingle and least Jaccard similarity; bits their fingerprints may differ in.
 ALIKE_WIDTH, ALIKE_LEAST, ALIKE_LIMIT = 5, (4, 5), 8
+#: Bins that the shingles of a text are counted in, to bound how many two texts can share.
+BINS = 256
 #: Rows whose keys are broadcast rather than shuffled with the texts.
 BROADCAST_ROWS = 1_000_000
 #: How many more pairs a fingerprint may have tested in a round than in the round before.
@@ -258,14 +260,14 @@ def dealt(units: DataFrame, limit: int, tree_codes: int) -> DataFrame:
 def near_edges(units: DataFrame, limit: int = 2, tree_codes: int = TREE_CODES, most: int | None = None) -> DataFrame:
     """(u, v) that connect all units (unit, code, and optionally label and refused) whose codes are within ``limit`` bits.
 
-    Units of one ``label`` count as connected, pairs with a unit in the array ``refused`` of either are left out. Without ``most`` the edges of each
+    Units of one ``label`` count as connected; pairs with a unit in the array ``refused`` of either are left out, and those that cannot be alike by their ``bins``. Without ``most`` the edges of each
     tree are a forest; with it they are all pairs, but for each unit the nearest ``most`` of those that its tree has after it. Every pair belongs to one tree.
     """
     if "label" not in units.columns:
         units = units.withColumn("label", F.col("unit"))
     if "refused" not in units.columns:
-        units = units.withColumn("refused", F.lit(None).cast("array<long>"))
-    rows = dealt(units.select("unit", "code", "label", "refused"), limit, tree_codes)
+        units = units.withColumns({"refused": F.lit(None).cast("array<long>"), "bins": F.lit(None).cast("binary")})
+    rows = dealt(units.select("unit", "code", "label", "refused", "bins"), limit, tree_codes)
     trees = max(1, math.ceil(units.count() / tree_codes))
     rows = rows.withColumn("tree", F.pmod(F.xxhash64("key", "bits"), F.lit(trees)).cast("int"))
     tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, trees))
@@ -293,13 +295,23 @@ def near_edges(units: DataFrame, limit: int = 2, tree_codes: int = TREE_CODES, m
                     there = there[(there < len(names)) & (names[np.minimum(there, len(names) - 1)] == refused)]
                     bad += [(min(x, y), max(x, y)) for x, y in zip(place[there].tolist(), [int(place[k])] * len(there), strict=True)]
             banned = np.array(sorted({x * (to - at) + y for x, y in bad}), np.int64)
+            bins = None
+            if part["bins"].notna().all():
+                bins = np.frombuffer(b"".join(part["bins"]), "<u2").reshape(-1, BINS)[index.order]
 
-            def allowed(a: np.ndarray, b: np.ndarray, index=index, own=own, before=before, banned=banned) -> np.ndarray:
+            def allowed(a: np.ndarray, b: np.ndarray, index=index, own=own, before=before, banned=banned, bins=bins) -> np.ndarray:
                 differ = index.codes[a] ^ index.codes[b]
                 keep = differ & own == 0
                 for m in before:
                     keep &= differ & m != 0
-                return keep & ~np.isin(a * len(index.codes) + b, banned) if len(banned) else keep
+                if len(banned):
+                    keep &= ~np.isin(a * len(index.codes) + b, banned)
+                if bins is not None:
+                    at = np.flatnonzero(keep)
+                    for k in range(0, len(at), 1 << 14):
+                        some = at[k : k + (1 << 14)]
+                        keep[some] = can_be_alike(bins[a[some]], bins[b[some]])
+                return keep
 
             for a, b in spanning(index, limit, allowed) if most is None else nearest(index, limit, allowed, most):
                 yield pd.DataFrame({"u": of[a], "v": of[b]})
@@ -369,6 +381,27 @@ def similar(a: bytes, b: bytes, width: int = ALIKE_WIDTH, least: tuple[int, int]
     return both * least[1] >= (len(x) + len(y) - both) * least[0]
 
 
+def shingle_bins(data: bytes, width: int = ALIKE_WIDTH) -> bytes:
+    """How many distinct shingles of a text fall into each of ``BINS`` bins by their hash, as 16-bit numbers; all are full if one overflows."""
+    import xxhash
+
+    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in _shingles(data, width)), np.uint64)
+    counts = np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+    return (counts if counts.max() < 65_535 else np.full(BINS, 65_535)).astype("<u2").tobytes()
+
+
+def can_be_alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = ALIKE_LEAST) -> np.ndarray:
+    """False only for rows of bins of texts whose similarity is below ``least``: two texts share at most the sum of the lesser counts."""
+    shared = np.minimum(a, b).sum(1, dtype=np.int64)
+    sizes = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
+    return shared * (least[0] + least[1]) >= sizes * least[0]
+
+
+@F.pandas_udf(T.BinaryType())
+def _bins(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_bins(bytes(t)) for t in texts], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
@@ -385,7 +418,8 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
     ``units`` has (unit, code), ``rows`` (unit, text as bytes) with at least those units. A forest of the index's links, and of each code the links to its
     first unit, are tested on the texts first.
     Where a test fails, classes that the failed edges touch are searched again for pairs that lead out of them, nearest first, ``GROWTH`` times as
-    many in each round, until every pair of different classes has been tested; so pairs within a class cost no test.
+    many in each round, until every pair of different classes has been tested; so pairs within a class cost no test, nor do those whose counts of
+    shingles in bins show that they cannot be alike.
     """
     no_edges = units.sparkSession.createDataFrame([], "u long, v long")
     firsts = units.groupBy("code").agg(F.min("unit").alias("unit"))
@@ -412,8 +446,9 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
         known = stash(known, "alike-known")
         touched = refused.select(F.explode(F.array("u", "v")).alias("unit")).join(known, "unit").select("label").distinct()
         others = refused.groupBy(F.col("u").alias("unit")).agg(F.collect_list("v").alias("refused"))
-        again = known.join(touched, "label", "left_semi").join(units, "unit").join(others, "unit", "left")
-        edges = stash(near_edges(stash(again.select("unit", "code", "label", "refused"), "alike-again"), limit, tree_codes, most), "alike-edges")
+        again = known.join(touched, "label", "left_semi").join(units, "unit").join(others, "unit", "left").join(texts, "unit")
+        again = stash(again.select("unit", "code", "label", "refused", _bins("text").alias("bins")), "alike-again")
+        edges = stash(near_edges(again, limit, tree_codes, most), "alike-edges")
         if edges.isEmpty():
             break
         most *= GROWTH

@@ -134,6 +134,14 @@ def test_kept_rows_match_brute_force(spark, monkeypatch):
     assert unlike > 5 and 80 < sum(want.values()) < 200
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), max_size=40), st.lists(st.sampled_from("abcdef"), max_size=40))
+def test_bins_rule_out_unlike_texts_only(a, b):
+    a, b = " ".join(a).encode(), " ".join(b).encode()
+    x, y = (np.frombuffer(simhash.shingle_bins(t), "<u2").reshape(1, -1) for t in (a, b))
+    assert simhash.can_be_alike(x, y)[0] or not simhash.similar(a, b)
+
+
 def test_index_finds_all_links_and_only_those():
     draw = np.random.default_rng(1)
     codes = draw.integers(0, 2**63, 40, dtype=np.uint64)
