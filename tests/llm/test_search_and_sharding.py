@@ -38,6 +38,28 @@ def test_one_shard_is_exact(vectors, k):
         assert [(i, r + 1, int(v), int(s)) for r, (v, s) in enumerate(found)] == brute(list(zip(ids.tolist(), vectors, strict=True)), [(i, q)], k)
 
 
+def test_search_reads_less_where_bounds_can_prune():
+    """Rows with few large components in few dimensions: most postings are never read and most rows never probed, and answers stay those of all pairs."""
+    draw = np.random.default_rng(3)
+    vectors = np.where(draw.random((6000, 40)) < 0.1, draw.geometric(0.02, (6000, 40)) * draw.choice([-1, 1], (6000, 40)), 0).astype(float)
+    ids = draw.permutation(6000)
+    shard = maxscore.Shard(ids, vectors, segment_rows=256)
+    for at in range(0, 6000, 300):
+        found = shard.search(vectors[at], int(ids[at]), 5)
+        scores = vectors @ vectors[at]
+        scores[at] = -math.inf
+        want = np.lexsort((ids, -scores))[:5]
+        assert found[0].tolist() == ids[want].tolist() and found[1].tolist() == scores[want].tolist()
+    nonzero, pairs = 20 * np.count_nonzero(vectors), 20 * vectors.size
+    assert shard.read < 0.5 * nonzero and shard.probed < 0.2 * pairs, (shard.read / nonzero, shard.probed / pairs)
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = spark.createDataFrame([(0, [1, 2]), (1, [3, 4]), (2, [1]), (3, [1, 2, 3]), (50, []), (4, [5, 6])], "vec_id long, vector array<long>")
+    found = maxscore.maxscore_topk(rows, rows.filter("vec_id % 50 = 0"), 5)
+    assert sorted((r.query_id, r.vec_id, r.score) for r in found.collect()) == [(0, 1, 11), (0, 4, 17)]
+
+
 def test_topk_leaves_out_unusable_vectors(spark):
     rows = spark.createDataFrame(
         [(0, [1.0, 0.5]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [-0.001, 2.0]), (None, [1.0, 1.0]), (0, [1.0, 0.5])],
