@@ -2,7 +2,8 @@
 
 Tokens are summed per source, a repetition rate is derived for each source, and every document is
 emitted floor(rate) times plus one more copy with probability equal to the fraction, drawn from a
-hash of the seed and the document's id, so that reruns agree.
+hash of the seed and the document's id, so that reruns agree. Of a fixed number of seeds each source takes the one whose draws
+bring its words nearest to its target (ties: the smallest seed); the words are summed per source and seed from sizes and ids alone.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from docketry.llm.shared import stash, table, uniform
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of per-source rates of up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Seeds that a source chooses from.
+SEEDS = 64
 
 
 def word_count(text: str | Column) -> Column:
@@ -56,7 +59,8 @@ def mix(
     size: Column | None = None,
     weights: Sequence[float] = (5, 2, 1),
     max_repeat: int = 3,
-    seed: int = 7,
+    seeds: int = SEEDS,
+    broadcast_sources: int = BROADCAST_SOURCES,
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
@@ -68,18 +72,20 @@ def mix(
     repeated rows. Other columns of ``docs`` are not read, whatever their names. An empty table gives no rows.
     """
     size = word_count(text_col) if size is None else size
-    rows = docs.select(F.struct(F.col(id_col), *[F.col(c) for c in keep]).alias("row"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    light = docs.select(F.col(source_col).cast("string").alias("source"), size.alias("size"))
-    if not keep:  # a few bytes a row: write them once rather than read the texts twice
-        rows = stash(rows, "mix-sizes")
-        light = rows.select("source", "size")
+    rows = docs.select(F.struct(F.col(id_col), *[F.col(c) for c in keep]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    light = stash(rows.select("id", "source", "size"), "mix-sizes")  # a few bytes a row
+    if not keep:
+        rows = light.withColumn("row", F.struct(F.col("id").alias(id_col)))
     targets = stash(source_targets(light, weights, max_repeat), "mix-targets").withColumnRenamed("source", "of")
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    joined = rows.join(targets, F.col("source").eqNullSafe(F.col("of")))
+    small = targets.count() <= broadcast_sources
+    of_source = lambda df, per: df.join(F.broadcast(per) if small else per, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_repeat)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    whole = F.floor(rate)
-    copies = whole + F.when(uniform(F.lit(seed), F.col(f"row.{id_col}")) < rate - whole, 1).otherwise(0)
+    copies = F.floor(rate) + F.when(uniform(F.col("seed"), F.col("id")) < rate - F.floor(rate), 1).otherwise(0)
+    tried = of_source(light, targets).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    sums = tried.groupBy("of", "seed", "target").agg(F.sum(F.col("size") * copies).alias("taken"))
+    best = sums.groupBy("of").agg(F.min(F.struct(F.abs(F.col("taken") - F.col("target")).alias("off"), "seed")).getField("seed").alias("seed"))
+    targets = targets.join(best.withColumnRenamed("of", "with"), F.col("of").eqNullSafe(F.col("with"))).drop("with")
+    joined = of_source(rows, stash(targets, "mix-seeds"))
     return joined.select("row.*", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
@@ -116,10 +122,17 @@ WITH sized AS (
       (total - coalesce((sum(cap) FILTER (capped) OVER ())::BIGINT, 0)) / sum(weight) FILTER (NOT capped) OVER ()) END AS target
   FROM d
 ), rated AS (
-  SELECT doc_id, size, source_size, target,
-         CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS rate,
-         (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  SELECT doc_id, sized.source, size, source_size, target,
+         CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0::DOUBLE END AS rate
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
-), copied AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM rated)
-SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copied
+), drawn AS (
+  SELECT *, (('0x' || substr(md5(seed::VARCHAR || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM rated, (SELECT unnest(range(64)) AS seed)
+), copied AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies FROM drawn),
+best AS (
+  SELECT source, arg_min(seed, (off, seed)) AS seed FROM (
+    SELECT source, seed, abs(sum(size * copies)::BIGINT - any_value(target)) AS off FROM copied GROUP BY source, seed)
+  GROUP BY source
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM copied JOIN best ON copied.seed = best.seed AND copied.source IS NOT DISTINCT FROM best.source
 """

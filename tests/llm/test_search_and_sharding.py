@@ -116,6 +116,21 @@ def test_mix_and_emit(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.emit(docs.limit(0)).count() == 0
 
 
+def test_many_sources_are_joined_by_shuffle(spark):
+    docs = documents(spark, [(i, "w " * (i % 7), None if i % 11 == 0 else f"s{i % 40}") for i in range(800)])
+    assert sorted(map(str, mixing.mix(docs, broadcast_sources=3).collect())) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+@pytest.mark.parametrize("folder, share", [("sf0.01", 0.05), ("sf0.1", 0.02)])
+def test_taken_words_come_near_the_targets(spark, folder, share):
+    taken, target, rows = Counter(), {}, Counter()
+    for r in mixing.op8_mixing(spark, f"/root/testdata/{folder}").collect():
+        taken[r.source_size] += r.taken
+        target[r.source_size], rows[r.source_size] = r.target, rows[r.source_size] + 1
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - t) <= share * t for s, t in target.items() if rows[s] >= 50)
+
+
 def test_rows_of_a_source_of_size_zero_stay(spark):
     found = mixing.mix(documents(spark, [(1, None, "a"), (2, "", "b")])).collect()
     assert [(r.size, r.source_size, r.target, r.copies) for r in found] == [(0, 0, 0.0, 0)] * 2
