@@ -12,8 +12,9 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
-#: Bytes of a word that its hash covers.
-LONGEST = 24
+_Q = np.uint64(0x2545F4914F6CDD1D)
+#: Words longer than LONG bytes that hold bytes above ASCII (scripts without spaces) also give each window of WINDOW bytes that begins a character.
+LONG, WINDOW = 24, 6
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -34,24 +35,30 @@ def words_of(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def word_features(texts: Sequence[bytes], prefixes: Sequence[int] = (4, 5, 6, 7, 8)) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, 64-bit hash) of every word and of its prefixes of the given byte lengths, repeats included."""
+    """(text number, 64-bit hash) of every word, of its prefixes of the given byte lengths, and of the windows of long words above ASCII; repeats included.
+
+    A hash covers every byte: it sums values that depend on a byte and its place in the word.
+    """
     low, starts, sizes, owner = words_of(texts)
-    found_owner, found = [], []
-    h = np.zeros(len(starts), np.uint64)
-    at, left, of = starts, sizes, owner
-    for j in range(LONGEST):
-        if not len(at):
-            break
-        h = (h + low[at + j] + np.uint64(1)) * _P
-        done = (left == j + 1) | (j + 1 == LONGEST)
-        if done.any():
-            found_owner.append(of[done])
-            found.append(mixed(h[done]))
-            go = ~done
-            h, at, left, of = h[go], at[go], left[go], of[go]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    value = (low.astype(np.uint64) + np.uint64(1)) * _P
+    place = np.arange(len(low), dtype=np.uint64) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(low)])).astype(np.uint64)
+    spread = mixed(value + place * _Q)
+    spread[~_IN_WORD[low]] = 0
+    found_owner, found = [owner], [mixed(np.add.reduceat(spread, starts) + np.uint64(1 << 32))]
+    h, at, left, of = np.zeros(len(starts), np.uint64), starts, sizes, owner
+    for j in range(max(prefixes, default=0)):
+        longer = left > j + 1
+        h, at, left, of = h[longer] + spread[at[longer] + j], at[longer], left[longer], of[longer]
         if j + 1 in prefixes:
             found_owner.append(of)
             found.append(mixed(h + np.uint64(j + 1)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    high = np.add.reduceat(low >= 128, starts, dtype=np.int64) > 0
+    for word in np.flatnonzero((sizes > LONG) & high):
+        at = np.arange(starts[word], starts[word] + sizes[word] - WINDOW + 1)
+        at = at[low[at] & 0xC0 != 0x80]
+        h = sum(mixed(value[at + j] + np.uint64(j) * _Q) for j in range(WINDOW))
+        found_owner.append(np.full(len(at), owner[word]))
+        found.append(mixed(h + np.uint64(1 << 33)))
     return np.concatenate(found_owner), np.concatenate(found)

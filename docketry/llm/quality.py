@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.hashing import mixed
-from docketry.llm.shared import bounded_batches, hash_sample, held_out, table, text_bytes
+from docketry.llm.shared import bounded_batches, hash_sample, held_out, new_column, stash, table, text_bytes
 
 #: Words of a passage; labelled documents that a model is fitted on (chosen by a hash of the id).
 PASSAGE_WORDS, FIT_DOCS = 64, 6000
+#: Bytes of features that a model is fitted on, at most.
+FIT_BYTES = 192 << 20
 #: Neutral words that a passage's shares are taken over besides its own, and their length.
 NEUTRAL_WORDS, NEUTRAL_CHARS = 3, 5
 #: Buckets of hashed word endings in a passage's features.
@@ -182,16 +184,36 @@ def fit(bags: Sequence[np.ndarray], y: np.ndarray, hidden: int = 24, gate: int =
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, data, label) of at most ``most`` labelled ids that are not held out, by a hash of the id; ids are joined by broadcast of so many."""
+    """(id, data, label), one row for each of at most ``most`` labelled ids that are not held out, by a hash of the id; ids are joined by broadcast of so many.
+
+    Of a repeated id the label with the smaller hash counts, and the text whose SHA-256 is least.
+    """
     bounded_batches(docs.sparkSession)
     few = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label).cast("int").alias("label")).dropna().filter(~held_out(F.col("id")))
-    few = hash_sample(few, most, "id", "label")
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_bytes(text_col).alias("data"))
-    return rows.join(F.broadcast(few), "id").select("id", "data", "label")
+    few = hash_sample(few.groupBy("id").agg(F.min_by("label", F.xxhash64("id", "label")).alias("label")), most, "id", "label")
+    few = stash(few, "fit-ids")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), text_bytes(text_col).alias("data")).join(F.broadcast(few), "id")
+    one = rows.groupBy("id").agg(F.min(F.struct(F.sha2("data", 256).alias("sha"), "data", "label")).alias("m"))
+    return one.select("id", "m.data", "m.label")
+
+
+def within_bytes(encoded: DataFrame, size: Column, most_bytes: int) -> pd.DataFrame:
+    """Encoded rows, one an id and in the order of a hash of the id, while their ``size`` in bytes adds up to ``most_bytes`` at most.
+
+    Only the ids and sizes, at most as many as ids were sampled, are looked at before the rows that fit are fetched. A row that alone is too large is left out.
+    """
+    encoded = stash(encoded.withColumns({"size": size, "turn": F.xxhash64("id")}), "fit-rows")
+    chosen, held = [], 0
+    for row in encoded.select("id", "size", "turn").orderBy("turn", "id").collect():
+        if held + row["size"] <= most_bytes:
+            held += row["size"]
+            chosen.append((row["id"],))
+    kept = F.broadcast(encoded.sparkSession.createDataFrame(chosen, "id string"))
+    return encoded.join(kept, "id").toPandas().sort_values(["turn", "id"], kind="stable", ignore_index=True)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
-    """Fit on at most ``most`` labelled documents; their passages are encoded in the tasks."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = FIT_DOCS, most_bytes: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> AttentionModel:
+    """Fit on at most ``most`` labelled documents and ``most_bytes`` of their passages' features, which are encoded in the tasks."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -202,8 +224,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
                 part = pdf.iloc[at : at + len(some)]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "bag": bags})
 
-    found = labelled_rows(docs, labels, label, most, id_col, text_col).mapInPandas(encode, "id string, label int, bag binary").toPandas()
-    found = found.sort_values(["id", "label"], kind="stable")
+    encoded = labelled_rows(docs, labels, label, most, id_col, text_col).mapInPandas(encode, "id string, label int, bag binary")
+    found = within_bytes(encoded, F.octet_length("bag").cast("long"), most_bytes)
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b in found["bag"]]
     return fit(bags, found["label"].to_numpy().astype(float))
 
@@ -219,9 +241,11 @@ def score(model: AttentionModel, data: Column) -> Column:
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "score", **options) -> DataFrame:
-    """Add the score, likelier label 1 the higher. Null texts are empty and score as such; every row stays, repeated ones score alike;
-    without usable labels all scores are 0.5. Labels of held-out ids are never learned from.
+    """Add the score, likelier label 1 the higher. Null texts are empty and score as such, very long ones by all their passages; every row stays, repeated ones score alike;
+    without usable labels all scores are 0.5. Labels of held-out ids are never learned from; null ids and null labels are no labels. A column ``name`` must not exist;
+    other columns may have any name. An empty table gives no rows.
     """
+    new_column(docs, name)
     return docs.withColumn(name, score(fit_quality(docs, labels, id_col=id_col, text_col=text_col, **options), text_bytes(text_col)))
 
 

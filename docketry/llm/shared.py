@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which every executor can reach.
+    """A new folder name under ``spark.checkpoint.dir``, which every executor can reach, with its file system's scheme.
 
-    Where the setting is absent (tests on one machine) it is set to a new temporary folder.
+    Where the setting is absent and the master is this machine alone (tests) it is set to a new temporary folder; on a cluster that is an error.
+    Files stay for as long as results may be read; whoever ends the application clears the folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -70,6 +76,13 @@ def hash_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return few.orderBy(F.xxhash64(*key), *key).limit(most)
 
 
+def new_column(docs: DataFrame, name: str) -> str:
+    """``name``, if ``docs`` has no such column (in any case of letters); else an error, so that nothing is overwritten."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {name} already; give another name")
+    return name
+
+
 def held_out(id_col: Column) -> Column:
     """True for rows that no label may be learned from: crc32 of the id as text is a multiple of five."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
