@@ -25,6 +25,8 @@ from docketry.llm.shared import bounded_batches, table, text_bytes
 ROW, FRAME_ROWS = 64, 512
 #: Levels of each of red, green and blue in a histogram (the top two bits).
 LEVELS = 4
+#: Pixels of a canvas or a frame that a decoder accepts at most.
+MOST_PIXELS = 1 << 26
 TABLE = 4096
 _BITS = np.arange(16)
 
@@ -163,11 +165,13 @@ def row_order(height: int, interlaced: bool) -> np.ndarray:
     return np.concatenate([np.arange(first, height, step) for first, step in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes) -> tuple[int, int, list[Frame]]:
-    """Canvas width and height and the frames of a GIF file."""
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> tuple[int, int, list[Frame]]:
+    """Canvas width and height and the frames of a GIF file; a canvas or frame of more than ``most_pixels`` is an error."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > most_pixels:
+        raise GifError(f"a canvas of {width} x {height} pixels")
     at = 13
 
     def colours(flags: int, at: int) -> tuple[np.ndarray | None, int]:
@@ -197,6 +201,8 @@ def decode(data: bytes) -> tuple[int, int, list[Frame]]:
             if at + 11 > len(data):
                 raise GifError("the file ends within an image")
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+            if w * h > most_pixels:
+                raise GifError(f"a frame of {w} x {h} pixels")
             own, at = colours(flags, at + 10)
             palette = shared if own is None else own
             if palette is None:
@@ -281,8 +287,9 @@ FRAME_SCHEMA = (
 def gif_frames(df: DataFrame, id_col: str, gif_col: str, with_samples: bool = True) -> DataFrame:
     """One row per frame of a binary column of GIF files: the id, rectangle, start time, delay, rules, samples and histogram.
 
-    The histogram counts the opaque pixels of the whole canvas as shown with the frame. A null or broken file gives one row with
-    its error and no frame; a file without frames gives none. Repeated rows each give their frames.
+    The histogram counts the opaque pixels of the whole canvas as shown with the frame. A null, empty or broken file, and one that declares more than
+    ``MOST_PIXELS`` pixels, gives one row with its error and no frame; a file without frames gives none. Repeated rows each give their frames; null ids
+    stay null; other columns are not read, whatever their names; an empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", *[c.split()[0] for c in FRAME_SCHEMA.split(", ")]]
@@ -314,16 +321,17 @@ def digest(payload: bytes) -> tuple:
     media = encode_bytes(payload)
     width, height, frames = decode(media)
     read = b"".join(f.samples for f in frames)
-    total = np.zeros(LEVELS**3, np.int64)
-    for canvas in painted(width, height, frames):
-        total += histogram(canvas)
-    top = np.lexsort((np.arange(len(total)), -total))[:8]
-    feature = f"{width}x{height}x{len(frames)};{sum(f.delay_ms for f in frames)}ms;" + ",".join(f"{k}:{total[k]}" for k in top if total[k])
+    start, parts = 0, []
+    for f, canvas in zip(frames, painted(width, height, frames), strict=True):
+        counts = histogram(canvas)
+        parts.append(f"{start}+{f.delay_ms}ms;" + ",".join(f"{k}:{counts[k]}" for k in np.flatnonzero(counts)))
+        start += f.delay_ms
+    feature = f"{width}x{height}x{len(frames)}|" + "|".join(parts)
     return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its text as a padded payload, stored as a GIF and read back.
+    """One row per document: its text as a padded payload, stored as a GIF and read back; the feature has each frame's start, time and histogram.
 
     Null and empty texts give 64 zeros; repeated rows give equal rows; long texts take several frames. Other columns are not read.
     """

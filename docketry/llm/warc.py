@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.shared import bounded_batches, scratch, stash, table
@@ -25,7 +25,9 @@ CRLF = b"\r\n"
 CHUNK = 1 << 16
 #: Tasks that read archives, at most.
 READ_TASKS = 100_000
-RECORD_ID = "urn:x-page:"
+RECORD_ID, NULL_ID = "urn:x-page:", "urn:x-null-page"
+#: Payloads held by several pages whose first pages are broadcast; more are joined by shuffle.
+BROADCAST_FIRSTS = 200_000
 
 
 class WarcError(ValueError):
@@ -46,7 +48,7 @@ def record_member(page_id: object, url: object, payload: bytes, refers_to: objec
     block = head if refers_to is not None else head + payload
     fields = {
         "WARC-Type": "revisit" if refers_to is not None else "response",
-        "WARC-Record-ID": f"<{RECORD_ID}{'null' if page_id is None else page_id}>",
+        "WARC-Record-ID": f"<{NULL_ID if page_id is None else RECORD_ID + quote(str(page_id), safe='')}>",
         "WARC-Date": date,
         "WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}",
         "WARC-Block-Digest": f"sha1:{sha1_base32(block)}",
@@ -55,7 +57,7 @@ def record_member(page_id: object, url: object, payload: bytes, refers_to: objec
     if url is not None:
         fields["WARC-Target-URI"] = quote(str(url), safe="%/:=&?~#+!$,;'@()*[]")
     if refers_to is not None:
-        fields["WARC-Refers-To"] = f"<{RECORD_ID}{refers_to}>"
+        fields["WARC-Refers-To"] = f"<{RECORD_ID}{quote(str(refers_to), safe='')}>"
         fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     fields["Content-Length"] = str(len(block))
     top = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n"
@@ -115,12 +117,12 @@ def parse_record(member: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> DataFrame:
-    """Write rows (page_id, url, payload, refers_to) as .warc.gz files of about ``roll_bytes``; returns (path, records, bytes)."""
+    """Write rows (page_id, url, payload, refers_to) as .warc.gz files of about ``roll_bytes`` in ``folder``, a URI; returns (path, records, bytes)."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root)
         out = path = None
         records = size = 0
@@ -156,7 +158,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, _ = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system, _ = fs.FileSystem.from_uri(folder)
         ident = lambda x: x and x.strip("<>")
         for pdf in batches:
             for path in pdf["path"]:
@@ -179,32 +181,39 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
     return manifest.select("path").repartition(tasks).mapInPandas(read, schema)
 
 
-def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, **options) -> tuple[DataFrame, str]:
+def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, broadcast_firsts: int = BROADCAST_FIRSTS, **options) -> tuple[DataFrame, str]:
     """Write ``pages`` as archives; returns the manifest and the folder.
 
     Of records with equal payloads of at least ``least_bytes``, that with the smallest id is a response and the
     others revisit it; where rows repeat the smallest id, each is a response. Null html is an empty payload; a
     null id comes after all others (a group of null ids only is all responses); a null url leaves the field out.
-    Other columns are not read. An empty table gives an empty manifest.
+    Payloads are not shuffled, unless more than ``broadcast_firsts`` different ones are held by several pages. Other columns are not read. An empty table gives an empty manifest.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload").cast("string")))
+    # digests and ids alone find the payloads that several pages have; those of one page need no join
     firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(firsts, "digest", "left")
+    firsts = stash(firsts, "warc-firsts")
+    rows = rows.join(F.broadcast(firsts) if firsts.count() <= broadcast_firsts else firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least_bytes)
     rows = rows.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"))
     folder = scratch(pages.sparkSession, "warc")
     return stash(write_archives(rows, folder, **options), "warc-manifest"), folder
 
 
+def page_of(record: Column, kind: str) -> Column:
+    """The page id in a record id; null for the record of a null id."""
+    return F.when(record.startswith(RECORD_ID), F.expr(f"try_cast(try_url_decode(substring({record._jc.toString()}, {len(RECORD_ID) + 1})) AS {kind})"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     manifest, folder = archive_pages(pages)
     records = read_archives(manifest, folder)
     kind = pages.schema["page_id"].dataType.simpleString()
-    page = lambda c: F.expr(f"try_cast(substring({c}, {len(RECORD_ID) + 1}) AS {kind})")
-    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "verified")
+    page = lambda c: page_of(F.col(c), kind).alias(c)
+    return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to"), "verified")
 
 
 def _base32_sql(digest: str) -> str:

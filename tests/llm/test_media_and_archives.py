@@ -4,6 +4,7 @@ import io
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,6 +82,9 @@ def test_gif_frames_table(spark):
     assert sorted(r.k for r in out if r.error) == [2, 3, 3, 4]
     assert sum(out[0].histogram) == 4 and out[0].histogram[0b110000] == 2
     assert gif.gif_frames(rows.limit(0), "k", "gif").count() == 0
+    huge = [b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b", file(frame(0, 0, 65535, 65535, [1]))]
+    out = gif.gif_frames(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(huge)], "k long, gif binary"), "k", "gif").collect()
+    assert [r.frame for r in out] == [None, None] and all("65535 x 65535 pixels" in r.error for r in out)
 
 
 def test_stored_texts(spark):
@@ -92,6 +96,11 @@ def test_stored_texts(spark):
         payload = data + bytes(-len(data) % 64 or (0 if data else 64))
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
+        frames = -(-len(payload) // (64 * 512))
+        parts = r.feature.split("|")
+        assert parts[0].startswith("64x") and parts[0].endswith(f"x{frames}") and [p.split(";")[0] for p in parts[1:]] == [f"{100 * k}+100ms" for k in range(frames)]
+        levels = Counter((b >> 5) * 255 // 7 // 64 * 16 + (b >> 2 & 7) * 255 // 7 // 64 * 4 + (b & 3) * 255 // 3 // 64 for b in payload[: 64 * 512])
+        assert parts[1].split(";")[1] == ",".join(f"{k}:{n}" for k, n in sorted(levels.items()))
     same = [r for r in rows if r.doc_id in (1, 5)]
     assert len({(r.media_sha256, r.feature, r.media_bytes) for r in same}) == 1
     assert gif.stored_texts(docs(spark, [(1, "a")]).limit(0)).count() == 0
@@ -114,9 +123,9 @@ def test_archives_round_trip(spark):
     assert manifest.count() > 1
     out = warc.read_archives(manifest, folder, with_payload=True).collect()
     assert len(out) == len(rows) and all(r.verified for r in out)
-    kinds = sorted((r.record_id.rpartition(":")[2], r.record_type, (r.refers_to or "").rpartition(":")[2], r.payload_bytes) for r in out)
+    kinds = sorted((r.record_id.removeprefix("urn:x-page:"), r.record_type, (r.refers_to or "").rpartition(":")[2], r.payload_bytes) for r in out)
     assert kinds == sorted([
-        ("5", "revisit", "2", 4), ("2", "response", "", 4), ("2", "response", "", 4), ("null", "revisit", "2", 4),
+        ("5", "revisit", "2", 4), ("2", "response", "", 4), ("2", "response", "", 4), ("urn:x-null-page", "revisit", "2", 4),
         ("9", "revisit", "8", 0), ("8", "response", "", 0), ("7", "response", "", len(long.encode())), ("4", "response", "", 6),
     ])
     assert {bytes(r.payload) for r in out if r.payload is not None} == {b"same", b"", long.encode(), b"A\r\n\r\nB"}
@@ -124,6 +133,28 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(empty, where).count() == 0
 
 
+def test_odd_page_ids(spark):
+    ids = ["a b", "null", None, "x\r\ny", "é%41", ""]
+    rows = spark.createDataFrame([(i, "u", f"text {k % 2}") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    out = warc.read_archives(*warc.archive_pages(rows))
+    found = out.select(warc.page_of(F.col("record_id"), "string").alias("i"), warc.page_of(F.col("refers_to"), "string").alias("f")).collect()
+    assert Counter((r.i, r.f) for r in found) == Counter((i, want(ids, k)) for k, i in enumerate(ids))
+
+
+def want(ids, k):
+    least = min(i for i in ids[k % 2 :: 2] if i is not None)
+    return None if ids[k] == least else least
+
+
+def test_many_equal_empty_pages(spark):
+    """A payload that most pages share is neither shuffled nor met in one task."""
+    rows = spark.range(200_000, numPartitions=8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 1000 == 1, F.concat(F.lit("p"), "id")).alias("html"))
+    for firsts in (warc.BROADCAST_FIRSTS, 0):
+        out = warc.read_archives(*warc.archive_pages(rows, broadcast_firsts=firsts))
+        kinds = {(r.record_type, r.refers_to, r.payload_bytes > 0): r["count"] for r in out.groupBy("record_type", "refers_to", "payload_bytes").count().groupBy("record_type", "refers_to", (F.col("payload_bytes") > 0).alias("payload_bytes")).agg(F.sum("count").alias("count")).collect()}
+        assert kinds == {("response", None, False): 1, ("revisit", "urn:x-page:0", False): 199_799, ("response", None, True): 200}
+
+
 def test_each_record_is_one_gzip_member():
     parts = [warc.record_member(k, "u", b"body%d" % k, None, "2024-01-01T00:00:00Z", 6) for k in range(3)]
     assert [warc.parse_record(m)["payload"] for m in warc.members(io.BytesIO(b"".join(parts)))] == [b"body0", b"body1", b"body2"]
