@@ -7,6 +7,7 @@ the bin with the least free space that holds it, and when too many bins are open
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -44,6 +45,10 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        pre = rules.get("pre_tokenizer") or {}
+        if rules.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError(f"{path} is no byte-level BPE file without normalizer and prefix space")
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         signs = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))

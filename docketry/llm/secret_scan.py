@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.shared import bounded_batches, table
+from docketry.llm.shared import bounded_batches, new_column, table
 
 # The kinds of base span in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -105,23 +105,27 @@ def secret_spans(text: str | None, models: MarkovPair, threshold: float = THRESH
         return []
     base = base_spans(text)
     added = []
-    for m in CANDIDATE.finditer(text):
-        for start, end in left_of(m.start(), m.end(), base):
-            piece = text[start:end]
-            if len(piece) >= CANDIDATE_LEAST and len(set(piece)) >= DISTINCT_LEAST and models.score(piece) >= threshold:
-                added.append((start, end, "random"))
+    for start, end in uncovered(((m.start(), m.end()) for m in CANDIDATE.finditer(text)), base):
+        piece = text[start:end]
+        if len(piece) >= CANDIDATE_LEAST and len(set(piece)) >= DISTINCT_LEAST and models.score(piece) >= threshold:
+            added.append((start, end, "random"))
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def left_of(start: int, end: int, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """The parts of start to end outside ``spans``, which are sorted by start."""
-    for a, b, _ in spans:
-        if b > start and a < end:
+def uncovered(runs: Iterable[tuple[int, int]], spans: Sequence[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of ``runs`` outside ``spans``; both are sorted by start, and each is walked once."""
+    at, reach = 0, 0  # the next span, and the furthest end of those before it
+    for start, end in runs:
+        start = max(start, min(reach, end))
+        while at < len(spans) and spans[at][0] < end:
+            a, b, _ = spans[at]
             if a > start:
                 yield start, a
-            start = b
-    if start < end:
-        yield start, end
+            reach = max(reach, b)
+            start = max(start, min(reach, end))
+            at += 1
+        if start < end:
+            yield start, end
 
 
 def seeded_strings(each: int = SEEDED, seed: int = 11) -> list[str]:
@@ -218,7 +222,12 @@ def labelled_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def with_spans(docs: DataFrame, models: MarkovPair, text_col: str = "text", name: str = "secrets", threshold: float = THRESHOLD) -> DataFrame:
-    """Add an array of (start, end, kind) in code points, the end exclusive. Null and empty texts get an empty array."""
+    """Add an array of (start, end, kind) in code points, the end exclusive.
+
+    Null and empty texts get an empty array; repeated rows get equal arrays; spans that start at one place come in the order of KINDS; long texts are scanned
+    whole. A column ``name`` must not exist; other columns may have any name. An empty table gives no rows.
+    """
+    new_column(docs, name)
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 
     @F.pandas_udf(kind)
