@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that stand for a missing value.
@@ -29,6 +29,10 @@ NOT_WORD = r"[^\p{L}\p{N}_\s\p{Z}]"
 TOKENS_PER_WORD = 1.3
 
 
+# Names of kinds of documents; the title stands between such a name on a line and the first line of grounds or articles.
+TITLE_BLOCK = r"(?su)(?:^|\n)\s*(?:BỘ LUẬT|LUẬT|NGHỊ ĐỊNH|THÔNG TƯ|QUYẾT ĐỊNH)\s*\n(.*?)(?=\n\s*(?:Căn cứ|Chương|CHƯƠNG|Điều|ĐIỀU))"
+
+
 def strip(text: Column) -> Column:
     """Without white space (of any script) at both ends."""
     return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
@@ -79,6 +83,32 @@ def official_title(text: Column, kind: Column, number: Column, block: str) -> Co
     return strip(F.concat_ws(" ", kind, F.concat(F.lit("số "), number), F.nullif(title, F.lit(""))))
 
 
+def restore_metadata(raw: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_block: str = TITLE_BLOCK) -> DataFrame:
+    """One row a document with its id, number, title, type, url, issue and effective dates, end of effect (null), status and authority.
+
+    The fields are read from ``so_hieu``, ``loai_van_ban``, ``ngay_ban_hanh``, ``ngay_hieu_luc``, ``tinh_trang_hieu_luc``, ``source``, ``co_quan_ban_hanh`` and
+    ``document_title``, or else from their English names; columns that are not there count as null. Dates, type and title are recovered from the text.
+    """
+    from docketry.functions.dates import legal_status, recover_dates
+
+    def field(*names: str) -> Column:
+        there = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in raw.columns]
+        return F.coalesce(*there, F.lit(None).cast("string"))
+
+    ident, text = F.col(id_col).cast("string"), F.col(text_col)
+    said = field("so_hieu", "document_number")
+    number = clean_document_number(said)
+    kind = infer_document_type(said, field("loai_van_ban", "document_type"), ident)
+    issue, effective = recover_dates(field("ngay_ban_hanh", "issue_date"), field("ngay_hieu_luc", "effective_from"), text)
+    known = strip(field("document_title"))
+    title = F.coalesce(F.when((known != "") & (known != ident), known), official_title(text, kind, number, title_block))
+    return raw.select(
+        F.col(id_col).alias("document_id"), number.alias("document_number"), title.alias("document_title"), kind.alias("document_type"), issue.alias("issue_date"),
+        effective.alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), legal_status(field("tinh_trang_hieu_luc", "legal_status"), effective).alias("legal_status"),
+        sanitize_null(field("source", "source_url")).alias("source_url"), sanitize_null(field("co_quan_ban_hanh", "issuing_authority")).alias("issuing_authority"),
+    )
+
+
 def words(text: Column) -> Column:
     """Words between white space of any script; an empty array for null and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{WHITE}+"), lambda w: w != "")

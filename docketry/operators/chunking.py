@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,8 +15,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import content_hash_id, estimate_tokens
-from docketry.operators.structure import to_lines
+from docketry.functions.text import content_hash_id, estimate_tokens, restore_metadata
+from docketry.operators.structure import (
+    APPENDIX,
+    HEADINGS,
+    by_line,
+    carry_hierarchy,
+    clauses_and_points,
+    flag_appendix_start,
+    flag_headings,
+    join_title_lines,
+    reject_references,
+    to_lines,
+)
 
 
 @dataclass(frozen=True)
@@ -122,17 +133,23 @@ def merge_headers(pieces: Sequence[str], config: ChunkConfig, joint: str = "\n")
     return [*out, ahead] if ahead else out
 
 
-def group_points(points: Sequence[str], lead: str, config: ChunkConfig) -> list[str]:
-    """K4: points packed up to ``target`` with the clause's lead repeated; a small last pack joins the one before."""
-    packs: list[list[str]] = []
-    for point in points:
-        if packs and config.tokens("\n".join([lead, *packs[-1], point])) <= config.target:
-            packs[-1].append(point)
+def point_packs(points: Sequence[str], lead: str, config: ChunkConfig) -> list[range]:
+    """K4: numbers of the points of each pack, up to ``target`` tokens with the clause's lead repeated; a small last pack joins the one before."""
+    tokens = lambda some: config.tokens("\n".join([lead, *(points[k] for k in some)]))
+    packs: list[range] = []
+    for k in range(len(points)):
+        if packs and tokens(range(packs[-1].start, k + 1)) <= config.target:
+            packs[-1] = range(packs[-1].start, k + 1)
         else:
-            packs.append([point])
-    if len(packs) > 1 and config.tokens("\n".join(packs[-1])) < config.least and config.tokens("\n".join([lead, *packs[-2], *packs[-1]])) <= config.most:
-        packs[-2] += packs.pop()
-    return ["\n".join(filter(None, [lead, *pack])) for pack in packs]
+            packs.append(range(k, k + 1))
+    if len(packs) > 1 and config.tokens("\n".join(points[k] for k in packs[-1])) < config.least and tokens(range(packs[-2].start, len(points))) <= config.most:
+        packs[-2:] = [range(packs[-2].start, len(points))]
+    return packs
+
+
+def group_points(points: Sequence[str], lead: str, config: ChunkConfig) -> list[str]:
+    """K4: the texts of :func:`point_packs`."""
+    return ["\n".join(filter(None, [lead, *(points[k] for k in pack)])) for pack in point_packs(points, lead, config)]
 
 
 def chunk_pieces(pieces: Sequence[str], config: ChunkConfig) -> list[str]:
@@ -180,3 +197,166 @@ def assign_ids(rows: DataFrame, base: Sequence[str], order: Sequence[str]) -> Da
 def hashed_ids(chunks: DataFrame) -> DataFrame:
     """C12 over chunks: an id from the content's hash."""
     return chunks.withColumn("hash_id", content_hash_id(F.col("doc_id").cast("string"), F.lit(""), F.col("content"), F.col("chunk_index")))
+
+
+@dataclass
+class Part:
+    """A chunk of an article before it gets its document's fields."""
+
+    name: str
+    clause: str | None
+    point: str | None
+    content: str
+    content_type: str
+    can_merge: bool = False
+
+
+def article_parts(number: str, title: str | None, lines: Sequence[str], config: ChunkConfig) -> list[Part]:
+    """K3 to K6 for one article: whole within ``target``; else by clauses, and long clauses by packs of points with the clause's lead; short neighbours join."""
+    heading = f"{number}. {title}" if title else number
+    whole = "\n".join([heading, *lines])
+    if config.tokens(whole) <= config.target:
+        return [Part("", None, None, whole, "article")]
+    clauses: list[tuple[int | None, str, list[tuple[str, str]]]] = []
+    for piece in clauses_and_points(list(lines)):
+        body = "\n".join(piece.lines)
+        if piece.point is not None and clauses:
+            clauses[-1][2].append((piece.point, f"{piece.point}) {body}"))
+        elif piece.clause is not None:
+            clauses.append((piece.clause, f"{piece.clause}. {body}", []))
+        elif body.strip():
+            clauses.append((None, body, []))
+        else:
+            clauses.append((None, "", []))
+    out: list[Part] = []
+    for at, (clause, lead, points) in enumerate(c for c in clauses if c[1] or c[2]):
+        label = f"Khoản {clause}" if clause is not None else None
+        name = f"_Khoản{clause}" if clause is not None else f"_C{at + 1}"
+        text = "\n".join(filter(None, [lead, *(p for _, p in points)]))
+        if not points:
+            if config.tokens(text) > config.most:
+                out += [Part(f"{name}_{k}", label, None, part, "clause") for k, part in enumerate(pack_text(text, config, heading), 1)]
+            else:
+                out.append(Part(name, label, None, text, "clause", can_merge=True))
+        elif config.tokens(text) <= config.target:
+            out.append(Part(name, label, None, f"{heading}\n{text}", "clause"))
+        else:
+            above = f"{heading}\n{lead}".strip()
+            for k, pack in enumerate(point_packs([p for _, p in points], above, config), 1):
+                first, last = points[pack[0]][0], points[pack[-1]][0]
+                point = f"Điểm {first}" if first == last else f"Điểm {first} đến {last}"
+                body = "\n".join([above, *(points[i][1] for i in pack)])
+                cut = pack_text(body, config, above)
+                out += [Part(f"{name}_P{k}" + (f"_{i}" if len(cut) > 1 else ""), label, point, part, "point") for i, part in enumerate(cut, 1)]
+    joined: list[list[Part]] = []
+    for part in out:
+        held = joined[-1] if joined else None
+        size = sum(config.tokens(p.content) for p in held) if held else 0
+        if held and held[-1].can_merge and part.can_merge and size < config.least and size + config.tokens(part.content) <= config.target:
+            held.append(part)
+        else:
+            joined.append([part])
+    merged = []
+    for held in joined:
+        a, z = held[0], held[-1]
+        label = f"{a.clause} đến {z.clause}" if a.clause and z.clause and a.clause != z.clause else a.clause or z.clause
+        body = "\n\n".join(p.content for p in held)
+        merged.append(Part(a.name, label, a.point, f"{heading}\n{body}" if a.can_merge else body, a.content_type))
+    if len(merged) > 1 and config.tokens(merged[-1].content) < config.least and config.tokens(merged[-2].content) + config.tokens(merged[-1].content) <= config.most:
+        tail = merged.pop()
+        merged[-1].content += "\n\n" + tail.content
+    return merged
+
+
+def bounded_parts(parts: Sequence[Part], config: ChunkConfig) -> list[Part]:
+    """K7: parts over ``most`` tokens are cut at sentences."""
+    out = []
+    for part in parts:
+        cut = pack_text(part.content, config)
+        out += [part] if len(cut) == 1 else [Part(f"{part.name}_{k}", part.clause, part.point, text, part.content_type) for k, text in enumerate(cut, 1)]
+    return out
+
+
+PART = "array<struct<name: string, clause: string, point: string, content: string, content_type: string>>"
+
+
+def chunk_legal_documents(
+    docs: DataFrame, config: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text", patterns: Mapping[str, str] = HEADINGS, appendix: str = APPENDIX, **rules
+) -> DataFrame:
+    """K9, K10 over laws: D1-D9, D11 and C9 end to end, with the 22 fields of a chunk and its content type, appendix number and title.
+
+    Lines are folded into articles under their chapter and section, articles into chunks (:func:`article_parts`); lines from the first appendix on are units that begin at appendix
+    headings, tables and forms. What is over ``most`` tokens is cut, an appendix unit under ``header`` tokens joins the next one, and ids carry the chunk's number
+    in its document. Lines before the first article and of chapter and section headings are in no chunk; null and blank texts have none. ``rules`` go to D3.
+    """
+    config = config or ChunkConfig()
+    meta = restore_metadata(docs, id_col, text_col)
+    headed = flag_headings(to_lines(docs, id_col, text_col), patterns, appendix)
+    rows = carry_hierarchy(flag_appendix_start(join_title_lines(reject_references(headed, **rules)), appendix=appendix))
+    upto = by_line((W.unboundedPreceding, W.currentRow))
+    head = F.col("kind").isin("chapter", "section", "article") & ~F.col("in_appendix")
+    rows = rows.withColumns({"_unit": F.sum(F.when(head | (F.col("in_appendix") & (F.col("candidate") == "appendix")), 1).otherwise(0)).over(upto)})
+    title = lambda k: F.last(F.when(F.col("kind") == k, F.struct(F.col("number").alias("n"), F.col("full_title").alias("t"))), ignorenulls=True)
+    rows = rows.withColumns({"_chapter": title("chapter").over(upto), "_section": title("section").over(upto)})
+    of_unit = W.partitionBy("doc_id", "_unit").orderBy("line_no")
+    rows = rows.withColumn("_turn", F.row_number().over(of_unit) - 1)
+    grouped = rows.groupBy("doc_id", "_unit").agg(
+        F.min_by(F.struct("kind", "candidate", "number", "full_title", F.coalesce("title_lines", F.lit(0)).alias("taken"), "in_appendix", "article", "chapter", "section", "line",
+                          F.col("_chapter.t").alias("chapter_title"), F.col("_section.t").alias("section_title")), "line_no").alias("h"),
+        F.array_sort(F.collect_list(F.struct("line_no", "line", "_turn"))).alias("ls"),
+    )
+    grouped = grouped.filter("h.in_appendix OR h.kind = 'article'")
+    own = F.transform(F.filter("ls", lambda x: F.col("h.in_appendix") | (x["_turn"] > F.col("h.taken"))), lambda x: x["line"])
+    name = F.concat(F.lit("Điều "), F.col("h.number"))
+
+    @F.pandas_udf(PART)
+    def cut(frame: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in frame.itertuples(index=False):
+            if r.in_appendix:
+                form = r.head.lower().startswith(("mẫu", "mau"))
+                parts = [Part("", None, None, "\n".join(r.lines), "form" if form else "appendix")]
+            else:
+                parts = article_parts(r.number, r.title, list(r.lines), config)
+            out.append([{"name": p.name, "clause": p.clause, "point": p.point, "content": p.content, "content_type": p.content_type} for p in bounded_parts(parts, config)])
+        return pd.Series(out, dtype=object)
+
+    parts = cut(F.struct(F.col("h.in_appendix").alias("in_appendix"), F.col("h.line").alias("head"), name.alias("number"), F.col("h.full_title").alias("title"), own.alias("lines")))
+    chunks = grouped.select("doc_id", "_unit", "h", F.posexplode(parts).alias("_part", "p"))
+    return finish_chunks(chunks, meta, config)
+
+
+def finish_chunks(chunks: DataFrame, meta: DataFrame, config: ChunkConfig) -> DataFrame:
+    """K8, K9 and the fields of a chunk: small appendix units join the next one, chunks are numbered in their document, the document's fields are joined by its id."""
+    inside = ~F.col("h.in_appendix")
+    base = F.when(inside, F.concat(F.lit("_Điều"), F.col("h.number"))).otherwise(F.concat(F.lit("_PhụLục"), F.col("_unit").cast("string")))
+    rows = chunks.select(
+        "doc_id", F.struct("_unit", "_part").alias("_at"), F.concat(F.col("doc_id").cast("string"), base, F.col("p.name")).alias("_name"), "p.content", "p.content_type",
+        *[F.when(inside & F.col(f"h.{c}").isNotNull(), F.concat(F.lit(word), F.col(f"h.{c}"))).alias(f"{c}_number") for c, word in (("chapter", "Chương "), ("section", "Mục "))],
+        F.when(inside & F.col("h.chapter").isNotNull(), F.col("h.chapter_title")).alias("chapter_title"), F.when(inside & F.col("h.section").isNotNull(), F.col("h.section_title")).alias("section_title"),
+        F.when(inside, F.concat(F.lit("Điều "), F.col("h.number"))).alias("article_number"), F.when(inside, F.col("h.full_title")).alias("article_title"),
+        F.col("p.clause").alias("clause_number"), F.col("p.point").alias("point_number"), F.when(inside, F.concat_ws("_", F.col("doc_id").cast("string"), F.concat(F.lit("Điều"), F.col("h.number")))).alias("parent_article"),
+        F.when(~inside, F.col("h.line")).alias("appendix_number"), F.when(~inside, F.element_at(F.split("p.content", "\n"), 1)).alias("appendix_title"),
+    )
+    # a run of small appendix units and the unit after it are one chunk, as long as they stay within ``most``
+    tokens = estimate_tokens(F.col("content"), config.per_word)
+    small = F.col("content_type").isin("appendix", "form") & (tokens < config.header)
+    w = W.partitionBy("doc_id").orderBy("_at")
+    rows = rows.withColumns({"_tokens": tokens, "_small": small})
+    fits = F.lag("_small").over(w) & (F.lag("_tokens").over(w) + F.col("_tokens") <= config.most)
+    rows = rows.withColumn("_run", F.sum((~F.coalesce(fits, F.lit(False))).cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    fields = [c for c in rows.columns if c not in ("doc_id", "_at", "_run", "content", "_tokens", "_small")]
+    merged = rows.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct("_at", "content"))).alias("cs"), F.max_by(F.struct(*fields), "_at").alias("f"), F.min("_at").alias("_at"))
+    index = F.row_number().over(W.partitionBy("doc_id").orderBy("_at")) - 1
+    out = merged.select("doc_id", "f.*", F.array_join(F.transform("cs", lambda x: x["content"]), "\n\n").alias("content"), index.alias("chunk_index"))
+    out = out.withColumn("chunk_id", F.concat_ws("_", F.regexp_replace("_name", r"\s+", ""), F.col("chunk_index").cast("string"))).drop("_name")
+    out = out.join(meta.withColumnRenamed("document_id", "doc_id").drop("issuing_authority"), "doc_id")
+    return out.withColumnRenamed("doc_id", "document_id").withColumn("parent_document", F.col("document_id")).select(*CHUNK_FIELDS)
+
+
+#: The 22 fields of a chunk, and three more.
+CHUNK_FIELDS = (
+    "chunk_id", "document_id", "document_number", "document_title", "document_type", "chapter_number", "chapter_title", "section_number", "section_title", "article_number",
+    "article_title", "clause_number", "point_number", "content", "issue_date", "effective_from", "effective_to", "legal_status", "source_url", "parent_document", "parent_article",
+    "chunk_index", "content_type", "appendix_number", "appendix_title",
+)

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.functions.text import INDEX_STOP_WORDS, extract_references, index_terms, keywords, phrases
+from docketry.sources.scratch import written
 
 #: Vectors and queries that one task compares at a time; a query table of up to so many rows is one block.
 SHARD_ROWS, BLOCK_ROWS = 32_768, 4_096
@@ -92,20 +93,32 @@ def metadata_filter(rows: DataFrame, **equal: object) -> DataFrame:
     return rows
 
 
+def bm25_terms(docs: DataFrame, stop_words: Sequence[str] = INDEX_STOP_WORDS) -> DataFrame:
+    """(doc_id, terms, length) of ``docs`` (doc_id, text); the length counts all terms of a document."""
+    return docs.select("doc_id", index_terms(F.col("text"), stop_words).alias("terms")).withColumn("length", F.size("terms"))
+
+
 def bm25_postings(docs: DataFrame, stop_words: Sequence[str] = INDEX_STOP_WORDS) -> DataFrame:
-    """(term, doc_id, tf, length) of ``docs`` (doc_id, text); the length counts all terms of a document. Texts without terms have no rows."""
-    terms = docs.select("doc_id", index_terms(F.col("text"), stop_words).alias("terms"))
-    return terms.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, doc_id, tf, length). Texts without terms have no rows."""
+    return _postings(bm25_terms(docs, stop_words))
+
+
+def _postings(terms: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    rows = terms.select("doc_id", "length", F.explode("terms").alias("term"))
+    rows = rows if asked is None else rows.join(asked, "term", "left_semi")
+    return rows.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, stop_words: Sequence[str] = INDEX_STOP_WORDS, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, doc_id, raw): sums over the query's terms, each as often as the query has it; idf ln((N - n + 0.5) / (n + 0.5) + 1).
 
-    Only the postings of query terms are kept before anything is joined by document; the length of a document travels with its postings.
+    Texts are cut into terms once, and written; number and mean length are read from the lengths alone. Only the postings of query terms are kept before anything
+    is joined by document; the length of a document travels with its postings.
     """
     asked = queries.select("query_id", F.explode(index_terms(F.col("text"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    counts = docs.select(F.size(index_terms(F.col("text"), stop_words)).cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    postings = bm25_postings(docs, stop_words).join(asked.select("term").distinct(), "term", "left_semi")
+    asked, terms = written(asked, "bm25-asked"), written(bm25_terms(docs, stop_words), "bm25-terms")
+    counts = terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    postings = written(_postings(terms, asked.select("term").distinct()), "bm25-postings")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = asked.join(df, "term").join(postings, "term").join(F.broadcast(counts), F.lit(True))  # counts is one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -115,7 +128,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, stop_words: Sequence[str] =
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, stop_words: Sequence[str] = INDEX_STOP_WORDS, keep: Column | None = None, **options) -> DataFrame:
     """Raw scores over the query's best, rounded to six places. ``keep`` filters after the best is known, as metadata filters of this index do."""
-    raw = bm25_scores(queries, docs, stop_words, **options)
+    raw = written(bm25_scores(queries, docs, stop_words, **options), "bm25-raw")
     best = raw.groupBy("query_id").agg(F.max("raw").alias("top"))
     rows = raw.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("raw") / F.col("top"), 6).alias("score"))
     return ranked(rows if keep is None else rows.filter(keep), k)

@@ -15,13 +15,21 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import strip, word_total
 
-#: Patterns with the number in group 1 and the title in group 2.
+# Words that head a chapter, section, article and appendix; the number is in group 1 and the rest of the line in group 2.
 HEADINGS = {
     "chapter": r"^(?iu:Chương)\s+([IVXLCDMivxlcdm]+|\d+)(?![\p{L}\p{N}_])(.*)$",
     "section": r"^(?iu:Mục)\s+([IVXLCDMivxlcdm]+|\d+)(?![\p{L}\p{N}_])(.*)$",
     "article": r"^(?iu:Điều)\s+(\d+)(?![\p{L}\p{N}_])(.*)$",
 }
-APPENDIX = r"^(?iu:Phụ\s+lục|Danh\s+mục|Mẫu\s+số\s+\d+)(?![\p{L}\p{N}_])"
+APPENDIX = r"^(?:(?iu:Phụ\s+lục)(?:\s+[IVXLCDMivxlcdm\d]+)?(?![\p{L}\p{N}_])|(?:DANH|Danh)\s+(?:MỤC|mục)(?:\s*$|\s+\p{Lu}(?![\p{L}\p{N}_]))|(?:MẪU\s+SỐ|Mẫu\s+số)\s+\d+(?![\p{L}\p{N}_]))"
+# What follows a name of an appendix in a sentence about it.
+APPENDIX_SUFFIX = r"(?iu)^(?:ban\s+hành\s+kèm\s+theo|kèm\s+theo|quy\s+định\s+tại|được\s+quy\s+định|(?:tại|và|trong|của|đối\s+với)(?![\p{L}\p{N}_]))"
+# Ends of a line that introduce an article that is cited.
+PHRASE_ENDS = ("quy định tại", "hướng dẫn tại", "nêu tại", "theo quy định tại", "theo", "trong", "trừ trường hợp", "ban hành kèm theo", "kèm theo")
+#: What may stand between an article's number and its title.
+ARTICLE_REST = r"^(?:$|[.:–—-])"
+#: Lines to look at before and after a heading for the next one that is not empty.
+LINES_BEFORE, LINES_AFTER = 9, 5
 # Words after a number that make it a citation.
 CITATION_SUFFIX = r"(?iu)^\s*(?:của|này|và|đến|hoặc|trừ|được|là|quy\s+định|áp\s+dụng)(?![\p{L}\p{N}_])"
 # Ends of a line that introduce a citation.
@@ -52,37 +60,98 @@ def flag_headings(lines: DataFrame, patterns: Mapping[str, str] = HEADINGS, appe
     return lines.withColumn("kind", kind).withColumns({"number": part(1), "title": strip(part(2))})
 
 
-def reject_references(headings: DataFrame, suffix: str = CITATION_SUFFIX, introducers: Sequence[str] = INTRODUCERS) -> DataFrame:
-    """D3: ``kind`` becomes null where the heading is a citation: a connective after the number, an end in ``,`` or ``;``, or a line before that is
-    unfinished and ends in an introducer.
-    """
-    before = F.lower(F.lag("line").over(by_line()))
-    introduced = ~before.rlike(TERMINAL) & F.greatest(F.lit(False), *[(before == w) | before.endswith(" " + w) for w in introducers])
-    cited = F.col("title").rlike(suffix) | F.col("line").rlike("[,;]$") | F.coalesce(introduced, F.lit(False))
-    fine = F.when(~(F.coalesce(cited, F.lit(False)) & F.col("kind").isin("chapter", "section", "article")), F.col("kind"))
-    return headings.withColumn("_kind", fine).withColumns({"number": F.when(F.col("_kind").isNotNull(), F.col("number")), "title": F.when(F.col("_kind").isNotNull(), F.col("title"))}).drop("kind").withColumnRenamed("_kind", "kind")
+def _beside(step: int, most: int) -> Column:
+    """The next line (``step`` 1) or the one before (-1), if it is within ``most`` lines of the text; else null."""
+    near = F.abs(F.lead("line_no", step).over(by_line()) - F.col("line_no")) <= most
+    return F.when(near, F.lead("line", step).over(by_line()))
+
+
+def _introduced(introducers: Sequence[str]) -> Column:
+    """The line before is unfinished and one of ``introducers`` stands in its last 30 characters."""
+    before = F.lower(_beside(-1, LINES_BEFORE))
+    return ~before.rlike(TERMINAL) & F.greatest(F.lit(False), F.lit(False), *[F.right(before, F.lit(30)).contains(w) for w in introducers])
 
 
-def flag_appendix_start(headings: DataFrame, ahead: int = 150) -> DataFrame:
-    """Add ``appendix_start``: an appendix heading without a later chapter, or article of a higher number, within ``ahead`` lines."""
+def reject_references(
+    headings: DataFrame, suffix: str = CITATION_SUFFIX, introducers: Sequence[str] = INTRODUCERS, phrase_ends: Sequence[str] = PHRASE_ENDS, article_rest: str = ARTICLE_REST
+) -> DataFrame:
+    """D3: ``kind`` becomes null where the heading is a citation; ``candidate`` keeps what it was.
+
+    A chapter or section is cited if a connective follows its number, or an introducer ends the unfinished line before; a chapter also by ``,`` or ``;`` at its end. Within
+    an article either is cited if the next line goes on with a clause or a small letter. An article is cited unless ``article_rest`` follows its number, by
+    ``;`` at its end, and if the unfinished line before ends in one of ``phrase_ends`` or in the number of a clause, article or point. A title over two lines that is cut after ``,`` stays a heading.
+    """
+    upto = by_line((W.unboundedPreceding, W.currentRow))
+    before = F.lower(_beside(-1, LINES_BEFORE))
+    ends = F.greatest(F.lit(False), F.lit(False), *[before.endswith(w) for w in phrase_ends]) | before.rlike(r"(?:khoản|điều|điểm)\s+\d+$")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    introduced = sure(_introduced(introducers))
+    article = F.col("title").rlike(article_rest) & ~F.col("line").endswith(";") & ~sure(~before.rlike(TERMINAL) & ends)
+    # kinds that do not depend on whether an article is open
+    cited = (
+        F.when(F.col("kind") == "article", ~article)
+        .when(F.col("kind").isin("chapter", "section"), F.col("title").rlike(suffix) | introduced | ((F.col("kind") == "chapter") & F.col("line").rlike("[,;]$")))
+        .otherwise(False)
+    )
+    goes_on = sure(_beside(1, LINES_AFTER).rlike(r"^(?:\d+\.\s|\p{Ll})")) & F.col("kind").isin("chapter", "section")
+    out = headings.withColumns({"_cited": sure(cited), "_goes_on": goes_on})
+    # a heading that goes on is one only where no article is open, so it never changes whether one is
+    opens = F.when(~F.col("_cited") & ~F.col("_goes_on") & F.col("kind").isin("chapter", "section", "article"), F.col("kind") == "article")
+    inside = sure(F.last(opens, ignorenulls=True).over(by_line((W.unboundedPreceding, -1))))
+    out = out.withColumn("_kind", F.when(~(F.col("_cited") | (F.col("_goes_on") & inside)), F.col("kind")))
+    kept = {c: F.when(F.col("_kind").isNotNull(), F.col(c)) for c in ("number", "title")}
+    return out.withColumns(kept).withColumnRenamed("kind", "candidate").withColumnRenamed("_kind", "kind").drop("_cited", "_goes_on")
+
+
+def flag_appendix_start(headings: DataFrame, ahead: int = 150, introducers: Sequence[str] = INTRODUCERS, appendix: str = APPENDIX, suffix: str = APPENDIX_SUFFIX) -> DataFrame:
+    """Add ``appendix_start``: an appendix heading after some article that is no citation and no end of a sentence.
+
+    It is not one if ``suffix`` follows on its line, if an introducer or the number of a clause, article, point or form ends the unfinished line before, if the next line is a clause or point
+    or begins with a small letter, or if a chapter or an article of a higher number than the open one comes within ``ahead`` lines.
+    """
+    kind = F.col("candidate") if "candidate" in headings.columns else F.col("kind")
+    upto = by_line((W.unboundedPreceding, W.currentRow))
     number = F.when(F.col("kind") == "article", F.col("number").try_cast("int"))
-    last = F.max(number).over(by_line((W.unboundedPreceding, W.currentRow)))
-    higher = F.max(number).over(by_line((1, ahead))) > F.coalesce(last, F.lit(0))
-    chapter = F.max((F.col("kind") == "chapter").cast("int")).over(by_line((1, ahead))) == 1
-    later = F.coalesce(higher, F.lit(False)) | F.coalesce(chapter, F.lit(False))
-    return headings.withColumn("appendix_start", (F.coalesce(F.col("kind"), F.lit("")) == "appendix") & ~later)
+    opened = F.when(F.col("kind").isin("chapter", "section", "article"), F.coalesce(number, F.lit(0)))
+    out = headings.withColumns({"_open": F.coalesce(F.last(opened, ignorenulls=True).over(upto), F.lit(0)), "_any": F.max((F.col("kind") == "article").cast("int")).over(upto) == 1})
+    window = W.partitionBy("doc_id").orderBy("line_no").rangeBetween(1, ahead - 1)
+    higher = F.max(number).over(window) > F.col("_open")
+    chapter = F.max((kind == "chapter").cast("int")).over(window) == 1
+    before = F.lower(_beside(-1, LINES_BEFORE))
+    cited = strip(F.regexp_replace("line", appendix, "")).rlike(suffix) | _introduced(introducers) | (~before.rlike(TERMINAL) & before.rlike(r"(?:khoản|điều|điểm|mẫu)\s+\d*$"))
+    goes_on = _beside(1, LINES_AFTER).rlike(r"^(?:\d+\.\s+|[a-zđ]\)\s+|\p{Ll})")
+    no = F.lit(False)
+    for c in (higher, chapter, cited, goes_on):
+        no = no | F.coalesce(c, F.lit(False))
+    return out.withColumn("appendix_start", (F.coalesce(kind, F.lit("")) == "appendix") & F.coalesce(F.col("_any"), F.lit(False)) & ~no).drop("_open", "_any")
 
 
 def join_title_lines(headings: DataFrame, most: int = 4) -> DataFrame:
-    """An article's title goes on over up to ``most`` - 1 lines that are no heading, no clause or point, while the line before is unfinished."""
-    plain = lambda n: F.lead("kind", n).over(by_line()).isNull() & F.lead("line", n).over(by_line()).isNotNull() & ~F.lead("line", n).over(by_line()).rlike(r"^(\d+\.|[\p{L}]\))")
-    goes_on = (F.col("kind") == "article") & (F.col("title") != "") & ~F.col("title").rlike(r"[.:;!?]$")
-    parts = [F.col("title")]
-    for n in range(1, most):
-        goes_on = goes_on & plain(n) & F.lead("line", n).over(by_line()).rlike(r"^\p{Ll}")
-        parts.append(F.when(goes_on, F.lead("line", n).over(by_line())))
-        goes_on = goes_on & ~F.coalesce(F.lead("line", n).over(by_line()).rlike(r"[.:;!?]$"), F.lit(True))
-    return headings.withColumn("full_title", F.when(F.col("kind") == "article", F.concat_ws(" ", *parts)))
+    """Add ``full_title`` and ``title_lines``, the lines that a heading's title takes besides its own.
+
+    An article's title goes on over lines without an empty one between, that are no heading, clause or point: where there is no title yet, where the last part ends in
+    ``,``, ``:``, ``-`` or a connective, and where the line begins with a small letter; up to ``most`` parts. A chapter or section without a title on its own line takes up to
+    ``most`` lines before the next heading.
+    """
+    marker = r"^(?:(?iu:Điều|Chương|Mục)(?![\p{L}\p{N}_])|(?:\d+\.|[a-zđ]\))(?=[\p{L}\p{N}_]))"
+    after = lambda n: F.lead("line", n).over(by_line())
+    own = strip(F.regexp_replace("title", r"^[.:\-\s–—]+", ""))
+    title, taken, parts, open_ = F.nullif(own, F.lit("")), F.lit(0), (own != "").cast("int"), F.lit(True)
+    last = own
+    for n in range(1, most + 1):
+        fits = (F.lead("line_no", n).over(by_line()) == F.col("line_no") + n) & ~after(n).rlike(marker)
+        wants = (parts == 0) | last.rlike(r"(?iu)(?:[,:\-]|(?<![\p{L}\p{N}_])(?:của|về|và|đối\s+với|trong|cho)\s*)$") | after(n).rlike(r"^\p{Ll}")
+        open_ = open_ & F.coalesce(fits & wants & (parts < most), F.lit(False))
+        title = F.when(open_, F.concat_ws(" ", title, after(n))).otherwise(title)
+        taken, parts, last = taken + open_.cast("int"), parts + open_.cast("int"), F.when(open_, after(n)).otherwise(last)
+    heads = F.when(F.col("kind") == "article", F.struct(title.alias("t"), taken.alias("n")))
+    more, number_of, going = F.lit(None).cast("string"), F.lit(0), own == ""
+    for n in range(1, most + 1):
+        going = going & F.coalesce(F.lead("kind", n).over(by_line()).isNull() & after(n).isNotNull() & ~after(n).rlike(r"^(?iu:Điều|Chương|Mục)\s+[\dIVXLCDM]"), F.lit(False))
+        more, number_of = F.when(going, F.concat_ws(" ", more, after(n))).otherwise(more), number_of + going.cast("int")
+    above = F.when(F.col("kind").isin("chapter", "section"), F.struct(F.coalesce(F.nullif(own, F.lit("")), more).alias("t"), number_of.alias("n")))
+    out = headings.withColumn("_t", F.coalesce(heads, above))
+    return out.withColumns({"full_title": F.col("_t.t"), "title_lines": F.col("_t.n")}).drop("_t")
 
 
 def carry_hierarchy(headings: DataFrame) -> DataFrame:

@@ -131,9 +131,22 @@ def validity_audit(gold: DataFrame, edges: DataFrame, as_of: Column) -> DataFram
 
 
 def lost_words(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, word) of words of a document's text that none of its chunks holds."""
-    words = lambda df, c: df.select("doc_id", F.explode(F.array_distinct(lower_words(F.col(c)))).alias("word")).distinct()
-    return words(docs, "text").join(words(chunks, "content"), ["doc_id", "word"], "left_anti")
+    """(doc_id, word) of words of a document's text that none of its chunks holds. Arrays of one document at a time are compared, so words are not shuffled one by one."""
+    held = chunks.select("doc_id", F.array_distinct(lower_words(F.col("content"))).alias("ws")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("held"))
+    own = docs.select("doc_id", F.array_distinct(lower_words(F.col("text"))).alias("own")).join(held, "doc_id", "left")
+    return own.select("doc_id", F.explode(F.array_except("own", F.coalesce("held", F.array().cast("array<string>")))).alias("word"))
+
+
+def lost_lines(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """V14 by lines: (doc_id, line) of lines of a document that are in none of its chunks, white space aside.
+
+    ``docs`` has (doc_id, text), ``chunks`` (doc_id, content). The chunks of a document are looked at together.
+    """
+    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
+    held = chunks.groupBy("doc_id").agg(F.array_join(F.collect_list(flat(F.col("content"))), "\n").alias("held"))
+    own = docs.select("doc_id", F.transform(F.split("text", "\r?\n"), lambda x: F.trim(flat(x))).alias("own")).join(held, "doc_id", "left")
+    lost = F.filter("own", lambda x: (x != "") & ~F.coalesce(F.contains(F.col("held"), x), F.lit(False)))
+    return own.select("doc_id", F.explode(lost).alias("line"))
 
 
 def question_status(questions: DataFrame, gold: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:

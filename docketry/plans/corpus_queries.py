@@ -150,6 +150,7 @@ D1 = f"WITH {LINES} SELECT doc_id, line_no, md5(line) AS digest FROM lines"
 PATTERNS = {"chapter": r"^(The|Der|La|De) (.*)$", "section": r"^(Of|Und|En|Et) (.*)$", "article": r"^(\p{Lu}\p{Ll}{0,6}) (.*)$"}
 INTRO = ("and", "the", "of", "und", "de")
 SUFFIX = r"^(?:of|and|die|la|que) "
+REST = r"^[^aeiou]"
 
 
 def headings(spark, d):
@@ -169,17 +170,22 @@ D2 = f"WITH {HEADS} SELECT doc_id, line_no, kind, number, md5(coalesce(title, ''
 
 
 def sure(spark, d):
-    return S.reject_references(headings(spark, d), SUFFIX, INTRO)
+    return S.reject_references(headings(spark, d), SUFFIX, INTRO, INTRO, REST)
 
 
 def d3(spark, d):
     return sure(spark, d).select("doc_id", "line_no", "kind", "number")
 
 
-SURE = f"""{HEADS}, prev AS (SELECT *, lower(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no)) AS b FROM heads
-), cite AS (SELECT *, kind IS NOT NULL AND (regexp_matches(coalesce(title, ''), '{SUFFIX}') OR regexp_matches(line, '[,;]$')
-    OR coalesce(NOT regexp_matches(b, '[.:;!?”")]$') AND regexp_matches(b, '(?:^| )(?:{"|".join(INTRO)})$'), false)) AS c FROM prev
-), sure AS (SELECT doc_id, line_no, line, CASE WHEN NOT c THEN kind END AS kind, CASE WHEN NOT c THEN number END AS number FROM cite)"""
+BESIDE = f"""{HEADS}, beside AS (
+  SELECT *, CASE WHEN line_no - lag(line_no) OVER w <= 9 THEN lower(lag(line) OVER w) END AS b, CASE WHEN lead(line_no) OVER w - line_no <= 5 THEN lead(line) OVER w END AS n FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+), intro AS (SELECT *, coalesce(NOT regexp_matches(b, '[.:;!?”")]$'), false) AS unfinished, coalesce(NOT regexp_matches(b, '[.:;!?”")]$') AND regexp_matches(right(b, 30), '{"|".join(INTRO)}'), false) AS introduced FROM beside)"""
+SURE = f"""{BESIDE}, cite AS (SELECT *, CASE
+    WHEN kind = 'article' THEN NOT (regexp_matches(title, '{REST}') AND NOT ends_with(line, ';') AND NOT (unfinished AND (regexp_matches(b, '(?:{"|".join(INTRO)})$') OR regexp_matches(b, '(?:khoản|điều|điểm)\\s+\\d+$'))))
+    WHEN kind IS NOT NULL THEN regexp_matches(title, '{SUFFIX}') OR introduced OR (kind = 'chapter' AND regexp_matches(line, '[,;]$')) ELSE false END AS cited,
+  kind IN ('chapter', 'section') AND coalesce(regexp_matches(n, '^(?:\\d+\\.\\s|\\p{{Ll}})'), false) AS goes_on FROM intro
+), inner_ AS (SELECT *, coalesce(last_value(CASE WHEN NOT cited AND NOT goes_on AND kind IS NOT NULL THEN kind = 'article' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM cite
+), sure AS (SELECT doc_id, line_no, line, CASE WHEN NOT (cited OR coalesce(goes_on, false) AND inside) THEN kind END AS kind, CASE WHEN NOT (cited OR coalesce(goes_on, false) AND inside) THEN number END AS number FROM inner_)"""
 D3 = f"WITH {SURE} SELECT doc_id, line_no, kind, number FROM sure"
 
 
@@ -237,6 +243,25 @@ def k10(spark, d):
     return out.select("doc_id", "chunk_index", "chunk_id", "tokens", MD5(F.col("content")).alias("digest"))
 
 
+def legal(spark, d):
+    """Laws by the headings of the invented prose."""
+    return K.chunk_legal_documents(docs(spark, d), patterns=PATTERNS, appendix=r"^(?:Appendix|ERERATION)", suffix=SUFFIX, introducers=INTRO, phrase_ends=INTRO, article_rest=REST)
+
+
+def k10_legal(spark, d):
+    out = legal(spark, d)
+    return out.select("document_id", "chunk_index", "chunk_id", "chapter_number", "section_number", "article_number", "clause_number", "point_number", "content_type", MD5(F.col("content")).alias("digest"))
+
+
+def c9(spark, d):
+    out = T.restore_metadata(docs(spark, d).withColumn("so_hieu", F.concat("doc_id", F.lit("/2020/NĐ-CP"))).withColumn("ngay_ban_hanh", F.lit("Ngày 1/2/2020")))
+    return out.select("document_id", "document_number", "document_title", "document_type", "issue_date", "effective_from", "legal_status", "source_url")
+
+
+C9 = """SELECT doc_id AS document_id, doc_id || '/2020/NĐ-CP' AS document_number, 'Nghị định số ' || doc_id || '/2020/NĐ-CP' AS document_title, 'Nghị định' AS document_type, DATE '2020-02-01' AS issue_date,
+  NULL::DATE AS effective_from, 'unknown' AS legal_status, source AS source_url FROM documents"""
+
+
 def v14(spark, d):
     """Documents and how many of their words no chunk holds: none may be lost."""
     lost = V.lost_words(docs(spark, d).select("doc_id", "text"), chunks(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lost"))
@@ -364,6 +389,6 @@ QUERIES = {
     "c1_clean_text": (c1, C1), "c2_sanitize_null": (c2, C2), "c3_clean_document_number": (c3, C3), "c4_infer_document_type": (c4, C4), "c5_parse_legal_date": (c5, C5), "c6_c7_dates_and_status": (c6_c7, C6_C7),
     "c10_c13_tokens_and_ids": (c10_c13, C10_C13), "c14_expand_abbreviations": (c14, C14), "c15_extract_references": (c15, C15), "c16_source_site": (c16, C16), "s4_page_metadata": (s4, None), "s5_html_to_text": (s5, S5),
     "d1_to_lines": (d1, D1), "d2_flag_headings": (d2, D2), "d3_reject_references": (d3, D3), "d6_carry_hierarchy": (d6, D6), "d7_sectionize": (d7, D7), "d8_d9_legal_units": (d8, None), "d15_appendix_kind": (d15, D15),
-    "k1_split_sentences": (k1, K1), "k10_chunk_documents": (k10, None), "v1_validate": (v1, V1), "v2_duplicate_ids": (v2, V2), "v3_token_profile": (v3, V3), "v4_type_distribution": (v4, V4), "v5_coverage": (v5, V5),
+    "k1_split_sentences": (k1, K1), "k10_chunk_documents": (k10, None), "k10_legal_chunks": (k10_legal, None), "c9_restore_metadata": (c9, C9), "v1_validate": (v1, V1), "v2_duplicate_ids": (v2, V2), "v3_token_profile": (v3, V3), "v4_type_distribution": (v4, V4), "v5_coverage": (v5, V5),
     "v6_corpus_summary": (v6, V6), "v7_index_audit": (v7, V7), "v8_validate_questions": (v8, V8), "v10_question_groups": (v10, V10), "v11_document_coverage": (v11, V11), "v12_table_checksum": (v12, V12), "v13_validity_audit": (v13, V13), "v14_zero_text_loss": (v14, V14),
 }

@@ -15,7 +15,7 @@ from docketry.operators import questions as Q
 from docketry.operators import retrieval as R
 from docketry.operators import structure as S
 from docketry.operators import validation as V
-from docketry.plans.corpus_queries import HEADS, LINES, gold, headings, lines, questions
+from docketry.plans.corpus_queries import BESIDE, INTRO, LINES, SUFFIX, gold, headings, lines, questions
 from docketry.plans.history_queries import LOG, log
 from docketry.plans.retrieval_queries import DENSE, asked, candidates, dense, docs, vectors
 from docketry.plans.retrieval_queries import questions as passages
@@ -69,11 +69,13 @@ def r21(spark, d):
 
 def d4(spark, d):
     marked = headings(spark, d).withColumn("kind", F.when(F.col("kind") == "section", "appendix").otherwise(F.col("kind"))).withColumn("number", F.lit(None).cast("string"))
-    return S.flag_appendix_start(marked, 3).filter("appendix_start").select("doc_id", "line_no")
+    return S.flag_appendix_start(marked, 3, INTRO, r"^(Of|Und|En|Et) ", SUFFIX).filter("appendix_start").select("doc_id", "line_no")
 
 
-D4 = f"""WITH {HEADS}, c AS (SELECT doc_id, line_no, kind, max((kind = 'chapter')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS c FROM heads)
-SELECT doc_id, line_no FROM c WHERE kind = 'section' AND coalesce(c, 0) = 0"""
+D4 = f"""WITH {BESIDE}, c AS (SELECT *, max((kind = 'chapter')::INT) OVER (PARTITION BY doc_id ORDER BY line_no RANGE BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS c,
+  max((kind = 'article')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS a FROM intro)
+SELECT doc_id, line_no FROM c WHERE kind = 'section' AND a = 1 AND coalesce(c, 0) = 0 AND NOT introduced AND NOT (unfinished AND regexp_matches(b, '(?:khoản|điều|điểm|mẫu)\\s+\\d*$'))
+  AND NOT regexp_matches(trim(regexp_replace(line, '^(Of|Und|En|Et) ', '')), '{SUFFIX}') AND NOT coalesce(regexp_matches(n, '^(?:\\d+\\.\\s+|[a-zđ]\\)\\s+|\\p{{Ll}})'), false)"""
 
 
 def d12(spark, d):

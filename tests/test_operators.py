@@ -1,5 +1,6 @@
 """Operators outside ``llm`` on hand-made rows with known answers."""
 
+import re
 import datetime
 import random
 from collections import Counter
@@ -45,6 +46,7 @@ Nghỉ ít nhất 30 phút.
 Chương II
 HỢP ĐỒNG
 Điều 3. Hợp đồng lao động
+Hai bên tự nguyện giao kết.
 Phụ lục I
 Mẫu số 1"""
 
@@ -100,6 +102,73 @@ def test_structure_of_a_law(spark):
     assert "1.000.000 đồng" in units[-1].content
 
 
+def kinds(spark, text):
+    rows = S.reject_references(S.flag_headings(S.to_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")))).orderBy("line_no").collect()
+    return [(r.kind, r.number) for r in rows if r.candidate]
+
+
+def test_citations_and_headings(spark):
+    assert kinds(spark, "Điều 1. Tên dài,\ngồm hai dòng\nMục 2. Quyền,") == [("article", "1"), ("section", "2")]
+    assert kinds(spark, "Chương I, II,") == [(None, None)]
+    assert kinds(spark, "Điều 12 Nghị định này\nĐiều 3: Có\nĐiều 4 – Có\nĐiều 5.;") == [(None, None), ("article", "3"), ("article", "4"), (None, None)]
+    assert kinds(spark, "được quy định tại khoản 1\nĐiều 142.") == [(None, None)]
+    assert kinds(spark, "hồ sơ quy định tại phần này\nChương II") == [(None, None)]  # within the last 30 characters
+    assert kinds(spark, "hồ sơ quy định tại phần này.\nChương II") == [("chapter", "II")]
+    assert kinds(spark, "Điều 1. Tên\nChương II\n2. khoản\nMục 3\nsau đó\nMục 4\nTÊN PHẦN\nChương V\nchữ thường") == [
+        ("article", "1"), (None, None), (None, None), ("section", "4"), ("chapter", "V"),
+    ]
+
+
+def starts(spark, text):
+    rows = S.flag_appendix_start(S.reject_references(S.flag_headings(S.to_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")))))
+    return [r.line for r in rows.filter("appendix_start").orderBy("line_no").collect()]
+
+
+def test_appendix_starts(spark):
+    law = "Điều 1. Tên\nnội dung."
+    assert starts(spark, f"{law}\nPhụ lục I\nTÊN") == ["Phụ lục I"] and starts(spark, "Phụ lục I\nTÊN") == []
+    assert starts(spark, f"{law}\nPhụ lục I ban hành kèm theo Nghị định\nTÊN") == []
+    assert starts(spark, f"{law}\ntheo quy định tại\nPhụ lục I\nTÊN") == starts(spark, f"{law}\nxem điều 5\nPhụ lục I\nTÊN") == []
+    assert starts(spark, f"{law}\nPhụ lục I\n2. hai") == starts(spark, f"{law}\nPhụ lục I\na) một") == starts(spark, f"{law}\nPhụ lục I\nvà sau đó") == []
+    assert starts(spark, f"{law}\nPhụ lục I\nTÊN\nĐiều 2. Sau") == starts(spark, f"{law}\nPhụ lục I\nTÊN\nChương III") == []
+    assert starts(spark, f"{law}\nMẫu số 3\nTÊN\nĐiều 1. Cũ") == ["Mẫu số 3"]
+
+
+def test_legal_chunks(spark):
+    """Articles, clauses, points and appendices end to end; every line of an article or appendix is in some chunk of its own article."""
+    w = lambda n, k=0: " ".join(f"từ{k}x{i}" for i in range(n))
+    text = "\n".join([
+        "LUẬT", "VỀ LAO ĐỘNG", "Căn cứ Hiến pháp;", "Chương I", "QUY ĐỊNH CHUNG", "Điều 1. Phạm vi", f"Luật này {w(20)}.", "Mục 1", "Tên mục", "Điều 2. Quyền của", "người lao động", "1. Ngắn một.", "2. Ngắn hai.",
+        f"3. Dài {w(200, 3)}.", "4. Mở đầu:", *[f"{c}) điểm {w(110, ord(c))};" for c in "abcde"], "theo quy định tại", "Điều 9 của Luật này", "5. Cuối.", "Chương II", "Điều 3. Hết", f"Câu. {w(700, 5)}. {w(300, 6)}.",
+        "Phụ lục I", "DANH SÁCH", "Mẫu số 2", f"Nội dung {w(60, 8)}",
+    ])
+    docs = spark.createDataFrame([("ND_1", text, "01/2020/NĐ-CP", "1/2/2020"), ("B", None, None, None), ("C", " ", "x", None)], "doc_id string, text string, so_hieu string, ngay_ban_hanh string")
+    rows = K.chunk_legal_documents(docs).orderBy("document_id", "chunk_index").collect()
+    assert {r.document_id for r in rows} == {"ND_1"} and [r.chunk_index for r in rows] == list(range(len(rows))) and len({r.chunk_id for r in rows}) == len(rows)
+    assert set(rows[0].asDict()) == set(K.CHUNK_FIELDS) and len(K.CHUNK_FIELDS) == 25
+    first = rows[0]
+    assert (first.article_number, first.article_title, first.chapter_number, first.chapter_title, first.section_number, first.content_type) == ("Điều 1", "Phạm vi", "Chương I", "QUY ĐỊNH CHUNG", None, "article")
+    assert (first.document_number, first.document_type, str(first.issue_date), first.parent_article, first.chunk_id) == ("01/2020/NĐ-CP", "Nghị định", "2020-02-01", "ND_1_Điều1", "ND_1_Điều1_0")
+    assert first.document_title == "Nghị định số 01/2020/NĐ-CP VỀ LAO ĐỘNG"
+    second = [r for r in rows if r.article_number == "Điều 2"]
+    assert {r.article_title for r in second} == {"Quyền của người lao động"} and {r.section_title for r in second} == {"Tên mục"}
+    assert second[0].clause_number == "Khoản 1 đến Khoản 3" or second[0].clause_number == "Khoản 1 đến Khoản 2"
+    points = [r.point_number for r in second if r.content_type == "point"]
+    assert points and points[0].startswith("Điểm a") and points[-1].endswith("e") and all("4. Mở đầu:" in r.content for r in second if r.content_type == "point")
+    third = [r for r in rows if r.article_number == "Điều 3"]
+    assert len(third) > 1 and {(r.chapter_number, r.section_number) for r in third} == {("Chương II", None)}
+    config = K.ChunkConfig()
+    assert all(config.tokens(r.content) <= config.most for r in rows)
+    last = rows[-1]
+    assert last.article_number is None and last.content_type == "form" and last.content.startswith("Phụ lục I\nDANH SÁCH\n\nMẫu số 2")
+    words = {a: set(" ".join(r.content for r in rows if r.article_number == a).split()) for a in ("Điều 1", "Điều 2", "Điều 3", None)}
+    lines, at = text.split("\n"), None
+    for line in lines[5:]:
+        at = line.split(".")[0] if re.match(r"Điều [123]\.", line) else None if line.startswith("Phụ lục") else at
+        if not line.startswith(("Chương", "Mục", "Tên mục")):
+            assert {x.strip(".") for x in line.split()} <= {x.strip(".") for x in words[at]}, line[:60]
+
+
 def test_clause_guard():
     lines = ["lead", "2. no", "1. one", "3. three", "6. no", "a) point", "e) no", "c) point", "50.5 % no", "4. four"]
     assert [(p.clause, p.point) for p in S.clauses_and_points(lines)] == [(None, None), (1, None), (3, None), (3, "a"), (3, "c"), (4, None)]
@@ -110,7 +179,7 @@ def test_clause_guard():
 def test_title_over_lines(spark):
     docs = spark.createDataFrame([(1, "Điều 1. Quyền và\nnghĩa vụ của\nngười lao động.\nkhông")], "doc_id long, text string")
     first = S.join_title_lines(S.flag_headings(S.to_lines(docs))).orderBy("line_no").first()
-    assert first.full_title.endswith("Quyền và nghĩa vụ của người lao động.")
+    assert (first.full_title, first.title_lines) == ("Quyền và nghĩa vụ của người lao động. không", 3)  # small letters go on, up to four parts
 
 
 def test_catalog_and_forms(spark):
