@@ -191,12 +191,20 @@ def keywords(text: Column, stop_words: Sequence[str] = ANSWER_STOP_WORDS) -> Col
 
 def index_terms(text: Column, stop_words: Sequence[str] = INDEX_STOP_WORDS) -> Column:
     """Unigrams of two or more characters that are no stop words, and pairs of neighbours of which at least one is no stop word."""
-    every = lower_words(text)
     stopped = lambda w: one_of(w, stop_words)
-    single = F.filter(every, lambda w: (F.length(w) >= 2) & ~stopped(w))
-    nexts = F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))
-    pairs = F.filter(F.zip_with(every, nexts, lambda a, b: F.when(~stopped(a) | ~stopped(b), F.concat(a, F.lit("_"), b))), lambda p: p.isNotNull())
-    return F.concat(single, pairs)
+
+    def terms(every: Column) -> Column:
+        marked = F.transform(every, lambda w: F.struct(w.alias("w"), stopped(w).alias("s")))
+        return F.element_at(F.transform(F.array(marked), of_marked), 1)
+
+    def of_marked(ws: Column) -> Column:
+        single = F.transform(F.filter(ws, lambda x: ~x["s"] & (F.length(x["w"]) >= 2)), lambda x: x["w"])
+        nexts = F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0)))
+        pairs = F.zip_with(ws, nexts, lambda a, b: F.when(~(a["s"] & b["s"]), F.concat(a["w"], F.lit("_"), b["w"])))
+        return F.concat(single, F.array_compact(pairs))
+
+    # a lambda over an array of one element computes the words once, however often they are used
+    return F.element_at(F.transform(F.array(lower_words(text)), terms), 1)
 
 
 def phrases(text: Column, sizes: Sequence[int] = (2, 3)) -> Column:
