@@ -107,7 +107,7 @@ def packed_changes(pairs: Sequence[tuple[str, str]]) -> bytes:
 
 def unpacked(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(data or b"", PACKED)
-    return both["feature"].astype(np.int64), both["value"].astype(float)
+    return both["feature"], both["value"]
 
 
 def unpacked_changes(data: bytes | None) -> list[tuple[np.ndarray, np.ndarray]]:
