@@ -112,6 +112,7 @@ def unpacked(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 
 def unpacked_changes(data: bytes | None) -> list[tuple[np.ndarray, np.ndarray]]:
     feature, value = unpacked(data)
+    value = value.astype(float)
     ends = np.flatnonzero(value == 0)
     return [(feature[a:b], value[a:b]) for a, b in zip(np.r_[0, ends[:-1] + 1][: len(ends)], ends, strict=True) if b > a]
 
