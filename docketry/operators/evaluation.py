@@ -17,12 +17,15 @@ from docketry.functions.text import ANSWER_STOP_WORDS, token_f1
 CUTS = (1, 3, 5, 10)
 
 
-def retrieval_metrics(questions: DataFrame, retrieved: DataFrame, gold: DataFrame, cuts: Sequence[int] = CUTS) -> DataFrame:
-    """M1, M2: per question hit, recall and precision at each cut (precision over the cut) and the reciprocal rank of the first hit (0 without one)."""
+def retrieval_metrics(questions: DataFrame, retrieved: DataFrame, gold: DataFrame, cuts: Sequence[int] = CUTS, sizes: DataFrame | None = None) -> DataFrame:
+    """M1, M2: per question hit, recall and precision at each cut (precision over the cut) and the reciprocal rank of the first hit (0 without one).
+
+    Where gold is too large to list, ``sizes`` has (query_id, n_gold), and ``gold`` only what of it was retrieved.
+    """
     marked = retrieved.join(gold.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     found = lambda k: F.countDistinct(F.when((F.col("rank") <= k) & (F.col("hit") == 1), F.col("doc_id")))
     per = marked.groupBy("query_id").agg(*[found(k).alias(f"found_{k}") for k in cuts], F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
-    size = gold.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_gold"))
+    size = gold.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_gold")) if sizes is None else sizes.select("query_id", "n_gold")
     rows = questions.select("query_id").distinct().join(per, "query_id", "left").join(size, "query_id", "left")
     n = F.coalesce("n_gold", F.lit(0))
     out = ["query_id", n.alias("n_gold"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr")]
@@ -32,8 +35,8 @@ def retrieval_metrics(questions: DataFrame, retrieved: DataFrame, gold: DataFram
     return rows.select(*out)
 
 
-def retrieval_error_flags(questions: DataFrame, retrieved: DataFrame, gold: DataFrame, low: float = 0.60, high: float = 0.70, alarm: float = 0.65) -> DataFrame:
-    """M3: per question an array of flags. ``questions`` has query_id and requires_refusal."""
+def retrieval_error_flags(questions: DataFrame, retrieved: DataFrame, gold: DataFrame, low: float = 0.60, high: float = 0.70, alarm: float = 0.65, sizes: DataFrame | None = None) -> DataFrame:
+    """M3: per question an array of flags. ``questions`` has query_id and requires_refusal; ``gold`` and ``sizes`` are as in M1."""
     marked = retrieved.join(gold.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(True)), ["query_id", "doc_id"], "left")
     hit, rank, score = F.coalesce("hit", F.lit(False)), F.col("rank"), F.col("score")
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
@@ -41,7 +44,7 @@ def retrieval_error_flags(questions: DataFrame, retrieved: DataFrame, gold: Data
         any_(hit).alias("found"), any_(hit & (rank <= 5)).alias("hit5"), any_(~hit & (rank == 1)).alias("wrong1"),
         any_(hit & (score < low)).alias("low"), any_(~hit & (rank <= 3) & (score >= high)).alias("high"), F.max("score").alias("top"),
     )
-    has_gold = gold.select("query_id").distinct().withColumn("has_gold", F.lit(True))
+    has_gold = (gold if sizes is None else sizes.filter("n_gold > 0")).select("query_id").distinct().withColumn("has_gold", F.lit(True))
     rows = questions.join(per, "query_id", "left").join(has_gold, "query_id", "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     asked = ~F.col("requires_refusal") & yes("has_gold")

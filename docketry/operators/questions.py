@@ -50,13 +50,18 @@ def resolve_followup(turns: DataFrame, in_scope: Column, out_of_scope: Column, p
     return users.withColumn("is_followup", follows).drop("_in", "_out", "_was")
 
 
-def decompose(questions: DataFrame, documents: Rules, compound: str, most: int = 4) -> DataFrame:
+#: Pattern -> parts of a question that has it: a template with ``{}`` for the question, and the numbers of the parts it depends on.
+Cases = Mapping[str, Sequence[tuple[str, Sequence[int]]]]
+
+
+def decompose(questions: DataFrame, documents: Rules, compound: str, cases: Cases | None = None, most: int = 4) -> DataFrame:
     """Q5: (query_id, sub_no, sub_query, depends_on) by the first case that fits.
 
-    Two or more documents: one part each, the topic without their names; two or more articles: one for each of the first two and a third that depends on both; a compound
-    sentence (pattern ``compound`` between the parts): its two parts; else the question itself.
+    Two or more documents: one part each, the topic without their names; two or more articles: one for each of the first two and a third that depends on both; one of
+    ``cases`` (such as contrasts or a change over time): its parts, the first case that occurs; a compound sentence (pattern ``compound`` between the parts): its two parts; else the question itself. A question has ``most`` parts at most. Null texts count as empty.
     """
-    low = F.lower(F.coalesce("text", F.lit("")))
+    questions = questions.select("query_id", F.coalesce("text", F.lit("")).alias("text"))
+    low = F.lower("text")
     docs, arts = tag_rules(low, documents), extract_references(F.col("text"))
     bare = F.col("text")
     for patterns in documents.values():
@@ -70,9 +75,15 @@ def decompose(questions: DataFrame, documents: Rules, compound: str, most: int =
         F.transform(F.slice(arts, 1, 2), lambda a: sub(F.concat(F.lit("Điều "), a, F.lit(": "), F.col("text")), none)),
         F.array(sub(F.concat(F.col("text"), F.lit(" ("), F.array_join(F.slice(arts, 1, 2), ", "), F.lit(")")), F.array(F.lit(0), F.lit(1)))),
     )
+    deps = lambda ns: F.array(*map(F.lit, ns)).cast("array<int>")
+    filled = lambda template: F.concat(*[p for k, piece in enumerate(template.split("{}")) for p in ([F.col("text")] if k else []) + [F.lit(piece)]])
+    by_case = [(F.col("text").rlike(f"(?iu){p}"), F.array(*[sub(filled(t), deps(ns)) for t, ns in ps])) for p, ps in (cases or {}).items()]
     halves = F.split(F.col("text"), compound, 2)
     by_half = F.transform(halves, lambda h: sub(F.trim(h), none))
-    parts = F.when(F.size(docs) >= 2, by_doc).when(F.size(arts) >= 2, by_art).when(F.size(halves) == 2, by_half).otherwise(F.array(sub(F.col("text"), none)))
+    parts = F.when(F.size(docs) >= 2, by_doc).when(F.size(arts) >= 2, by_art)
+    for there, given in by_case:
+        parts = parts.when(there, given)
+    parts = parts.when(F.size(halves) == 2, by_half).otherwise(F.array(sub(F.col("text"), none)))
     return questions.select("query_id", F.posexplode(F.slice(parts, 1, most)).alias("sub_no", "s")).select("query_id", "sub_no", "s.sub_query", "s.depends_on")
 
 
@@ -81,10 +92,10 @@ def _terms(text: Column) -> Column:
 
 
 def similar_pairs(subs: DataFrame, least: float = 0.80) -> DataFrame:
-    """Q6: (query_id, first, second) of sub-queries of one question whose words have Jaccard ``least`` or more; a question has few sub-queries, so its pairs are few."""
+    """Q6: (query_id, first, second) of sub-queries of one question whose words have Jaccard ``least`` or more; a question has few sub-queries, so its pairs are few. Two without words are alike."""
     rows = subs.select("query_id", F.struct("sub_no", _terms(F.col("sub_query")).alias("t")).alias("s")).groupBy("query_id").agg(F.array_sort(F.collect_list("s")).alias("ss"))
     pairs = F.flatten(F.transform("ss", lambda a: F.transform(F.filter("ss", lambda b: b["sub_no"] > a["sub_no"]), lambda b: F.struct(
-        a["sub_no"].alias("first"), b["sub_no"].alias("second"), (F.size(F.array_intersect(a["t"], b["t"])) / F.size(F.array_union(a["t"], b["t"]))).alias("jaccard")))))
+        a["sub_no"].alias("first"), b["sub_no"].alias("second"), F.coalesce(F.try_divide(F.size(F.array_intersect(a["t"], b["t"])), F.size(F.array_union(a["t"], b["t"]))), F.lit(1.0)).alias("jaccard")))))
     return rows.select("query_id", F.explode(pairs).alias("p")).filter(F.col("p.jaccard") >= least).select("query_id", "p.first", "p.second")
 
 

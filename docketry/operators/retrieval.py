@@ -31,9 +31,12 @@ def ranked(rows: DataFrame, k: int | None = None, by: str = "query_id", score: s
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, skip_same_id: bool = False) -> DataFrame:
     """The ``k`` nearest by cosine, scores rounded to six places; ``queries`` (query_id, vector), ``vectors`` (doc_id, vector).
 
-    Blocks of queries meet shards of vectors as pairs of bounded groups; a zero vector has cosine 0. Rows with a null id or vector take no part.
+    Blocks of queries meet shards of vectors as pairs of bounded groups; a zero vector has cosine 0. Rows with a null id, a null or empty vector, or a component that is null
+    or not finite take no part; a query meets the vectors of its own length.
     """
-    queries, vectors = queries.select("query_id", "vector").dropna(), vectors.select("doc_id", "vector").dropna()
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    fit = lambda df, i: df.select(i, "vector").dropna().filter((F.size("vector") > 0) & finite)
+    queries, vectors = fit(queries, "query_id"), fit(vectors, "doc_id")
     shards, blocks = max(1, math.ceil(vectors.count() / SHARD_ROWS)), max(1, math.ceil(queries.count() / BLOCK_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -47,11 +50,15 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
 
     def nearest(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(docs) and len(asked):
-            ids = docs["doc_id"].to_numpy()
-            matrix = unit(docs["vector"])
-            for at in range(0, len(asked), 256):
-                some = asked.iloc[at : at + 256]
+        lengths = docs["vector"].map(len)
+        for n, same in asked.groupby(asked["vector"].map(len)):
+            near = docs[lengths == n]
+            if not len(near):
+                continue
+            ids = near["doc_id"].to_numpy()
+            matrix = unit(near["vector"])
+            for at in range(0, len(same), 256):
+                some = same.iloc[at : at + 256]
                 scores = np.round(unit(some["vector"]) @ matrix.T, 6)
                 for q, row in zip(some["query_id"], scores, strict=True):
                     keep = np.flatnonzero(row >= threshold) if threshold is not None else np.arange(len(row))
@@ -68,7 +75,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
     return ranked(found, k)
 
 
-def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 0.6, tables: int = 12, radius: float = 1.2, seed: int = 3) -> DataFrame:
+def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 1.0, tables: int = 16, radius: float = 1.4, seed: int = 3) -> DataFrame:
     """R2: approximate nearest by random projections of unit vectors (candidates within Euclidean ``radius``), exact cosines of those."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector

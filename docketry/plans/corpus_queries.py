@@ -337,7 +337,7 @@ UNION ALL SELECT 'unindexed_chunk', doc_id FROM documents WHERE doc_id NOT IN (S
 
 def questions(spark, d):
     b = load(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 4).alias("text"), (F.col("item_id") % 4 == 0).alias("requires_refusal"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"))
+    return b.select(F.col("item_id").alias("query_id"), "text", (F.col("item_id") % 4 == 0).alias("requires_refusal"), F.concat(F.lit("c"), F.col("item_id") % 3).alias("category"))
 
 
 def gold(spark, d):
@@ -348,7 +348,7 @@ def v8(spark, d):
     return V.validate_questions(questions(spark, d), gold(spark, d), docs(spark, d), pattern=r"^\d{2,}$")
 
 
-V8 = """WITH q AS (SELECT item_id AS query_id, substr(text, 1, 4) AS text, item_id % 4 = 0 AS refuse FROM benchmark), g AS (SELECT item_id AS query_id, item_id * 37 AS doc_id FROM benchmark WHERE item_id % 5 <> 0)
+V8 = """WITH q AS (SELECT item_id AS query_id, text, item_id % 4 = 0 AS refuse FROM benchmark), g AS (SELECT item_id AS query_id, item_id * 37 AS doc_id FROM benchmark WHERE item_id % 5 <> 0)
 SELECT query_id, 'id' AS problem FROM q WHERE query_id < 10 UNION ALL SELECT query_id, 'duplicate_text' FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY query_id) AS t FROM q) WHERE t > 1
 UNION ALL SELECT query_id, 'refusal_with_gold' FROM q WHERE refuse AND query_id IN (SELECT query_id FROM g) UNION ALL SELECT query_id, 'no_gold' FROM q WHERE NOT refuse AND query_id NOT IN (SELECT query_id FROM g)
 UNION ALL SELECT DISTINCT query_id, 'unknown_gold' FROM g WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""

@@ -10,11 +10,12 @@ from docketry.operators import embeddings as EM
 from docketry.operators import evaluation as E
 from docketry.operators import guards as G
 from docketry.operators import questions as Q
-from docketry.plans.retrieval_queries import BM25, DENSE, asked, candidates, dense, gold, questions, vectors
-from docketry.plans.tables import load
+from docketry.plans.retrieval_queries import BM25, DENSE, LEADING, asked, candidates, dense, labelled, questions, vectors
+from docketry.plans.tables import STOPS_SQL, load, lower_words_sql
 
 RULES = {"thing": [r"thing"], "here": [r"her", r"hat"], "umlaut": [r"[äöü]"], "ion": [r"ion"]}
 SETS = {"alpha": ["token"], "beta": ["erth"], "gamma": ["onth"]}
+CASES = {r" (?:is|be) ": (("rule: {}", ()), ("exception: {}", ()), ("together: {}", (0, 1)))}
 
 
 def _tags(text: str, rules: dict) -> str:
@@ -70,7 +71,7 @@ SELECT conv_id, turn, coalesce(len(p) > 100, false) AND NOT contains(text, '%%%'
 
 
 def subs(spark, d):
-    return Q.decompose(questions(spark, d), SETS, r" the ")
+    return Q.decompose(questions(spark, d), SETS, r" the ", CASES)
 
 
 def q5(spark, d):
@@ -85,6 +86,23 @@ def q7(spark, d):
     return Q.repair_subqueries(questions(spark, d), subs(spark, d)).select("query_id", "sub_no", F.length("sub_query").alias("length"))
 
 
+_TERMS = lambda x: f"list_distinct(list_filter({lower_words_sql(x)}, lambda w: len(w) >= 2))"
+SUBS = f"""p0 AS (SELECT item_id AS query_id, text, {_tags("lower(text)", SETS)} AS ds, trim(regexp_replace(regexp_replace(text, '(?i)token|erth|onth', '', 'g'), '\\s+', ' ', 'g')) AS bare, strpos(text, ' the ') AS place FROM benchmark
+), p1 AS (SELECT query_id, text, CASE WHEN len(ds) >= 2 THEN list_transform(ds, lambda x: x || ': ' || bare) WHEN regexp_matches(text, '(?i) (?:is|be) ') THEN ['rule: ' || text, 'exception: ' || text, 'together: ' || text]
+    WHEN place > 0 THEN [trim(substr(text, 1, place - 1)), trim(substr(text, place + 5))] ELSE [text] END AS ps, len(ds) < 2 AS single FROM p0
+), subs AS (SELECT query_id, text, single AND len(ps) = 3 AS tied, unnest(range(len(ps)))::INT AS sub_no, unnest(ps) AS sub_query FROM p1
+), st AS (SELECT *, {_TERMS("sub_query")} AS t FROM subs
+), near AS (SELECT a.query_id, a.sub_no AS first, b.sub_no AS second FROM st a JOIN st b ON a.query_id = b.query_id AND a.sub_no < b.sub_no
+    WHERE CASE WHEN len(a.t) + len(b.t) = 0 THEN 1.0 ELSE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) END >= 0.8)"""
+Q5 = f"WITH {SUBS} SELECT query_id, sub_no, md5(sub_query) AS digest, CASE WHEN tied AND sub_no = 2 THEN 2 ELSE 0 END::INT AS n_dependencies FROM subs"
+Q6 = f"""WITH {SUBS}, q AS (SELECT query_id, any_value(text) AS text, count(*) AS n, string_agg(sub_query, ' ') AS every, bool_or(len(sub_query) < 15) AS short FROM subs GROUP BY query_id
+), c AS (SELECT *, {_TERMS("text")} AS t, {_TERMS("every")} AS u FROM q), r AS (SELECT query_id, n, CASE WHEN len(t) > 0 THEN round(len(list_intersect(t, u))::DOUBLE / len(t), 4) ELSE 1 END::DOUBLE AS coverage, short, query_id IN (SELECT query_id FROM near) AS redundant FROM c)
+SELECT *, NOT short AND NOT redundant AND coverage >= 0.6 AS valid FROM r"""
+Q7 = f"""WITH {SUBS}, k AS (SELECT * FROM subs WHERE (query_id, sub_no) NOT IN (SELECT (query_id, second) FROM near)), h AS (SELECT query_id, min(sub_no) AS first, string_agg(sub_query, ' ') AS every FROM k GROUP BY query_id
+), u AS (SELECT query_id, first, {_TERMS("every")} AS u FROM h), l AS (SELECT k.query_id, sub_no, sub_query, sub_no = first AS leads, list_filter({_TERMS("text")}, lambda w: NOT list_contains(u, w)) AS lost FROM k JOIN u ON k.query_id = u.query_id)
+SELECT query_id, sub_no, (len(sub_query) + CASE WHEN leads AND len(lost) > 0 THEN len(array_to_string(lost, ' ')) + 1 ELSE 0 END)::INT AS length FROM l"""
+
+
 def q8(spark, d):
     parts = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("int").alias("sub_no"), F.array((F.col("l_linenumber") - 1).cast("int")).alias("depends_on"))
     parts = parts.withColumn("depends_on", F.when(F.col("sub_no") > 1, F.col("depends_on")).when(F.col("query_id") % 5 == 0, F.array("sub_no")).otherwise(F.array().cast("array<int>")))
@@ -103,10 +121,10 @@ G9 = f"WITH {DENSE} SELECT query_id, count(*) AS n, max(score) AS top, max(score
 
 
 def g13(spark, d):
-    return G.retrieval_confidence(asked(spark, d), dense(spark, d).filter("query_id % 100 <> 0"))
+    return G.retrieval_confidence(asked(spark, d), dense(spark, d))
 
 
-G13 = f"""WITH {DENSE}, t AS (SELECT query_id, max(score) AS m FROM dense WHERE query_id % 100 <> 0 GROUP BY query_id), l AS (SELECT vec_id AS query_id, CASE WHEN m IS NULL THEN 'EMPTY' WHEN m >= 0.7 THEN 'HIGH' WHEN m >= 0.45 THEN 'AMBIGUOUS' ELSE 'LOW' END AS level
+G13 = f"""WITH {DENSE}, t AS (SELECT query_id, max(score) AS m FROM dense GROUP BY query_id), l AS (SELECT vec_id AS query_id, CASE WHEN m IS NULL THEN 'EMPTY' WHEN m >= 0.7 THEN 'HIGH' WHEN m >= 0.45 THEN 'AMBIGUOUS' ELSE 'LOW' END AS level
   FROM embeddings LEFT JOIN t ON vec_id = query_id WHERE vec_id % 25 = 0)
 SELECT *, CASE level WHEN 'AMBIGUOUS' THEN 'corrective' WHEN 'LOW' THEN 'decompose' WHEN 'EMPTY' THEN 'decompose' END AS escalate FROM l"""
 
@@ -164,6 +182,10 @@ def g12(spark, d):
     return G.align_answer(evidence(spark, d)).select("answer_id", F.length("answer").alias("length"), "refused")
 
 
+# a break ends a claim: a mark in its place stands for the look-behind that DuckDB's patterns lack
+_CLAIMS = r"list_filter(list_transform(string_split(regexp_replace(answer, '([.!?\n])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda s: len(s) >= 15 AND NOT suffix(s, ':'))"
+
+
 def m7(spark, d):
     return evidence(spark, d).select("answer_id", E.faithfulness(F.col("answer"), F.col("context"), F.lit(False)).alias("f")).select("answer_id", "f.*")
 
@@ -182,6 +204,39 @@ SELECT answer_id, CASE WHEN ratio >= 0.75 THEN 'SUPPORTED' WHEN ratio >= 0.4 THE
 )
 
 
+G11 = _ev(
+    f""", c AS (SELECT answer_id, context, {_CLAIMS} AS cs FROM e), u AS (SELECT answer_id, context, unnest(cs) AS s FROM c), w AS (SELECT answer_id, context, s, {_LONG.format("s")} AS ws, regexp_extract_all(lower(s), '\\d+(?:[\\d.,]*\\d)?') AS ns,
+    regexp_extract_all(lower(s), 'điều\\s+(\\d+[a-zA-Z]*)', 1) AS refs FROM u
+), r AS (SELECT answer_id, len(list_filter(refs, lambda x: NOT list_contains(regexp_extract_all(context, 'điều\\s+(\\d+[a-zA-Z]*)', 1), x))) > 0 AS wrong,
+    len(ws) = 0 OR (len(list_filter(ws, lambda x: contains(context, x)))::DOUBLE / len(ws) >= 0.4 AND len(list_filter(ns, lambda x: NOT contains(context, x))) = 0) AS held FROM w
+), per AS (SELECT answer_id, count(*)::INT AS n, count(*) FILTER (held AND NOT wrong)::INT AS k, count(*) FILTER (wrong)::INT AS x FROM r GROUP BY answer_id
+), a AS (SELECT e.answer_id, coalesce(n, 0)::INT AS n_claims, coalesce(k, 0)::INT AS n_entailed, coalesce(x, 0)::INT AS n_contradicted, trim(answer) = '' OR trim(context) = '' AS blank FROM e LEFT JOIN per ON e.answer_id = per.answer_id
+), s AS (SELECT *, CASE WHEN blank THEN 0 WHEN n_claims = 0 THEN 1 ELSE round(n_entailed::DOUBLE / n_claims, 4) END::DOUBLE AS score FROM a)
+SELECT answer_id, n_claims, n_entailed, n_contradicted, score, CASE WHEN blank THEN 'BLOCK_REFUSAL' WHEN n_claims = 0 THEN 'ALLOW' WHEN n_contradicted > 0 OR score < 0.4 THEN 'BLOCK_REFUSAL' WHEN score < 0.65 THEN 'ADD_DISCLAIMER' ELSE 'ALLOW' END AS action FROM s"""
+)
+G12 = _ev(
+    f""", c AS (SELECT answer_id, context, {_CLAIMS} AS cs FROM e), u AS (SELECT answer_id, context, unnest(cs) AS s, unnest(range(len(cs))) AS i FROM c), w AS (SELECT answer_id, context, s, i, {_LONG.format("s")} AS ws FROM u
+), k AS (SELECT answer_id, string_agg(s, ' ' ORDER BY i) AS answer FROM w WHERE len(list_filter(ws, lambda x: contains(context, x)))::DOUBLE / greatest(len(ws), 1) >= 0.35 OR regexp_matches(s, '\\d+\\s*[x×*/]\\s*\\d+') GROUP BY answer_id)
+SELECT e.answer_id, coalesce(len(k.answer), 0)::INT AS length, k.answer IS NULL AS refused FROM e LEFT JOIN k ON e.answer_id = k.answer_id"""
+)
+
+_SH = lambda terms, text: f"CASE WHEN len({terms}) > 0 THEN len(list_filter({terms}, lambda x: contains({text}, x)))::DOUBLE / len({terms}) ELSE 0.0::DOUBLE END"
+GRADED = f"""{BM25}, c0 AS (SELECT query_id, doc_id, greatest(0, least(1, score))::DOUBLE AS raw, b.text AS query, {lower_words_sql("b.text")} AS ws, lower({LEADING}) AS title, lower(d.text) AS content
+  FROM bm25 JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 10
+), c1 AS (SELECT *, list_distinct(list_filter(ws, lambda w: len(w) >= 2 AND NOT list_contains({STOPS_SQL}, w))) AS singles,
+    list_distinct(list_transform(list_filter(range(1, len(ws)), lambda i: NOT list_contains({STOPS_SQL}, ws[i]) AND NOT list_contains({STOPS_SQL}, ws[i + 1])), lambda i: ws[i] || ' ' || ws[i + 1])) AS pairs FROM c0
+), c2 AS (SELECT *, {_SH("pairs", "title")} AS pt, {_SH("pairs", "content")} AS pc, {_SH("singles", "content")} AS sc,
+    len(list_intersect(regexp_extract_all(query, '(?i)điều\\s*(\\d+)', 1), regexp_extract_all(title || ' ' || content, '(?i)điều\\s*(\\d+)', 1))) > 0 AS named FROM c1
+), c3 AS (SELECT *, CASE WHEN contains(lower(query), 'licensed') THEN 'outside' WHEN named THEN 'named' WHEN pt >= 0.5 OR (pc >= 0.5 AND sc >= 0.6) THEN 'strong' WHEN pc >= 0.25 OR (len(pairs) = 0 AND sc >= 0.5) THEN 'part' WHEN pt + pc + sc = 0 THEN 'nothing' ELSE 'weak' END AS rule FROM c2
+), c4 AS (SELECT query_id, doc_id, rule, round(CASE rule WHEN 'outside' THEN raw * 0.35::DOUBLE WHEN 'named' THEN greatest(raw, 0.85::DOUBLE) WHEN 'strong' THEN least(1.0::DOUBLE, greatest(0.7::DOUBLE, 0.35::DOUBLE * raw + 0.4::DOUBLE * pc + 0.25::DOUBLE * pt))
+    WHEN 'part' THEN 0.5::DOUBLE * raw + 0.5::DOUBLE * pc WHEN 'nothing' THEN raw * 0.4::DOUBLE ELSE 0.4::DOUBLE * raw + 0.6::DOUBLE * (sc * 0.5::DOUBLE) END, 4) AS grade_score FROM c3
+), graded AS (SELECT query_id, doc_id, grade_score, CASE WHEN rule IN ('named', 'strong') OR (rule = 'part' AND grade_score >= 0.68) THEN 'CORRECT' WHEN rule IN ('part', 'weak') AND grade_score >= 0.45 THEN 'AMBIGUOUS' ELSE 'INCORRECT' END AS grade FROM c4)"""
+G1 = f"WITH {GRADED} SELECT * FROM graded"
+G2 = f"""WITH {GRADED}, g AS (SELECT query_id, count(*) FILTER (grade = 'CORRECT') AS n_correct, count(*) FILTER (grade = 'AMBIGUOUS') AS n_ambiguous, max(grade_score) AS confidence FROM graded GROUP BY query_id
+), f AS (SELECT item_id AS query_id, coalesce(n_correct, 0)::BIGINT AS n_correct, coalesce(n_ambiguous, 0)::BIGINT AS n_ambiguous, coalesce(confidence, 0)::DOUBLE AS confidence FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN g ON item_id = query_id)
+SELECT *, CASE WHEN n_correct > 0 AND confidence >= 0.68 THEN 'REFINE' WHEN n_correct + n_ambiguous > 0 THEN 'COMBINE_SEARCH' WHEN confidence >= 0.45 THEN 'WEB_SEARCH' ELSE 'REFUSE' END AS action FROM f"""
+
+
 def x3(spark, d):
     strips = X.split_strips(candidates(spark, d), heading=r"^\p{Lu}\p{Ll}+\.$")
     kept = X.filter_strips(strips, heading=r"^\p{Lu}\p{Ll}+\.$")
@@ -216,19 +271,21 @@ SELECT k.o AS answer_id, 'a ' || coalesce(a.c, '') || ' b ' || coalesce(b.c, '')
 
 
 def m4_m5(spark, d):
-    """Passages as references, the same passages without their first 30 characters as answers; every fifth must be refused."""
-    b = load(spark, d, "benchmark")
+    """Whole passages as answers, the whole text of their best document as reference; every fifth must be refused."""
+    b = evidence(spark, d).withColumnRenamed("answer_id", "item_id")
     refused, refuse = F.col("item_id") % 7 == 0, F.col("item_id") % 5 == 0
-    out = E.answer_correctness(F.expr("substring(text, 31)"), F.col("text"), F.array(F.lit("doc_Điều 9")), F.array(F.concat(F.lit("Điều "), (F.col("item_id") % 12).cast("string"))), refused, refuse)
+    out = E.answer_correctness(F.col("answer"), F.col("context"), F.array(F.lit("doc_Điều 9")), F.array(F.concat(F.lit("Điều "), (F.col("item_id") % 12).cast("string"))), refused, refuse)
     return b.select("item_id", out.alias("c")).select("item_id", "c.*")
 
 
 _KWS = r"list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', ' ', 'g'), '[\s\p{{Z}}]+'), lambda w: len(w) >= 2 AND NOT list_contains(stops, w)))"
-M4_M5 = f"""WITH st AS (SELECT string_split('{" ".join(E.ANSWER_STOP_WORDS)}', ' ') AS stops), k AS (SELECT item_id, item_id % 7 = 0 AS refused, item_id % 5 = 0 AS refuse, {_KWS.format("substr(text, 31)")} AS a, {_KWS.format("text")} AS b FROM benchmark, st
+M4_M5 = _ev(
+    f""", st AS (SELECT string_split('{" ".join(E.ANSWER_STOP_WORDS)}', ' ') AS stops), k AS (SELECT answer_id AS item_id, answer_id % 7 = 0 AS refused, answer_id % 5 = 0 AS refuse, {_KWS.format("answer")} AS a, {_KWS.format("context")} AS b FROM e, st
 ), f AS (SELECT *, len(list_intersect(a, b))::DOUBLE AS c, (item_id % 12 = 9)::INT::DOUBLE AS r FROM k), g AS (SELECT *, CASE WHEN c > 0 THEN 2 * ((c / len(a)) * (c / len(b))) / (c / len(a) + c / len(b)) ELSE 0 END AS f1 FROM f
 ), s AS (SELECT *, CASE WHEN refuse THEN CASE WHEN refused THEN 'CORRECT' ELSE 'INCORRECT' END WHEN refused THEN 'INCORRECT' WHEN r >= 1 AND f1 >= 0.2 THEN 'CORRECT' WHEN r > 0 OR f1 >= 0.35 THEN 'PARTIALLY_CORRECT' ELSE 'INCORRECT' END AS status FROM g)
 SELECT item_id, status, CASE status WHEN 'CORRECT' THEN 1.0 WHEN 'PARTIALLY_CORRECT' THEN 0.5 ELSE 0.0 END::DOUBLE AS score, CASE WHEN refuse AND refused THEN 1.0 WHEN refuse OR refused THEN 0.0 ELSE round(f1, 4) END::DOUBLE AS f1_score,
   CASE WHEN refuse AND refused THEN 1.0 WHEN refuse OR refused THEN 0.0 ELSE r END::DOUBLE AS article_recall FROM s"""
+)
 
 
 def records(spark, d):
@@ -300,14 +357,14 @@ def e6(spark, d):
     return EM.candidate_pool(vectors(spark, d).select("doc_id", "label"), asked(spark, d).select(F.col("query_id").alias("doc_id")), 100)
 
 
-E6 = "SELECT vec_id AS doc_id, label FROM embeddings ORDER BY (vec_id % 25 = 0) DESC, md5('42:' || vec_id), vec_id LIMIT 100"
+E6 = "SELECT doc_id, label FROM (SELECT vec_id AS doc_id, label, row_number() OVER (ORDER BY (vec_id % 25 = 0) DESC, md5('42:' || vec_id), vec_id) AS t FROM embeddings) WHERE doc_id % 25 = 0 OR t <= 100"
 
 
 def e7(spark, d):
-    ranked = dense(spark, d).withColumn("model", F.lit("a"))
-    other = gold(spark, d)
-    far = asked(spark, d).select("query_id", F.lit(1).alias("k")).join(vectors(spark, d).filter("label = 9").select("doc_id", F.lit(1).alias("k")).hint("broadcast"), "k").select("query_id", "doc_id")
-    out = EM.compare_embeddings(ranked, other, far.join(other, ["query_id", "doc_id"], "left_anti"), ranked.select("model", "query_id", "doc_id", "score"))
+    """Of the retrieved vectors, those of the query's label are positives, those of label 9 negatives of all other queries."""
+    found = labelled(spark, d).withColumn("model", F.lit("a"))
+    pairs = lambda c: found.filter(c).select("query_id", "doc_id")
+    out = EM.compare_embeddings(found, pairs("label = query_label"), pairs("label = 9 AND query_label <> 9"), found.select("model", "query_id", "doc_id", "score"))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
@@ -316,8 +373,8 @@ SELECT 'a' AS model, round(avg(coalesce((f <= 1)::INT, 0)), 6) AS hit_1, round(a
   round(avg(n / 5.0::DOUBLE), 6) AS precision_5, round((SELECT avg(score) FROM dense WHERE label = query_label) - (SELECT avg(score) FROM dense WHERE label = 9 AND query_label <> 9), 6) AS margin FROM p"""
 
 QUERIES = {
-    "e4_upsert_vectors": (e4, E4), "e6_candidate_pool": (e6, E6), "e7_compare_embeddings": (e7, E7), "g1_grade_chunks": (g1, None), "g2_grade_query": (g2, None), "g5_evidence_gate": (g5, G5), "g6_tag_rules": (g6, G6), "g8_named_documents": (g8, G8),
-    "g9_pre_guard": (g9, G9), "g11_verify_claims": (g11, None), "g12_align_answer": (g12, None), "g13_confidence": (g13, G13), "g14_apply_gates": (g14, G14), "m4_m5_answer_correctness": (m4_m5, M4_M5), "m7_faithfulness": (m7, M7), "m8_refusal_outcome": (m8, M8),
-    "m10_overall_metrics": (m10, M10), "m17_confusion": (m17, M17), "m18_conditional_rates": (m18, M18), "m23_score_distribution": (m23, M23), "q1_q2_complexity": (q1, Q1), "q3_route": (q3, Q3), "q4_followup": (q4, Q4), "q5_decompose": (q5, None),
-    "q6_validate_subqueries": (q6, None), "q7_repair_subqueries": (q7, None), "q8_dag_valid": (q8, Q8), "x3_filter_strips": (x3, None), "x4_recompose": (x4, None), "x5_pack_context": (x5, X5), "x9_resolve_citations": (x9, X9),
+    "e4_upsert_vectors": (e4, E4), "e6_candidate_pool": (e6, E6), "e7_compare_embeddings": (e7, E7), "g1_grade_chunks": (g1, G1), "g2_grade_query": (g2, G2), "g5_evidence_gate": (g5, G5), "g6_tag_rules": (g6, G6), "g8_named_documents": (g8, G8),
+    "g9_pre_guard": (g9, G9), "g11_verify_claims": (g11, G11), "g12_align_answer": (g12, G12), "g13_confidence": (g13, G13), "g14_apply_gates": (g14, G14), "m4_m5_answer_correctness": (m4_m5, M4_M5), "m7_faithfulness": (m7, M7), "m8_refusal_outcome": (m8, M8),
+    "m10_overall_metrics": (m10, M10), "m17_confusion": (m17, M17), "m18_conditional_rates": (m18, M18), "m23_score_distribution": (m23, M23), "q1_q2_complexity": (q1, Q1), "q3_route": (q3, Q3), "q4_followup": (q4, Q4), "q5_decompose": (q5, Q5),
+    "q6_validate_subqueries": (q6, Q6), "q7_repair_subqueries": (q7, Q7), "q8_dag_valid": (q8, Q8), "x3_filter_strips": (x3, None), "x4_recompose": (x4, None), "x5_pack_context": (x5, X5), "x9_resolve_citations": (x9, X9),
 }

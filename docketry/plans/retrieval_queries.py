@@ -10,6 +10,7 @@ from docketry.functions.vectors import l2_normalize, norm
 from docketry.operators import evaluation as E
 from docketry.operators import retrieval as R
 from docketry.plans.tables import STOPS_SQL, load, terms_sql
+from docketry.sources.scratch import written
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -34,10 +35,16 @@ def dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return R.dense_topk(asked(spark, d), vectors(spark, d), k, skip_same_id=True)
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
-    labels = vectors(spark, d).select("doc_id", "label")
-    q = asked(spark, d).select("query_id", "label")
-    return q.join(labels, "label").filter("query_id <> doc_id").select("query_id", "doc_id")
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every query, written once, with the labels of both sides."""
+    found = written(dense(spark, d), "labelled").join(vectors(spark, d).select("doc_id", "label"), "doc_id")
+    return found.join(asked(spark, d).select("query_id", F.col("label").alias("query_label")), "query_id")
+
+
+def gold_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, n_gold): the other vectors of the query's label, from counts of labels."""
+    sizes = vectors(spark, d).groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_gold"))
+    return asked(spark, d).select("query_id", "label").join(sizes, "label").select("query_id", "n_gold")
 
 
 def r1(spark, d):
@@ -57,7 +64,8 @@ SELECT doc_id, round(sqrt(list_inner_product(list_transform(e, lambda x: x / s),
 
 
 def m1(spark, d):
-    return E.retrieval_metrics(asked(spark, d), dense(spark, d), gold(spark, d))
+    found = labelled(spark, d)
+    return E.retrieval_metrics(asked(spark, d), found, found.filter("label = query_label"), sizes=gold_sizes(spark, d))
 
 
 M1 = (
@@ -76,7 +84,8 @@ SELECT g.query_id, n_gold, coalesce(1.0::DOUBLE / first, 0)::DOUBLE AS mrr, """
 
 def m3(spark, d):
     rows = asked(spark, d).select("query_id", (F.col("label") == 0).alias("requires_refusal"))
-    flags = E.retrieval_error_flags(rows, dense(spark, d), gold(spark, d))
+    found = labelled(spark, d)
+    flags = E.retrieval_error_flags(rows, found, found.filter("label = query_label"), sizes=gold_sizes(spark, d))
     return flags.select("query_id", F.array_join("flags", ",").alias("flags"))
 
 
@@ -99,6 +108,8 @@ def questions(spark, d):
     return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: First line of a document ``d``.
+LEADING = "split_part(d.text, chr(10), 1)"
 BM25 = f"""
 dt AS (SELECT doc_id, {terms_sql("text")} AS terms FROM documents),
 qt AS (SELECT item_id AS query_id, unnest(t.terms) AS term FROM (SELECT item_id, {terms_sql("text")} AS terms FROM benchmark) t),
@@ -157,19 +168,19 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 
 def r11(spark, d):
-    """Orders as queries with their date, their customers' other orders as candidates, in force from order to 90 days later."""
-    orders = load(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus")
-    q = orders.filter(F.col("o_orderkey") % 7 == 0).select(F.col("o_orderkey").alias("query_id"), "o_custkey", F.col("day").alias("as_of"))
-    c = orders.select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
-    rows = q.join(c, "o_custkey").withColumn("rank", F.row_number().over(R.W.partitionBy("query_id").orderBy("doc_id"))).select("query_id", "doc_id", "rank", "as_of")
-    validity = orders.select(F.col("o_orderkey").alias("doc_id"), F.col("day").alias("effective_from"), F.when(F.col("o_orderstatus") != "O", F.date_add("day", 90)).alias("effective_to"),
-                             F.when(F.col("o_orderstatus") == "P", "REPEALED").otherwise("ACTIVE").alias("legal_status"))
+    """Every order as a query of its date, its own lines' parts as candidates; a part is in force from a day of its own on, for a time that depends on its size, or without end."""
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").cast("date").alias("as_of"))
+    rows = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("doc_id"), F.col("l_linenumber").alias("rank")).join(orders, "query_id")
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 1500).cast("int"))
+    validity = load(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), start.alias("effective_from"), F.when(F.col("p_size") % 5 != 0, F.date_add(start, (F.col("p_size") * 30).cast("int"))).alias("effective_to"),
+                                             F.when(F.col("p_brand") == "Brand#2", "REPEALED").otherwise("ACTIVE").alias("legal_status"))
     return R.as_of_filter(rows, validity, strict=True).select("query_id", "doc_id", "rank")
 
 
-R11 = """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate::DATE AS day, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate::DATE + 90 END AS until, o_orderstatus AS st FROM orders)
-SELECT q.o_orderkey AS query_id, c.o_orderkey AS doc_id, row_number() OVER (PARTITION BY q.o_orderkey ORDER BY c.o_orderkey)::INT AS rank
-FROM o q JOIN o c ON q.o_custkey = c.o_custkey WHERE q.o_orderkey % 7 = 0 AND q.day >= c.day AND (c.until IS NULL OR q.day <= c.until) AND c.st <> 'P'"""
+R11 = """WITH v AS (SELECT p_partkey, DATE '1995-01-01' + (p_partkey % 1500)::INT AS since, CASE WHEN p_size % 5 <> 0 THEN DATE '1995-01-01' + (p_partkey % 1500)::INT + (p_size * 30)::INT END AS until, p_brand = 'Brand#2' AS gone FROM part
+), r AS (SELECT l_orderkey, l_partkey, l_linenumber, o_orderdate::DATE AS day, v.* FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN v ON l_partkey = p_partkey)
+SELECT l_orderkey AS query_id, l_partkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)::INT AS rank
+FROM r WHERE p_partkey IS NULL OR (day >= since AND (until IS NULL OR day <= until) AND NOT gone)"""
 
 
 def candidates(spark, d):

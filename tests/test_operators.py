@@ -234,7 +234,7 @@ def test_retrieval_modes_and_lsh(spark):
     exact = R.retrieve("dense", queries, docs, vectors, 5).collect()
     assert {(r.query_id, r.doc_id) for r in exact if r.rank == 1} == {(i, i) for i in range(10)}
     near = {(r.query_id, r.doc_id) for r in R.dense_topk_lsh(queries, vectors, 5).collect()}
-    assert len(near & {(r.query_id, r.doc_id) for r in exact}) >= 0.8 * len(exact)
+    assert len(near & {(r.query_id, r.doc_id) for r in exact}) >= 0.9 * len(exact)
     lexical = R.retrieve("bm25", queries, docs, vectors, 3).filter("rank = 1").collect()
     assert all(r.doc_id % 20 == r.query_id and r.score == 1 for r in lexical)
     assert R.retrieve("hybrid", queries, docs, vectors, 4).groupBy("query_id").count().filter("count = 4").count() == 10
@@ -379,3 +379,34 @@ def test_sections_end_at_whole_sources(spark):
     rows = spark.createDataFrame([(1, s, f"q{s}", r, "x" * n) for s, r, n in sizes], "query_id int, sub_no int, sub_query string, rank int, content string")
     found = X.sectioned_context(rows, 120).first().context
     assert found == f"## q0\n[SOURCE 1] {'x' * 60}\n\n## q1\n[SOURCE 2] {'x' * 20}\n\n## q2"
+
+
+def test_dense_topk_meets_vectors_of_its_own_length_only(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (8, None), (9, [0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    found = R.dense_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors, 9)
+    assert sorted((r.query_id, r.doc_id, r.score) for r in found.collect()) == [
+        (1, 1, 1.0), (1, 2, 0.0), (1, 9, 0.0), (2, 1, 0.0), (2, 2, 1.0), (2, 9, 0.0), (3, 3, 1.0), (9, 1, 0.0), (9, 2, 0.0), (9, 9, 0.0),
+    ]
+    assert R.dense_topk(vectors.withColumnRenamed("doc_id", "query_id"), vectors.filter("doc_id > 99"), 9).collect() == []
+
+
+def test_decompose_by_cases(spark):
+    rows = spark.createDataFrame([(1, "pay before and AFTER 2020"), (2, None), (3, "plain")], "query_id int, text string")
+    found = Q.decompose(rows, {}, " and ", {"before .* after": (("until: {}", ()), ("since: {}", ()), ("change of {}!", (0, 1)))}).collect()
+    assert sorted((r.query_id, r.sub_no, r.sub_query, tuple(r.depends_on)) for r in found) == [
+        (1, 0, "until: pay before and AFTER 2020", ()), (1, 1, "since: pay before and AFTER 2020", ()), (1, 2, "change of pay before and AFTER 2020!", (0, 1)), (2, 0, "", ()), (3, 0, "plain", ()),
+    ]
+    blank = spark.createDataFrame([(1, 0, "?"), (1, 1, "!")], "query_id int, sub_no int, sub_query string")
+    assert [tuple(r) for r in Q.similar_pairs(blank).collect()] == [(1, 0, 1)]
+
+
+def test_metrics_of_counted_gold(spark):
+    asked = spark.createDataFrame([(1, False), (2, False), (3, False)], "query_id int, requires_refusal boolean")
+    found = spark.createDataFrame([(1, 10, 1, 0.9), (1, 11, 2, 0.8), (2, 12, 1, 0.5)], "query_id int, doc_id int, rank int, score double")
+    listed = spark.createDataFrame([(1, 11), (1, 20), (1, 21), (2, 22)], "query_id int, doc_id int")
+    sizes = spark.createDataFrame([(1, 3), (2, 1)], "query_id int, n_gold long")
+    held = listed.join(found, ["query_id", "doc_id"], "left_semi")
+    for f in (E.retrieval_metrics, E.retrieval_error_flags):
+        assert sorted(map(str, f(asked, found, listed).collect())) == sorted(map(str, f(asked, found, held, sizes=sizes).collect()))
