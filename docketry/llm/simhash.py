@@ -319,30 +319,35 @@ def near_edges(units: DataFrame, limit: int = 2, tree_codes: int = TREE_CODES, m
     return rows.repartition(tasks, "key", "tree").mapInPandas(search, "u long, v long")
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v only and is itself no v; rows may repeat."""
+    ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("up")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.min("e.up").alias("least"), F.max("e.up").alias("most"), F.bool_or(F.isnull("e.up")).alias("centre"))
+    return not nodes.filter("least <> most OR (centre AND least IS NOT NULL)").count()
+
+
 def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v), root the smallest node it is connected to.
 
-    Alternating large-star and small-star steps; each step's edges are written to the shared folder.
+    Alternating large-star and small-star steps, which keep what is connected so, until only stars are left, whose centres are the smallest
+    nodes; each step's edges are written to the shared folder. A large-star step writes a row for each edge at most, so repeats stay in it.
     """
-    one_way = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-    edges = stash(one_way(edges), "star-edges")
-    before = state(edges)
+    one_way = lambda df: df.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = stash(one_way(edges).distinct(), "star-edges")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(one_way(large), "star-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = stash(one_way(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))), "star-small")
-        after = state(edges)
-        if after == before:
+        edges = stash(one_way(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "star-large")
+        if are_stars(edges):
+            break
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        small = edges.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        edges = stash(one_way(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))).distinct(), "star-small")
+        if are_stars(edges):
             break
-        before = after
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 2) -> DataFrame:
@@ -418,7 +423,7 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
     ``units`` has (unit, code), ``rows`` (unit, text as bytes) with at least those units. A forest of the index's links, and of each code the links to its
     first unit, are tested on the texts first.
     Where a test fails, classes that the failed edges touch are searched again for pairs that lead out of them, nearest first, ``GROWTH`` times as
-    many in each round, until every pair of different classes has been tested; so pairs within a class cost no test, nor do those whose counts of
+    many in each round, until every pair of different classes has been tested (no unit had pairs left out); so pairs within a class cost no test, nor do those whose counts of
     shingles in bins show that they cannot be alike.
     """
     no_edges = units.sparkSession.createDataFrame([], "u long, v long")
@@ -427,7 +432,7 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
     edges = stash(near_edges(stash(firsts, "alike-codes"), limit, tree_codes).unionByName(equal), "alike-edges")
     needed = _few(edges.select(F.explode(F.array("u", "v")).alias("unit")).distinct())
     texts = stash(rows.join(needed, "unit").select("unit", "text"), "alike-texts")
-    good, refused, labels, most = no_edges, no_edges, None, GROWTH
+    good, refused, labels, bins, most, whole = no_edges, no_edges, None, None, GROWTH, False
     while True:
         sides = edges.join(texts.select(F.col("unit").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("unit").alias("v"), F.col("text").alias("b")), "v")
         tested = stash(sides.select("u", "v", _similar("a", "b").alias("alike")), "alike-tested")
@@ -435,7 +440,7 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
         if not found.isEmpty():
             good = good.unionByName(found)
             labels = stash(star_components(good), "alike-labels")
-        if most == GROWTH and failed.isEmpty():
+        if whole or (most == GROWTH and failed.isEmpty()):
             break
         refused = refused.unionByName(failed)
         known = texts.select("unit")
@@ -446,11 +451,14 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
         known = stash(known, "alike-known")
         touched = refused.select(F.explode(F.array("u", "v")).alias("unit")).join(known, "unit").select("label").distinct()
         others = refused.groupBy(F.col("u").alias("unit")).agg(F.collect_list("v").alias("refused"))
-        again = known.join(touched, "label", "left_semi").join(units, "unit").join(others, "unit", "left").join(texts, "unit")
-        again = stash(again.select("unit", "code", "label", "refused", _bins("text").alias("bins")), "alike-again")
+        if bins is None:
+            bins = stash(texts.select("unit", _bins("text").alias("bins")), "alike-bins")
+        again = known.join(touched, "label", "left_semi").join(units, "unit").join(others, "unit", "left").join(bins, "unit")
+        again = stash(again.select("unit", "code", "label", "refused", "bins"), "alike-again")
         edges = stash(near_edges(again, limit, tree_codes, most), "alike-edges")
         if edges.isEmpty():
             break
+        whole = edges.groupBy("u").count().filter(F.col("count") >= most).isEmpty()
         most *= GROWTH
     return no_edges.toDF("node", "root") if labels is None else labels
 
