@@ -36,6 +36,8 @@ TREE_CODES, WIDE_TREE_CODES = 16_384, 2048
 HOT_ROWS = 10_000
 #: Near copies that an exact test decides: words of a shingle and least Jaccard similarity; bits their fingerprints may differ in.
 ALIKE_WIDTH, ALIKE_LEAST, ALIKE_LIMIT = 5, (4, 5), 8
+#: Words of the shingles in those fingerprints: a changed word spoils fewer short shingles, so that alike texts differ in fewer bits.
+ALIKE_PRINT = 2
 #: Bins that the shingles of a text are counted in, to bound how many two texts can share.
 BINS = 256
 #: Rows whose keys are broadcast rather than shuffled with the texts.
@@ -463,7 +465,7 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
     return no_edges.toDF("node", "root") if labels is None else labels
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = ALIKE_LIMIT, tree_codes: int = WIDE_TREE_CODES) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = ALIKE_PRINT, limit: int = ALIKE_LIMIT, tree_codes: int = WIDE_TREE_CODES) -> DataFrame:
     """Rows of ``docs`` with all their columns, one of each group of near copies: that with the smallest id (nulls last, of repeated rows the first written).
 
     Texts with the same words (ASCII case aside) are copies. Others are near copies if their fingerprints differ in at most ``limit`` bits and their
