@@ -42,8 +42,8 @@ ALIKE_PRINT = 2
 BINS = 256
 #: Rows whose keys are broadcast rather than shuffled with the texts.
 BROADCAST_ROWS = 1_000_000
-#: How many more pairs a fingerprint may have tested in a round than in the round before.
-GROWTH = 16
+#: Pairs that a fingerprint may have tested in the first round after a failed test, and how many times more in each round after that.
+NEAREST, GROWTH = 2, 16
 
 
 def fingerprint(data: bytes, width: int = 3) -> int:
@@ -352,6 +352,15 @@ def star_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of ``labels`` (of :func:`star_components`) after ``edges`` (u, v) have joined their classes; only edges between classes are followed."""
+    for side in ("u", "v"):
+        edges = edges.join(labels.toDF(side, "root"), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    up = stash(star_components(edges), "star-joined")
+    old = labels.join(up.toDF("root", "upper"), "root", "left").select("node", F.coalesce("upper", "root").alias("root"))
+    return old.unionByName(up)  # the smallest node of a class is no ``node``
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 2) -> DataFrame:
     """One row per document: doc_id, fingerprint (long), component_id (the smallest id reachable over links).
 
@@ -424,8 +433,8 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
 
     ``units`` has (unit, code), ``rows`` (unit, text as bytes) with at least those units. A forest of the index's links, and of each code the links to its
     first unit, are tested on the texts first.
-    Where a test fails, classes that the failed edges touch are searched again for pairs that lead out of them, nearest first, ``GROWTH`` times as
-    many in each round, until every pair of different classes has been tested (no unit had pairs left out); so pairs within a class cost no test, nor do those whose counts of
+    Where a test fails, classes that the failed edges touch are searched again for pairs that lead out of them, the ``NEAREST`` first, ``GROWTH`` times as
+    many in each later round, until every pair of different classes has been tested (no unit had pairs left out); so pairs within a class cost no test, nor do those whose counts of
     shingles in bins show that they cannot be alike.
     """
     no_edges = units.sparkSession.createDataFrame([], "u long, v long")
@@ -434,15 +443,14 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
     edges = stash(near_edges(stash(firsts, "alike-codes"), limit, tree_codes).unionByName(equal), "alike-edges")
     needed = _few(edges.select(F.explode(F.array("u", "v")).alias("unit")).distinct())
     texts = stash(rows.join(needed, "unit").select("unit", "text"), "alike-texts")
-    good, refused, labels, bins, most, whole = no_edges, no_edges, None, None, GROWTH, False
+    refused, labels, bins, most, whole = no_edges, None, None, NEAREST, False
     while True:
         sides = edges.join(texts.select(F.col("unit").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("unit").alias("v"), F.col("text").alias("b")), "v")
         tested = stash(sides.select("u", "v", _similar("a", "b").alias("alike")), "alike-tested")
         found, failed = tested.filter("alike").drop("alike"), tested.filter("NOT alike").drop("alike")
         if not found.isEmpty():
-            good = good.unionByName(found)
-            labels = stash(star_components(good), "alike-labels")
-        if whole or (most == GROWTH and failed.isEmpty()):
+            labels = stash(star_components(found) if labels is None else joined(labels, found), "alike-labels")
+        if whole or (most == NEAREST and failed.isEmpty()):
             break
         refused = refused.unionByName(failed)
         known = texts.select("unit")
