@@ -62,3 +62,24 @@ def test_near_copies_stage_drops_edited_texts(spark, tmp_path):
     assert 30 < len(copies) < 120 and len(kept & copies) <= 0.15 * len(copies)  # fingerprints of the others differ in over eight bits
     assert {*range(150), *(set(range(1000, 1150)) - copies), 5000, 5002} <= kept
     assert not kept & {*range(2000, 2300), 5001, None}
+
+
+def test_components_and_joined_classes_against_union_find(spark):
+    from docketry.llm.simhash import joined, star_components
+
+    def roots(pairs):
+        up = {}
+        find = lambda k: k if up.setdefault(k, k) == k else find(up[k])
+        for u, v in pairs:
+            u, v = find(u), find(v)
+            up[max(u, v)] = min(u, v)
+        return {k: find(k) for k in up if find(k) != k}
+
+    draw = random.Random(6)
+    first = [(draw.randrange(-300, 300), draw.randrange(-300, 300)) for _ in range(250)] + [(k, k + 1) for k in range(1000, 1060)]
+    later = [(draw.randrange(-400, 400), draw.randrange(-400, 400)) for _ in range(80)] + [(1059, -400), (5, 5), (7, 8), (8, 7)]
+    frame = lambda pairs: spark.createDataFrame(pairs, "u long, v long")
+    labels = star_components(frame(first))
+    assert sorted(map(tuple, labels.collect())) == sorted(roots(first).items())
+    assert sorted(map(tuple, joined(labels, frame(later)).collect())) == sorted(roots(first + later).items())
+    assert star_components(frame([])).count() == 0
