@@ -16,6 +16,9 @@ OPERATORS = (
     ("mixing", "op8_mixing"),
     ("warc", "op9_warc"),
     ("sharding", "op10_sharding"),
+    ("prefix_trie", "op11_prefix_trie"),
+    ("decontamination", "op12_decontamination"),
+    ("spelling", "op13_spelling"),
 )
 
 
