@@ -133,7 +133,7 @@ class SortedLists:
             ended = letter == 0
             if ended.any():  # a word of exactly ``level`` code points: its distance is the cell of the whole of a
                 cell = self.short - level + 1
-                hit = ended & (old[:, cell] == 1) & (child > a1) if 0 <= cell <= 2 else np.zeros(len(a1), bool)
+                hit = ended & (old[:, cell] == 1) & ((child > a1) | (level > self.short)) if 0 <= cell <= 2 else np.zeros(len(a1), bool)
                 if hit.any():
                     yield a1[hit], child[hit]
             new = np.full((len(a1), 3), 2, np.int8)
