@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import content_hash_id, estimate_tokens, restore_metadata
+from docketry.functions.text import content_hash_id, estimate_tokens, restore_metadata, word_total
+from docketry.operators.appendices import appendix_units
 from docketry.operators.structure import (
     APPENDIX,
     HEADINGS,
@@ -28,6 +29,7 @@ from docketry.operators.structure import (
     reject_references,
     to_lines,
 )
+from docketry.sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -248,6 +250,8 @@ def article_parts(number: str, title: str | None, lines: Sequence[str], config:
                 body = "\n".join([above, *(points[i][1] for i in pack)])
                 cut = pack_text(body, config, above)
                 out += [Part(f"{name}_P{k}" + (f"_{i}" if len(cut) > 1 else ""), label, point, part, "point") for i, part in enumerate(cut, 1)]
+    if not out:  # all text is in the heading
+        return [Part("", None, None, whole, "article")]
     joined: list[list[Part]] = []
     for part in out:
         held = joined[-1] if joined else None
@@ -278,77 +282,117 @@ def bounded_parts(parts: Sequence[Part], config: ChunkConfig) -> list[Part]:
 
 
 PART = "array<struct<name: string, clause: string, point: string, content: string, content_type: string>>"
+#: What a chunk has of its own before it gets its document's fields.
+OWN_FIELDS = (
+    "chapter_number", "chapter_title", "section_number", "section_title", "article_number", "article_title", "clause_number", "point_number", "parent_article", "content_type",
+    "appendix_number", "appendix_title",
+)
+#: Content types of chunks that join the next one if they are small.
+HEADER_TYPES = ("table", "form", "appendix", "other")
 
 
 def chunk_legal_documents(
-    docs: DataFrame, config: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text", patterns: Mapping[str, str] = HEADINGS, appendix: str = APPENDIX, **rules
+    docs: DataFrame, config: ChunkConfig | None = None, id_col: str = "doc_id", text_col: str = "text", patterns: Mapping[str, str] = HEADINGS, appendix: str = APPENDIX, keep_lead: bool = True, **rules
 ) -> DataFrame:
-    """K9, K10 over laws: D1-D9, D11 and C9 end to end, with the 22 fields of a chunk and its content type, appendix number and title.
+    """K9, K10 over laws: D1-D9, D11-D15 and C9 end to end, with the 22 fields of a chunk and its content type, appendix number and title.
 
-    Lines are folded into articles under their chapter and section, articles into chunks (:func:`article_parts`); lines from the first appendix on are units that begin at appendix
-    headings, tables and forms. What is over ``most`` tokens is cut, an appendix unit under ``header`` tokens joins the next one, and ids carry the chunk's number
-    in its document. Lines before the first article and of chapter and section headings are in no chunk; null and blank texts have none. ``rules`` go to D3.
+    Lines are folded into articles under their chapter and section, articles into chunks (:func:`article_parts`); lines from the first appendix on go to
+    :func:`appendices.appendix_units`, block by block by their kind. What is over ``most`` tokens is cut, a small table, form or appendix joins the next chunk
+    (:func:`header_runs`), and ids carry the chunk's number in its document. Lines before the first article and of chapter and section headings are in no chunk; null and blank texts have
+    none. Without ``keep_lead`` lines of an appendix before its first form, region or entry are left out too. ``rules`` go to D3.
     """
     config = config or ChunkConfig()
     meta = restore_metadata(docs, id_col, text_col)
     headed = flag_headings(to_lines(docs, id_col, text_col), patterns, appendix)
     rows = carry_hierarchy(flag_appendix_start(join_title_lines(reject_references(headed, **rules)), appendix=appendix))
+    rows = written(rows.select("doc_id", "line_no", "line", "kind", "number", "full_title", "title_lines", "chapter", "section", "in_appendix"), "law-lines")  # articles and appendices read it
+    chunks = article_chunks(rows.filter("NOT in_appendix"), config).unionByName(appendix_chunks(appendix_units(rows.filter("in_appendix").select("doc_id", "line_no", "line"), keep_lead), config))
+    return finish_chunks(chunks, meta, config)
+
+
+def article_chunks(rows: DataFrame, config: ChunkConfig) -> DataFrame:
+    """K3 to K7: (doc_id, _at, _name, content, fields) of the chunks of all articles, from lines with their headings and hierarchy."""
     upto = by_line((W.unboundedPreceding, W.currentRow))
-    head = F.col("kind").isin("chapter", "section", "article") & ~F.col("in_appendix")
-    rows = rows.withColumns({"_unit": F.sum(F.when(head | (F.col("in_appendix") & (F.col("candidate") == "appendix")), 1).otherwise(0)).over(upto)})
+    rows = rows.withColumn("_unit", F.sum(F.when(F.col("kind").isin("chapter", "section", "article"), 1).otherwise(0)).over(upto))
     title = lambda k: F.last(F.when(F.col("kind") == k, F.struct(F.col("number").alias("n"), F.col("full_title").alias("t"))), ignorenulls=True)
     rows = rows.withColumns({"_chapter": title("chapter").over(upto), "_section": title("section").over(upto)})
-    of_unit = W.partitionBy("doc_id", "_unit").orderBy("line_no")
-    rows = rows.withColumn("_turn", F.row_number().over(of_unit) - 1)
+    rows = rows.withColumn("_turn", F.row_number().over(W.partitionBy("doc_id", "_unit").orderBy("line_no")) - 1)
     grouped = rows.groupBy("doc_id", "_unit").agg(
-        F.min_by(F.struct("kind", "candidate", "number", "full_title", F.coalesce("title_lines", F.lit(0)).alias("taken"), "in_appendix", "article", "chapter", "section", "line",
-                          F.col("_chapter.t").alias("chapter_title"), F.col("_section.t").alias("section_title")), "line_no").alias("h"),
+        F.min_by(F.struct("kind", "number", "full_title", F.coalesce("title_lines", F.lit(0)).alias("taken"), "chapter", "section", F.col("_chapter.t").alias("chapter_title"), F.col("_section.t").alias("section_title")), "line_no").alias("h"),
         F.array_sort(F.collect_list(F.struct("line_no", "line", "_turn"))).alias("ls"),
-    )
-    grouped = grouped.filter("h.in_appendix OR h.kind = 'article'")
-    own = F.transform(F.filter("ls", lambda x: F.col("h.in_appendix") | (x["_turn"] > F.col("h.taken"))), lambda x: x["line"])
+    ).filter("h.kind = 'article'")
+    own = F.transform(F.filter("ls", lambda x: x["_turn"] > F.col("h.taken")), lambda x: x["line"])
     name = F.concat(F.lit("Điều "), F.col("h.number"))
 
     @F.pandas_udf(PART)
     def cut(frame: pd.DataFrame) -> pd.Series:
-        out = []
-        for r in frame.itertuples(index=False):
-            if r.in_appendix:
-                form = r.head.lower().startswith(("mẫu", "mau"))
-                parts = [Part("", None, None, "\n".join(r.lines), "form" if form else "appendix")]
-            else:
-                parts = article_parts(r.number, r.title, list(r.lines), config)
-            out.append([{"name": p.name, "clause": p.clause, "point": p.point, "content": p.content, "content_type": p.content_type} for p in bounded_parts(parts, config)])
-        return pd.Series(out, dtype=object)
+        parts = [bounded_parts(article_parts(r.number, r.title, list(r.lines), config), config) for r in frame.itertuples(index=False)]
+        return pd.Series([[vars(p) for p in ps] for ps in parts], dtype=object)
 
-    parts = cut(F.struct(F.col("h.in_appendix").alias("in_appendix"), F.col("h.line").alias("head"), name.alias("number"), F.col("h.full_title").alias("title"), own.alias("lines")))
+    parts = cut(F.struct(name.alias("number"), F.col("h.full_title").alias("title"), own.alias("lines")))
     chunks = grouped.select("doc_id", "_unit", "h", F.posexplode(parts).alias("_part", "p"))
-    return finish_chunks(chunks, meta, config)
+    titled = lambda c: F.when(F.col(f"h.{c}").isNotNull(), F.col(f"h.{c}_title")).alias(f"{c}_title")
+    none = F.lit(None).cast("string")
+    return chunks.select(
+        "doc_id", place(F.lit(0), F.col("_unit"), F.lit(0), F.col("_part")), F.concat(F.col("doc_id").cast("string"), F.lit("_Điều"), F.col("h.number"), F.col("p.name")).alias("_name"), "p.content",
+        F.concat(F.lit("Chương "), F.col("h.chapter")).alias("chapter_number"), titled("chapter"), F.concat(F.lit("Mục "), F.col("h.section")).alias("section_number"), titled("section"),
+        F.concat(F.lit("Điều "), F.col("h.number")).alias("article_number"), F.col("h.full_title").alias("article_title"), F.col("p.clause").alias("clause_number"), F.col("p.point").alias("point_number"),
+        F.concat_ws("_", F.col("doc_id").cast("string"), F.concat(F.lit("Điều"), F.col("h.number"))).alias("parent_article"), "p.content_type", none.alias("appendix_number"), none.alias("appendix_title"),
+    )
+
+
+def appendix_chunks(units: DataFrame, config: ChunkConfig) -> DataFrame:
+    """K7: the same of appendix units; one over ``most`` tokens is cut at sentences, each piece under the appendix's number and title."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([[part for piece in pack_text(t, config, h) for part in pack_text(piece, config)] for t, h in zip(texts, heads, strict=True)], dtype=object)
+
+    pieces = cut("content", F.concat_ws(" ", "appendix_number", "appendix_title"))
+    rows = units.withColumn("_pieces", pieces).withColumn("_many", F.size("_pieces") > 1).select("*", F.posexplode("_pieces").alias("_k", "_text")).drop("content", "_pieces")
+    name = F.concat(F.col("doc_id").cast("string"), F.col("name"), F.when(F.col("_many"), F.concat(F.lit("_"), F.col("_k") + 1)).otherwise(""))
+    at = place(F.col("block") + 1, F.col("unit"), F.col("part"), F.col("_k"))
+    own = [F.col(c) if c in units.columns else F.lit(None).cast("string").alias(c) for c in OWN_FIELDS]
+    return rows.select("doc_id", at, name.alias("_name"), F.col("_text").alias("content"), *own)
+
+
+def place(*parts: Column) -> Column:
+    """Where a chunk stands in its document."""
+    return F.struct(*[p.cast("int").alias(f"p{k}") for k, p in enumerate(parts)]).alias("_at")
+
+
+def header_runs(words: Sequence[int], headers: Sequence[bool], config: ChunkConfig) -> list[int]:
+    """K8: number of the chunk that each piece goes to, from words and whether its type may be a header.
+
+    A header under ``header`` tokens joins the next piece if the tokens of both are within ``most``; what they make is of the second's type and joins on in the same way.
+    """
+    tokens = lambda n: math.ceil(n * config.per_word)
+    runs: list[int] = []
+    held, joins = 0, False
+    for size, header in zip(words, headers, strict=True):
+        if joins and tokens(held) < config.header and tokens(held) + tokens(size) <= config.most:
+            held += size
+            runs.append(runs[-1])
+        else:
+            held = size
+            runs.append(runs[-1] + 1 if runs else 0)
+        joins = header
+    return runs
 
 
 def finish_chunks(chunks: DataFrame, meta: DataFrame, config: ChunkConfig) -> DataFrame:
-    """K8, K9 and the fields of a chunk: small appendix units join the next one, chunks are numbered in their document, the document's fields are joined by its id."""
-    inside = ~F.col("h.in_appendix")
-    base = F.when(inside, F.concat(F.lit("_Điều"), F.col("h.number"))).otherwise(F.concat(F.lit("_PhụLục"), F.col("_unit").cast("string")))
-    rows = chunks.select(
-        "doc_id", F.struct("_unit", "_part").alias("_at"), F.concat(F.col("doc_id").cast("string"), base, F.col("p.name")).alias("_name"), "p.content", "p.content_type",
-        *[F.when(inside & F.col(f"h.{c}").isNotNull(), F.concat(F.lit(word), F.col(f"h.{c}"))).alias(f"{c}_number") for c, word in (("chapter", "Chương "), ("section", "Mục "))],
-        F.when(inside & F.col("h.chapter").isNotNull(), F.col("h.chapter_title")).alias("chapter_title"), F.when(inside & F.col("h.section").isNotNull(), F.col("h.section_title")).alias("section_title"),
-        F.when(inside, F.concat(F.lit("Điều "), F.col("h.number"))).alias("article_number"), F.when(inside, F.col("h.full_title")).alias("article_title"),
-        F.col("p.clause").alias("clause_number"), F.col("p.point").alias("point_number"), F.when(inside, F.concat_ws("_", F.col("doc_id").cast("string"), F.concat(F.lit("Điều"), F.col("h.number")))).alias("parent_article"),
-        F.when(~inside, F.col("h.line")).alias("appendix_number"), F.when(~inside, F.element_at(F.split("p.content", "\n"), 1)).alias("appendix_title"),
-    )
-    # a run of small appendix units and the unit after it are one chunk, as long as they stay within ``most``
-    tokens = estimate_tokens(F.col("content"), config.per_word)
-    small = F.col("content_type").isin("appendix", "form") & (tokens < config.header)
-    w = W.partitionBy("doc_id").orderBy("_at")
-    rows = rows.withColumns({"_tokens": tokens, "_small": small})
-    fits = F.lag("_small").over(w) & (F.lag("_tokens").over(w) + F.col("_tokens") <= config.most)
-    rows = rows.withColumn("_run", F.sum((~F.coalesce(fits, F.lit(False))).cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    fields = [c for c in rows.columns if c not in ("doc_id", "_at", "_run", "content", "_tokens", "_small")]
-    merged = rows.groupBy("doc_id", "_run").agg(F.array_sort(F.collect_list(F.struct("_at", "content"))).alias("cs"), F.max_by(F.struct(*fields), "_at").alias("f"), F.min("_at").alias("_at"))
-    index = F.row_number().over(W.partitionBy("doc_id").orderBy("_at")) - 1
-    out = merged.select("doc_id", "f.*", F.array_join(F.transform("cs", lambda x: x["content"]), "\n\n").alias("content"), index.alias("chunk_index"))
+    """K8, K9 and the fields of a chunk: headers join the next chunk, chunks are numbered in their document, the document's fields are joined by its id."""
+
+    @F.pandas_udf("array<int>")
+    def runs(words: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([header_runs(list(w), list(h), config) for w, h in zip(words, headers, strict=True)], dtype=object)
+
+    of_doc = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_name", "content", *OWN_FIELDS))).alias("cs"))
+    sizes, headers = F.transform("cs", lambda c: word_total(c["content"])), F.transform("cs", lambda c: c["content_type"].isin(*HEADER_TYPES))
+    rows = of_doc.withColumn("_runs", runs(sizes, headers)).select("doc_id", F.explode(F.arrays_zip("cs", "_runs")).alias("x")).select("doc_id", "x.cs.*", F.col("x._runs").alias("chunk_index"))
+    fields = ["_name", *OWN_FIELDS]
+    merged = rows.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_at", "content"))).alias("cs"), F.max_by(F.struct(*fields), "_at").alias("f"))
+    out = merged.select("doc_id", "f.*", F.array_join(F.transform("cs", lambda x: x["content"]), "\n\n").alias("content"), "chunk_index")
     out = out.withColumn("chunk_id", F.concat_ws("_", F.regexp_replace("_name", r"\s+", ""), F.col("chunk_index").cast("string"))).drop("_name")
     out = out.join(meta.withColumnRenamed("document_id", "doc_id").drop("issuing_authority"), "doc_id")
     return out.withColumnRenamed("doc_id", "document_id").withColumn("parent_document", F.col("document_id")).select(*CHUNK_FIELDS)
