@@ -5,7 +5,7 @@ All are built-in expressions. Patterns name Unicode classes, so accented letters
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +109,11 @@ def restore_metadata(raw: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value computed once a row however often it is used: within a lambda, an expression of a column is else computed anew for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column) -> Column:
     """Words between white space of any script; an empty array for null and blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), rf"{WHITE}+"), lambda w: w != "")

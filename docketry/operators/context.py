@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import WHITE, estimate_tokens, one_of, source_tags, strip
+from docketry.functions.text import WHITE, estimate_tokens, once, one_of, source_tags, strip
 
 # Stop words of strip scoring, and the words that its pairs leave out.
 STRIP_STOP_WORDS = (
@@ -42,8 +42,8 @@ def strip_score(text: Column, query: Column, score: Column, terms: tuple[Column,
     """Score of a strip for a query, given the score of its chunk, rounded to four places. ``terms``: those of ``strip_terms``, if they are known."""
     low, asked = F.lower(text), F.lower(F.coalesce(query, F.lit("")))
     tokens, pairs = terms or strip_terms(query)
-    hits = F.size(F.filter(tokens, lambda w: low.contains(w)))
-    bonus = 0.2 * F.size(F.filter(pairs, lambda p: low.contains(p)))
+    hits = once(low, lambda x: F.size(F.filter(tokens, lambda w: x.contains(w))))
+    bonus = 0.2 * once(low, lambda x: F.size(F.filter(pairs, lambda p: x.contains(p))))
     named = F.regexp_extract(text, r"(?iu)^Điều\s+(\d+)", 1)
     head = F.when((named != "") & asked.contains(named), 1.0).otherwise(0.75)
     mixed = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.25 * score + 0.5 * hits / F.size(tokens) + F.least(F.lit(0.25), bonus)))

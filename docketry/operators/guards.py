@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.text import INDEX_STOP_WORDS, WHITE, extract_references, lower_words, one_of, strip, words
+from docketry.functions.text import INDEX_STOP_WORDS, WHITE, extract_references, lower_words, once, one_of, strip, words
 
 UPPER, LOWER = 0.68, 0.45
 
@@ -34,7 +34,7 @@ def grade_chunks(rows: DataFrame, out_of_scope: Sequence[str] = (), stop_words:
     singles = F.array_distinct(F.filter(every, lambda w: (F.length(w) >= 2) & fine(w)))
     nexts = F.slice(every, F.lit(2), F.greatest(F.size(every) - 1, F.lit(0)))
     pairs = F.array_distinct(F.filter(F.zip_with(every, nexts, lambda a, b: F.when(fine(a) & fine(b), F.concat(a, F.lit(" "), b))), lambda p: p.isNotNull()))
-    share = lambda terms, text: F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: text.contains(t))) / F.size(terms)).otherwise(0.0)
+    share = lambda terms, text: F.when(F.size(terms) > 0, once(text, lambda x: F.size(F.filter(terms, lambda t: x.contains(t)))) / F.size(terms)).otherwise(0.0)
     pt, pc, sc = share(pairs, title), share(pairs, content), share(singles, content)
     raw = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
     asked = extract_references(F.col("query"))
@@ -147,7 +147,7 @@ def verify_claims(answers: DataFrame, threshold: float = 0.65, block: float = 0.
     Blank answers and contexts are blocked; answers without claims are allowed; a contradiction or a score below ``block`` blocks, one below ``threshold`` gets a disclaimer.
     """
     low = F.lower(F.coalesce("context", F.lit("")))
-    status = F.transform(claims_of(F.col("answer")), lambda c: claim_status(c, low, overlap))
+    status = once(low, lambda x: F.transform(claims_of(F.col("answer")), lambda c: claim_status(c, x, overlap)))
     of = lambda s: F.size(F.filter("status", lambda x: x == s))
     rows = answers.select("answer_id", "answer", "context", status.alias("status"))
     n, entailed, wrong = F.size("status"), of("ENTAILED"), of("CONTRADICTED")
@@ -161,8 +161,8 @@ def align_answer(answers: DataFrame, overlap: float = 0.35, formula: str = r"\d+
     """(answer_id, answer, refused): only claims with ``overlap`` of their words in the context, or a formula, stay; none left, and the answer is refused."""
     low = F.lower(F.coalesce("context", F.lit("")))
     long = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0), lambda w: F.length(w) >= 3)
-    share = lambda c: F.size(F.filter(long(c), lambda w: low.contains(w))) / F.greatest(F.size(long(c)), F.lit(1))
-    kept = F.filter(claims_of(F.col("answer")), lambda c: (share(c) >= overlap) | c.rlike(formula))
+    share = lambda c, x: F.size(F.filter(long(c), lambda w: x.contains(w))) / F.greatest(F.size(long(c)), F.lit(1))
+    kept = once(low, lambda x: F.filter(claims_of(F.col("answer")), lambda c: (share(c, x) >= overlap) | c.rlike(formula)))
     return answers.select("answer_id", F.array_join(kept, " ").alias("answer"), (F.size(kept) == 0).alias("refused"))
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import INDEX_STOP_WORDS, extract_references, index_terms, keywords, phrases
+from docketry.functions.text import INDEX_STOP_WORDS, extract_references, index_terms, keywords, once, phrases
+from docketry.operators.lexical import LexicalIndex
 from docketry.sources.scratch import written
 
 #: Vectors and queries that one task compares at a time; a query table of up to so many rows is one block.
@@ -116,16 +117,22 @@ def _postings(terms: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, stop_words: Sequence[str] = INDEX_STOP_WORDS, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def bm25_scores(queries: DataFrame, docs: DataFrame | LexicalIndex, stop_words: Sequence[str] = INDEX_STOP_WORDS, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, doc_id, raw): sums over the query's terms, each as often as the query has it; idf ln((N - n + 0.5) / (n + 0.5) + 1).
 
-    Texts are cut into terms once, and written; number and mean length are read from the lengths alone. Only the postings of query terms are kept before anything
-    is joined by document; the length of a document travels with its postings.
+    ``docs`` is a stored index, of which the buckets of the query's terms are read, or a table (doc_id, text), whose texts are cut into terms once, and written. Only the postings
+    of query terms are kept before anything is joined by document; the length of a document travels with its postings.
     """
     asked = queries.select("query_id", F.explode(index_terms(F.col("text"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked, terms = written(asked, "bm25-asked"), written(bm25_terms(docs, stop_words), "bm25-terms")
-    counts = terms.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-    postings = written(_postings(terms, asked.select("term").distinct()), "bm25-postings")
+    asked = written(asked, "bm25-asked")
+    wanted = asked.select("term").distinct()
+    if isinstance(docs, LexicalIndex):
+        lengths, postings = docs.lengths(), docs.postings(wanted).drop("places")
+    else:
+        lengths = written(bm25_terms(docs, stop_words), "bm25-terms")
+        postings = _postings(lengths, wanted)
+    counts = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
+    postings = written(postings, "bm25-postings")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hits = asked.join(df, "term").join(postings, "term").join(F.broadcast(counts), F.lit(True))  # counts is one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -133,7 +140,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, stop_words: Sequence[str] =
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("raw"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, stop_words: Sequence[str] = INDEX_STOP_WORDS, keep: Column | None = None, **options) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame | LexicalIndex, k: int, stop_words: Sequence[str] = INDEX_STOP_WORDS, keep: Column | None = None, **options) -> DataFrame:
     """Raw scores over the query's best, rounded to six places. ``keep`` filters after the best is known, as metadata filters of this index do."""
     raw = written(bm25_scores(queries, docs, stop_words, **options), "bm25-raw")
     best = raw.groupBy("query_id").agg(F.max("raw").alias("top"))
@@ -207,7 +214,7 @@ def rerank(candidates: DataFrame, k: int, drift: Sequence[tuple[Sequence[str], S
     """
     q, title, content = F.lower("query"), F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("content", F.lit("")))
     runs = phrases(F.col("query"))
-    hits = lambda text, weight: F.least(F.lit(1.0), F.size(F.filter(runs, lambda p: text.contains(p))) * F.lit(weight))
+    hits = lambda text, weight: F.least(F.lit(1.0), once(text, lambda t: F.size(F.filter(runs, lambda p: t.contains(p)))) * F.lit(weight))
     named = F.array_contains(extract_references(F.col("query")), F.lower(F.coalesce("article", F.lit(""))))
     title_score = F.greatest(hits(title, 0.4), F.when(named, 0.95).otherwise(0.0))
     any_in = lambda text, words_: F.greatest(F.lit(False), *[text.contains(w) for w in words_])
@@ -228,7 +235,7 @@ def relevance_gate(queries: DataFrame, candidates: DataFrame, least: float = 0.2
     asked = F.array_distinct(keywords(F.col("query"), stop_words))
     common = F.size(F.array_intersect(asked, keywords(text, stop_words)))
     pairs = F.zip_with(asked, F.slice(asked, F.lit(2), F.greatest(F.size(asked) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    pair = F.exists(F.filter(pairs, lambda p: p.isNotNull()), lambda p: text.contains(p))
+    pair = once(text, lambda t: F.exists(F.filter(pairs, lambda p: p.isNotNull()), lambda p: t.contains(p)))
     named = F.array_contains(extract_references(F.col("query")), F.lower(F.coalesce("article", F.lit(""))))
     kept = candidates.filter(named | ((common >= matched) & (pair | (F.col("score") >= least))))
     best = kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.max("score"), 4).alias("confidence"))

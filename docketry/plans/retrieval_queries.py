@@ -9,7 +9,7 @@ from docketry.functions.text import index_terms
 from docketry.functions.vectors import l2_normalize, norm
 from docketry.operators import evaluation as E
 from docketry.operators import retrieval as R
-from docketry.plans.tables import STOPS_SQL, load, terms_sql
+from docketry.plans.tables import STOPS_SQL, load, stored_index, terms_sql
 from docketry.sources.scratch import written
 
 
@@ -143,7 +143,7 @@ R6 = f"WITH {BM25} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM po
 
 
 def r7(spark, d):
-    return R.bm25_topk(questions(spark, d), docs(spark, d), 10).select("query_id", "doc_id", "score", "rank")
+    return R.bm25_topk(questions(spark, d), stored_index(spark, d), 10).select("query_id", "doc_id", "score", "rank")
 
 
 R7 = f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bm25 WHERE rank <= 10"
@@ -184,7 +184,7 @@ FROM r WHERE p_partkey IS NULL OR (day >= since AND (until IS NULL OR day <= unt
 
 
 def candidates(spark, d):
-    top = R.bm25_topk(questions(spark, d), docs(spark, d), 10)
+    top = R.bm25_topk(questions(spark, d), stored_index(spark, d), 10)
     rows = top.join(docs(spark, d).withColumnRenamed("text", "content"), "doc_id").join(questions(spark, d).withColumnRenamed("text", "query"), "query_id")
     return rows.select("query_id", "doc_id", "score", "query", F.substring_index("content", "\n", 1).alias("title"), F.lit(None).cast("string").alias("article"), "content")
 

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.functions.text import INDEX_STOP_WORDS
+from docketry.operators.lexical import LexicalIndex
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_INDEXES: dict[tuple[str, str, bool], LexicalIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str, positional: bool = False) -> LexicalIndex:
+    """The lexical index of ``documents``, built at its first use in the application: later queries on the same corpus cut no text."""
+    key = (spark.sparkContext.applicationId, sf_dir, positional)
+    if key not in _INDEXES:
+        _INDEXES[key] = LexicalIndex.create(load(spark, sf_dir, "documents").select("doc_id", "text"), positional=positional)
+    return _INDEXES[key]
+
+
 STOPS_SQL = "[" + ", ".join(f"'{w}'" for w in INDEX_STOP_WORDS) + "]"
 
 

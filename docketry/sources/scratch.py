@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back: it is computed once, and lost executors lose nothing.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir``, which every executor can reach, with its file system's scheme.
 
     Where the setting is absent and the master is this machine alone (tests) it is set to a new temporary folder; on a cluster that is an error.
+    Files stay for as long as results may be read; :func:`clear` removes them all.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -21,6 +22,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/docketry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder and read back: it is computed once, and lost executors lose nothing."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has written by :func:`new_folder`; tables and indexes read from there are gone with it."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/docketry-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
