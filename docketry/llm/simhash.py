@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.llm.hashing import mixed
 from docketry.llm.shared import bounded_batches, stash, table, text_bytes
 
 SEED = 42
@@ -35,11 +36,11 @@ TREE_CODES, WIDE_TREE_CODES = 16_384, 2048
 #: A fingerprint that more rows hold than this (or than a 100,000th of all rows) is joined by broadcast; so at most 100,000 are.
 HOT_ROWS = 10_000
 #: Near copies that an exact test decides: words of a shingle and least Jaccard similarity; bits their fingerprints may differ in.
-ALIKE_WIDTH, ALIKE_LEAST, ALIKE_LIMIT = 5, (4, 5), 8
+ALIKE_WIDTH, ALIKE_LEAST, ALIKE_LIMIT = 5, (4, 5), 10
 #: Words of the shingles in those fingerprints: a changed word spoils fewer short shingles, so that alike texts differ in fewer bits.
 ALIKE_PRINT = 2
-#: Bins that the shingles of a text are counted in, to bound how many two texts can share.
-BINS = 256
+#: Bins that the shingles of a text are counted in, to bound how many two texts can share; a text with a fuller bin than FULL may be like any other.
+BINS, FULL = 256, 255
 #: Rows whose keys are broadcast rather than shuffled with the texts.
 BROADCAST_ROWS = 1_000_000
 #: Pairs that a fingerprint may have tested in the first round after a failed test, and how many times more in each round after that.
@@ -77,6 +78,15 @@ def signed(value: int) -> int:
 
 @F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("words", T.LongType())]))
 def _fingerprints(texts: pd.Series, widths: pd.Series) -> pd.DataFrame:
+    return _prints(texts, widths)
+
+
+@F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("words", T.LongType()), T.StructField("bins", T.BinaryType())]))
+def _fingerprints_and_bins(texts: pd.Series, widths: pd.Series) -> pd.DataFrame:
+    return _prints(texts, widths).assign(bins=pd.Series([shingle_bins(bytes(t)) for t in texts], dtype=object))
+
+
+def _prints(texts: pd.Series, widths: pd.Series) -> pd.DataFrame:
     import xxhash
 
     code = [signed(fingerprint(bytes(t), int(w))) for t, w in zip(texts, widths, strict=True)]
@@ -267,8 +277,9 @@ def near_edges(units: DataFrame, limit: int = 2, tree_codes: int = TREE_CODES, m
     """
     if "label" not in units.columns:
         units = units.withColumn("label", F.col("unit"))
-    if "refused" not in units.columns:
-        units = units.withColumns({"refused": F.lit(None).cast("array<long>"), "bins": F.lit(None).cast("binary")})
+    for name, kind in (("refused", "array<long>"), ("bins", "binary")):
+        if name not in units.columns:
+            units = units.withColumn(name, F.lit(None).cast(kind))
     rows = dealt(units.select("unit", "code", "label", "refused", "bins"), limit, tree_codes)
     trees = max(1, math.ceil(units.count() / tree_codes))
     rows = rows.withColumn("tree", F.pmod(F.xxhash64("key", "bits"), F.lit(trees)).cast("int"))
@@ -299,7 +310,7 @@ def near_edges(units: DataFrame, limit: int = 2, tree_codes: int = TREE_CODES, m
             banned = np.array(sorted({x * (to - at) + y for x, y in bad}), np.int64)
             bins = None
             if part["bins"].notna().all():
-                bins = np.frombuffer(b"".join(part["bins"]), "<u2").reshape(-1, BINS)[index.order]
+                bins = np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(-1, BINS)[index.order]
 
             def allowed(a: np.ndarray, b: np.ndarray, index=index, own=own, before=before, banned=banned, bins=bins) -> np.ndarray:
                 differ = index.codes[a] ^ index.codes[b]
@@ -398,24 +409,24 @@ def similar(a: bytes, b: bytes, width: int = ALIKE_WIDTH, least: tuple[int, int]
 
 
 def shingle_bins(data: bytes, width: int = ALIKE_WIDTH) -> bytes:
-    """How many distinct shingles of a text fall into each of ``BINS`` bins by their hash, as 16-bit numbers; all are full if one overflows."""
+    """How many distinct shingles of a text fall into each of ``BINS`` bins by their hash, a byte each, ``FULL`` at most."""
     import xxhash
 
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in _shingles(data, width)), np.uint64)
-    counts = np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS)
-    return (counts if counts.max() < 65_535 else np.full(BINS, 65_535)).astype("<u2").tobytes()
+    words = data.lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    w = min(width, len(words))
+    total = len(words) - w + 1 if words else 0
+    code = np.zeros(total, np.uint64)
+    for k in range(w):
+        code = mixed(code + h[k : k + total])
+    return np.minimum(np.bincount((np.unique(code) % np.uint64(BINS)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
 
 
 def can_be_alike(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = ALIKE_LEAST) -> np.ndarray:
     """False only for rows of bins of texts whose similarity is below ``least``: two texts share at most the sum of the lesser counts."""
     shared = np.minimum(a, b).sum(1, dtype=np.int64)
     sizes = a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
-    return shared * (least[0] + least[1]) >= sizes * least[0]
-
-
-@F.pandas_udf(T.BinaryType())
-def _bins(texts: pd.Series) -> pd.Series:
-    return pd.Series([shingle_bins(bytes(t)) for t in texts], dtype=object)
+    return (shared * (least[0] + least[1]) >= sizes * least[0]) | (a.max(1, initial=0) == FULL) | (b.max(1, initial=0) == FULL)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -431,19 +442,19 @@ def _few(df: DataFrame) -> DataFrame:
 def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tree_codes: int = WIDE_TREE_CODES) -> DataFrame:
     """(node, root) of units that are linked by pairs within ``limit`` bits whose texts are :func:`similar`.
 
-    ``units`` has (unit, code), ``rows`` (unit, text as bytes) with at least those units. A forest of the index's links, and of each code the links to its
-    first unit, are tested on the texts first.
+    ``units`` has (unit, code, bins), ``rows`` (unit, text as bytes) with at least those units. A forest of the index's links, and of each code the links to its
+    first unit, are tested on the texts first; pairs that cannot be alike by their bins are no links.
     Where a test fails, classes that the failed edges touch are searched again for pairs that lead out of them, the ``NEAREST`` first, ``GROWTH`` times as
     many in each later round, until every pair of different classes has been tested (no unit had pairs left out); so pairs within a class cost no test, nor do those whose counts of
     shingles in bins show that they cannot be alike.
     """
     no_edges = units.sparkSession.createDataFrame([], "u long, v long")
-    firsts = units.groupBy("code").agg(F.min("unit").alias("unit"))
-    equal = units.join(firsts.withColumnRenamed("unit", "first"), "code").filter("unit <> first").select(F.col("first").alias("u"), F.col("unit").alias("v"))
+    firsts = units.groupBy("code").agg(F.min_by("bins", "unit").alias("bins"), F.min("unit").alias("unit"))
+    equal = units.select("unit", "code").join(firsts.select("code", F.col("unit").alias("first")), "code").filter("unit <> first").select(F.col("first").alias("u"), F.col("unit").alias("v"))
     edges = stash(near_edges(stash(firsts, "alike-codes"), limit, tree_codes).unionByName(equal), "alike-edges")
     needed = _few(edges.select(F.explode(F.array("u", "v")).alias("unit")).distinct())
     texts = stash(rows.join(needed, "unit").select("unit", "text"), "alike-texts")
-    refused, labels, bins, most, whole = no_edges, None, None, NEAREST, False
+    refused, labels, most, whole = no_edges, None, NEAREST, False
     while True:
         sides = edges.join(texts.select(F.col("unit").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("unit").alias("v"), F.col("text").alias("b")), "v")
         tested = stash(sides.select("u", "v", _similar("a", "b").alias("alike")), "alike-tested")
@@ -461,9 +472,7 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
         known = stash(known, "alike-known")
         touched = refused.select(F.explode(F.array("u", "v")).alias("unit")).join(known, "unit").select("label").distinct()
         others = refused.groupBy(F.col("u").alias("unit")).agg(F.collect_list("v").alias("refused"))
-        if bins is None:
-            bins = stash(texts.select("unit", _bins("text").alias("bins")), "alike-bins")
-        again = known.join(touched, "label", "left_semi").join(units, "unit").join(others, "unit", "left").join(bins, "unit")
+        again = known.join(touched, "label", "left_semi").join(units, "unit").join(others, "unit", "left")
         again = stash(again.select("unit", "code", "label", "refused", "bins"), "alike-again")
         edges = stash(near_edges(again, limit, tree_codes, most), "alike-edges")
         if edges.isEmpty():
@@ -482,14 +491,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     An empty table gives no rows; columns of any name are kept as they are.
     """
     bounded_batches(docs.sparkSession)
-    print_of = _fingerprints(text_bytes(text_col), F.lit(width)).alias("f")
+    print_of = _fingerprints_and_bins(text_bytes(text_col), F.lit(width)).alias("f")
     rows = docs.select(F.struct("*").alias("doc"), print_of, F.monotonically_increasing_id().alias("row"))
-    rows = stash(rows.select("doc", "f.code", "f.words", "row"), "copies-rows")
+    rows = stash(rows.select("doc", "f.code", "f.words", "f.bins", "row"), "copies-rows")
     name = F.col("doc").getField(id_col)
-    best = rows.groupBy("code", "words").agg(F.min(F.struct(name.isNull().alias("no_id"), name.alias("id"), "row")).alias("m"))
-    units = stash(best.select(F.col("m.row").alias("unit"), "code", "m"), "copies-units")
+    best = rows.groupBy("code", "words").agg(F.min(F.struct(name.isNull().alias("no_id"), name.alias("id"), "row")).alias("m"), F.max("bins").alias("bins"))  # equal words, equal bins
+    units = stash(best.select(F.col("m.row").alias("unit"), "code", "m", "bins"), "copies-units")
     texts = rows.select(F.col("row").alias("unit"), text_bytes(F.col("doc").getField(text_col)).alias("text"))
-    roots = alike_units(units.select("unit", "code"), texts, limit, tree_codes)
+    roots = alike_units(units.select("unit", "code", "bins"), texts, limit, tree_codes)
     classes = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("m", F.coalesce("root", "unit").alias("root"))
     kept = stash(classes.groupBy("root").agg(F.min("m").alias("m")).select("m.row"), "copies-kept")
     gone = stash(rows.select("row").join(kept, "row", "left_anti"), "copies-gone")

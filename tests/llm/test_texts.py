@@ -119,10 +119,10 @@ def test_kept_rows_match_brute_force(spark, monkeypatch):
     docs = documents(spark, rows)
     shingles = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set()
     words = [(t or "").lower().split() for _, t in rows]
-    sets, codes = [shingles(t) for t in words], [slow_fingerprint(t) for _, t in rows]
-    near = lambda a, b: words[a] == words[b] or ((codes[a] ^ codes[b]).bit_count() <= 8 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    sets, codes = [shingles(t) for t in words], [slow_fingerprint(t, simhash.ALIKE_PRINT) for _, t in rows]
+    near = lambda a, b: words[a] == words[b] or ((codes[a] ^ codes[b]).bit_count() <= simhash.ALIKE_LIMIT and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     edges = [(b, a) for a in range(len(rows)) for b in range(a) if near(a, b)]
-    unlike = sum((codes[a] ^ codes[b]).bit_count() <= 8 and not near(a, b) for a in range(len(rows)) for b in range(a))
+    unlike = sum((codes[a] ^ codes[b]).bit_count() <= simhash.ALIKE_LIMIT and not near(a, b) for a in range(len(rows)) for b in range(a))
     root = {k: k for k in range(len(rows))} | components(edges)
     best = {}
     for k, (i, _) in enumerate(rows):
@@ -138,7 +138,7 @@ def test_kept_rows_match_brute_force(spark, monkeypatch):
 @given(st.lists(st.sampled_from("abcdef"), max_size=40), st.lists(st.sampled_from("abcdef"), max_size=40))
 def test_bins_rule_out_unlike_texts_only(a, b):
     a, b = " ".join(a).encode(), " ".join(b).encode()
-    x, y = (np.frombuffer(simhash.shingle_bins(t), "<u2").reshape(1, -1) for t in (a, b))
+    x, y = (np.frombuffer(simhash.shingle_bins(t), np.uint8).reshape(1, -1) for t in (a, b))
     assert simhash.can_be_alike(x, y)[0] or not simhash.similar(a, b)
 
 
