@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.functions.text import ANSWER_STOP_WORDS, token_f1
+from docketry.operators.quantiles import profile
 
 CUTS = (1, 3, 5, 10)
 
@@ -155,23 +156,8 @@ def count_matrix(records: DataFrame, row: str, column: str, values: Sequence[str
 
 
 def latency_profile(records: DataFrame, by: Sequence[str], value: str, share: float = 0.95) -> DataFrame:
-    """Per group count, share, mean, median, min, max and P95 by index (the element at min(int(0.95 n), n - 1)); nulls are left out.
-
-    The index style needs a rank within a group; only (value, count) pairs are ranked, so a hot group is summed before it is sorted.
-    """
-    rows = records.filter(F.col(value).isNotNull())
-    counts = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*by).orderBy("v"))
-    n = F.sum("c").over(W.partitionBy(*by))
-    placed = counts.withColumns({"upto": upto, "n": n})
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    p95 = F.least(F.floor(F.lit(share) * F.col("n")), F.col("n") - 1)
-    half = F.floor(F.col("n") / 2)
-    out = placed.groupBy(*by).agg(
-        F.max("n").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), ((at(half) + at(F.floor((F.col("n") - 1) / 2))) / 2).alias("median"),
-        at(p95).alias("p95"), F.min("v").alias("least"), F.max("v").alias("most"),
-    )
-    return out.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
+    """Per group count, share, mean, median, min, max and P95 by index (the element at min(int(0.95 n), n - 1)); nulls are left out. Exact, by ranges: a hot group takes many tasks."""
+    return profile(records, by, value, share)
 
 
 def paired_test(records: DataFrame, key: str, system: str, metric: str, a: str, b: str, by: Sequence[str] = (), zeros: str = "pratt") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import extract_references, lower_words, words
+from docketry.functions.text import extract_references, lower_words, once, words
 from docketry.operators.guards import matches_any, tag_rules
 
 #: Rules of a question set: label -> patterns (issues, documents) and groups of patterns.
@@ -136,6 +136,47 @@ def expand_query(text: Column, dictionary: Mapping[str, Sequence[str]], polite:
     return F.concat_ws(" ", F.trim(bare), F.nullif(F.array_join(F.slice(fresh, 1, most_terms), " "), F.lit("")))
 
 
+# Words of a question that are not searched for, the context of all questions, and the word that shows it is there.
+IDLE_WORDS = ("tôi", "cho", "hỏi", "được", "không", "thì", "có")
+CONTEXT, CONTEXT_WORD = "Bộ luật Lao động", "lao động"
+
+
+def expand_questions(
+    questions: DataFrame, dictionary: DataFrame, documents: Rules | None = None, prefixes: Sequence[str] = (r"^(?:xin hỏi|cho hỏi|cho tôi biết)[,\s]*",), most_terms: int = 6, most_tokens: int = 5, most_words: int = 4,
+    idle: Sequence[str] = IDLE_WORDS, context: str = CONTEXT, context_word: str = CONTEXT_WORD,
+) -> DataFrame:
+    """R15 with a dictionary table: (query_id, search, rewritten, terms, articles, documents) of ``questions`` (query_id, text).
+
+    ``dictionary``: (entry, key, terms), keys of up to ``most_words`` words; runs of the question's words are joined to the keys by equality, so its size is not in the plan. Terms come in order of entry.
+    ``search`` is, each once whatever its case: the articles that are named, the documents (label -> patterns), the first ``most_terms`` terms, the first ``most_tokens`` words of two letters or more that are not ``idle`` of the question without its polite ``prefixes``, and
+    ``context`` unless a part holds ``context_word``. ``rewritten`` is that question with its first three terms. A blank question is its own search.
+    """
+    ws = lower_words(F.col("text"))
+    none = F.array().cast("array<string>")
+
+    def runs_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1)))
+        return F.when(F.size(ws) >= n, F.transform(places, lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(none)
+
+    runs = F.flatten(F.array(*map(runs_of, range(1, most_words + 1))))
+    keys = dictionary.select("entry", F.array_join(lower_words(F.col("key")), " ").alias("_key"), "terms").filter("_key <> ''")
+    hits = questions.select("query_id", F.explode(F.array_distinct(runs)).alias("_key")).join(keys, "_key")
+    held = hits.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("entry", "terms"))), lambda x: x["terms"])).alias("terms"))
+    rows = questions.select("query_id", "text").join(held, "query_id", "left").withColumn("terms", F.coalesce("terms", none))
+    bare = F.trim(F.coalesce("text", F.lit("")))
+    for p in prefixes:
+        bare = F.trim(F.regexp_replace(bare, f"(?iu){p}", ""))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    articles = F.transform(extract_references(F.col("text")), lambda a: F.concat(F.lit("Điều "), a))
+    rows = rows.withColumns({"_bare": bare, "articles": articles, "documents": tag_rules(low, documents or {}).cast("array<string>")})
+    tokens = F.filter(F.regexp_extract_all("_bare", F.lit(r"[\p{L}\p{N}_]+"), 0), lambda t: (F.length(t) >= 2) & ~F.lower(t).isin(*idle))
+    parts = F.concat("articles", "documents", F.slice("terms", 1, most_terms), F.slice(tokens, 1, most_tokens))
+    parts = once(parts, lambda ps: F.concat(ps, F.when(F.exists(ps, lambda p: F.lower(p).contains(context_word)), none).otherwise(F.array(F.lit(context)))))
+    seen = once(F.transform(parts, lambda p: F.struct(F.trim(p).alias("p"), F.lower(F.trim(p)).alias("l"))), lambda ps: F.transform(F.filter(ps, lambda x, i: (x["l"] != "") & (F.array_position(F.transform(ps, lambda y: y["l"]), x["l"]) == i + 1)), lambda x: x["p"]))
+    rewritten = F.when(F.size("terms") > 0, F.concat("_bare", F.lit(" ("), F.array_join(F.slice("terms", 1, 3), ", "), F.lit(")"))).otherwise(F.col("_bare"))
+    return rows.select("query_id", F.when(F.trim(low) == "", F.col("text")).otherwise(F.array_join(seen, " ")).alias("search"), F.when(F.trim(low) == "", F.col("text")).otherwise(rewritten).alias("rewritten"), "terms", "articles", "documents")
+
+
 def flag_ambiguous(text: Column, topics: Sequence[str], resolving: Sequence[str]) -> Column:
     """A topic word is there, and no word that says which."""
     low = F.lower(F.coalesce(text, F.lit("")))

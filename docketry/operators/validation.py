@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.functions.text import estimate_tokens, lower_words, strip, word_total
+from docketry.operators.quantiles import index_quantiles
 
 
 def validate(rows: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -60,14 +61,6 @@ def coverage(rows: DataFrame, columns: Sequence[str], unknown: str = "unknown")
     return one.select("total", pairs).select("f.*", F.round(100.0 * F.col("f.there") / F.col("total"), 2).alias("percent"))
 
 
-def index_quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
-    """Note Q: values at place min(floor(share x n), n - 1) of each group's sorted values; equal values are counted before they are sorted."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    placed = counts.withColumns({"upto": F.sum("c").over(W.partitionBy(*by).orderBy("v")), "n": F.sum("c").over(W.partitionBy(*by))})
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1), F.col("v")))
-    return placed.groupBy(*by).agg(*[at(q).alias(name) for name, q in shares.items()])
-
-
 def corpus_summary(rows: DataFrame, by: str, text: str) -> DataFrame:
     """V6: per group the number of rows, and of characters and words the least, most, mean, and index-style median and P95."""
     sizes = rows.select(by, F.length(text).alias("chars"), word_total(F.col(text)).alias("words"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("corpus_queries", "question_queries", "retrieval_queries", "history_queries", "more_queries", "evidence_queries")
+GROUPS = ("corpus_queries", "question_queries", "retrieval_queries", "history_queries", "more_queries", "evidence_queries", "further_queries")
 
 
 def all_queries() -> dict:
