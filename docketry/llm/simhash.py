@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -36,9 +36,11 @@ TREE_CODES, WIDE_TREE_CODES = 16_384, 2048
 #: A fingerprint that more rows hold than this (or than a 100,000th of all rows) is joined by broadcast; so at most 100,000 are.
 HOT_ROWS = 10_000
 #: Near copies that an exact test decides: words of a shingle and least Jaccard similarity; bits their fingerprints may differ in.
-ALIKE_WIDTH, ALIKE_LEAST, ALIKE_LIMIT = 5, (4, 5), 10
+ALIKE_WIDTH, ALIKE_LEAST, ALIKE_LIMIT = 5, (4, 5), 8
 #: Words of the shingles in those fingerprints: a changed word spoils fewer short shingles, so that alike texts differ in fewer bits.
 ALIKE_PRINT = 2
+#: Fingerprints of a text for near copies, of independent bits: a pair is a candidate if one of them is within the limit.
+ALIKE_PRINTS = 2
 #: Bins that the shingles of a text are counted in, to bound how many two texts can share; a text with a fuller bin than FULL may be like any other.
 BINS, FULL = 256, 255
 #: Rows whose keys are broadcast rather than shuffled with the texts.
@@ -52,24 +54,30 @@ def fingerprint(data: bytes, width: int = 3) -> int:
 
     A bit is set if it is set in over half of the shingles' XXH64. Fewer words than ``width`` are one shingle; none give 0.
     """
+    return fingerprints(data, width, 1)[0]
+
+
+def fingerprints(data: bytes, width: int, prints: int) -> list[int]:
+    """:func:`fingerprint`, and others of bits that are mixed from the same hashes."""
     import xxhash
 
     words = data.lower().split()
     if not words:
-        return 0
+        return [0] * prints
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     w = min(width, len(words))
     digest = xxhash.xxh64_intdigest
-    counts, total = np.zeros(BITS, np.int64), len(words) - w + 1
+    counts, total = np.zeros((prints, BITS), np.int64), len(words) - w + 1
     for at in range(0, total, 1 << 16):
         pairs = zip(starts[at : min(at + (1 << 16), total)].tolist(), ends[at + w - 1 :].tolist(), strict=False)
         hashes = np.fromiter((digest(line[a:b], SEED) for a, b in pairs), np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = counts * 2 > total
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        for k in range(prints):
+            bits = mixed(hashes + np.uint64(k)) if k else hashes
+            counts[k] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return [int(x) for x in np.packbits(counts * 2 > total, axis=1, bitorder="little").view(np.uint64)[:, 0]]
 
 
 def signed(value: int) -> int:
@@ -78,20 +86,20 @@ def signed(value: int) -> int:
 
 @F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("words", T.LongType())]))
 def _fingerprints(texts: pd.Series, widths: pd.Series) -> pd.DataFrame:
-    return _prints(texts, widths)
+    code = pd.Series([signed(fingerprint(bytes(t), int(w))) for t, w in zip(texts, widths, strict=True)], dtype="int64")
+    return pd.DataFrame({"code": code, "words": _words(texts)})
 
 
-@F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("words", T.LongType()), T.StructField("bins", T.BinaryType())]))
+@F.pandas_udf(T.StructType([T.StructField("codes", T.ArrayType(T.LongType())), T.StructField("words", T.LongType()), T.StructField("bins", T.BinaryType())]))
 def _fingerprints_and_bins(texts: pd.Series, widths: pd.Series) -> pd.DataFrame:
-    return _prints(texts, widths).assign(bins=pd.Series([shingle_bins(bytes(t)) for t in texts], dtype=object))
+    codes = [[signed(c) for c in fingerprints(bytes(t), int(w), ALIKE_PRINTS)] for t, w in zip(texts, widths, strict=True)]
+    return pd.DataFrame({"codes": pd.Series(codes, dtype=object), "words": _words(texts), "bins": pd.Series([shingle_bins(bytes(t)) for t in texts], dtype=object)})
 
 
-def _prints(texts: pd.Series, widths: pd.Series) -> pd.DataFrame:
+def _words(texts: pd.Series) -> pd.Series:
     import xxhash
 
-    code = [signed(fingerprint(bytes(t), int(w))) for t, w in zip(texts, widths, strict=True)]
-    words = [signed(xxhash.xxh64_intdigest(b" ".join(bytes(t).lower().split()), SEED)) for t in texts]
-    return pd.DataFrame({"code": code, "words": words}, dtype="int64")
+    return pd.Series([signed(xxhash.xxh64_intdigest(b" ".join(bytes(t).lower().split()), SEED)) for t in texts], dtype="int64")
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint", width: int = 3) -> DataFrame:
@@ -280,7 +288,7 @@ def near_edges(units: DataFrame, limit: int = 2, tree_codes: int = TREE_CODES, m
     for name, kind in (("refused", "array<long>"), ("bins", "binary")):
         if name not in units.columns:
             units = units.withColumn(name, F.lit(None).cast(kind))
-    rows = dealt(units.select("unit", "code", "label", "refused", "bins"), limit, tree_codes)
+    rows = dealt(units.select("unit", "code"), limit, tree_codes).join(units.select("unit", "label", "refused", "bins"), "unit")
     trees = max(1, math.ceil(units.count() / tree_codes))
     rows = rows.withColumn("tree", F.pmod(F.xxhash64("key", "bits"), F.lit(trees)).cast("int"))
     tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, trees))
@@ -442,16 +450,21 @@ def _few(df: DataFrame) -> DataFrame:
 def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tree_codes: int = WIDE_TREE_CODES) -> DataFrame:
     """(node, root) of units that are linked by pairs within ``limit`` bits whose texts are :func:`similar`.
 
-    ``units`` has (unit, code, bins), ``rows`` (unit, text as bytes) with at least those units. A forest of the index's links, and of each code the links to its
+    ``units`` has (unit, codes, bins), ``ALIKE_PRINTS`` fingerprints each, ``rows`` (unit, text as bytes) with at least those units. A forest of the index's links, and of each code the links to its
     first unit, are tested on the texts first; pairs that cannot be alike by their bins are no links.
     Where a test fails, classes that the failed edges touch are searched again for pairs that lead out of them, the ``NEAREST`` first, ``GROWTH`` times as
     many in each later round, until every pair of different classes has been tested (no unit had pairs left out); so pairs within a class cost no test, nor do those whose counts of
     shingles in bins show that they cannot be alike.
     """
     no_edges = units.sparkSession.createDataFrame([], "u long, v long")
-    firsts = units.groupBy("code").agg(F.min_by("bins", "unit").alias("bins"), F.min("unit").alias("unit"))
-    equal = units.select("unit", "code").join(firsts.select("code", F.col("unit").alias("first")), "code").filter("unit <> first").select(F.col("first").alias("u"), F.col("unit").alias("v"))
-    edges = stash(near_edges(stash(firsts, "alike-codes"), limit, tree_codes).unionByName(equal), "alike-edges")
+    of_print = lambda df, k: df.withColumn("code", F.col("codes")[k]).drop("codes")
+    edges = no_edges
+    for k in range(ALIKE_PRINTS):
+        coded = of_print(units, k)
+        firsts = stash(coded.groupBy("code").agg(F.min_by("bins", "unit").alias("bins"), F.min("unit").alias("unit")), "alike-codes")
+        equal = coded.select("unit", "code").join(firsts.select("code", F.col("unit").alias("first")), "code").filter("unit <> first").select(F.col("first").alias("u"), F.col("unit").alias("v"))
+        edges = edges.unionByName(stash(near_edges(firsts, limit, tree_codes).unionByName(equal), "alike-edges"))
+    edges = stash(edges.distinct(), "alike-edges")
     needed = _few(edges.select(F.explode(F.array("u", "v")).alias("unit")).distinct())
     texts = stash(rows.join(needed, "unit").select("unit", "text"), "alike-texts")
     refused, labels, most, whole = no_edges, None, NEAREST, False
@@ -473,11 +486,12 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
         touched = refused.select(F.explode(F.array("u", "v")).alias("unit")).join(known, "unit").select("label").distinct()
         others = refused.groupBy(F.col("u").alias("unit")).agg(F.collect_list("v").alias("refused"))
         again = known.join(touched, "label", "left_semi").join(units, "unit").join(others, "unit", "left")
-        again = stash(again.select("unit", "code", "label", "refused", "bins"), "alike-again")
-        edges = stash(near_edges(again, limit, tree_codes, most), "alike-edges")
+        again = stash(again.select("unit", "codes", "label", "refused", "bins"), "alike-again")
+        found = [stash(near_edges(of_print(again, k), limit, tree_codes, most), "alike-edges") for k in range(ALIKE_PRINTS)]
+        whole = all(x.groupBy("u").count().filter(F.col("count") >= most).isEmpty() for x in found)
+        edges = stash(reduce(DataFrame.unionByName, found).distinct(), "alike-edges")
         if edges.isEmpty():
             break
-        whole = edges.groupBy("u").count().filter(F.col("count") >= most).isEmpty()
         most *= GROWTH
     return no_edges.toDF("node", "root") if labels is None else labels
 
@@ -485,7 +499,7 @@ def alike_units(units: DataFrame, rows: DataFrame, limit: int = ALIKE_LIMIT, tre
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = ALIKE_PRINT, limit: int = ALIKE_LIMIT, tree_codes: int = WIDE_TREE_CODES) -> DataFrame:
     """Rows of ``docs`` with all their columns, one of each group of near copies: that with the smallest id (nulls last, of repeated rows the first written).
 
-    Texts with the same words (ASCII case aside) are copies. Others are near copies if their fingerprints differ in at most ``limit`` bits and their
+    Texts with the same words (ASCII case aside) are copies. Others are near copies if one of their ``ALIKE_PRINTS`` fingerprints differs in at most ``limit`` bits and their
     five-word shingles have a Jaccard similarity of 0.8 or more; a group is what such pairs connect. Null texts are empty, and texts without words copies
     of each other. Texts are written once with their fingerprints and not shuffled, unless more than ``BROADCAST_ROWS`` rows go or are to be tested.
     An empty table gives no rows; columns of any name are kept as they are.
@@ -493,12 +507,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     bounded_batches(docs.sparkSession)
     print_of = _fingerprints_and_bins(text_bytes(text_col), F.lit(width)).alias("f")
     rows = docs.select(F.struct("*").alias("doc"), print_of, F.monotonically_increasing_id().alias("row"))
-    rows = stash(rows.select("doc", "f.code", "f.words", "f.bins", "row"), "copies-rows")
+    rows = stash(rows.select("doc", "f.codes", "f.words", "f.bins", "row"), "copies-rows")
     name = F.col("doc").getField(id_col)
-    best = rows.groupBy("code", "words").agg(F.min(F.struct(name.isNull().alias("no_id"), name.alias("id"), "row")).alias("m"), F.max("bins").alias("bins"))  # equal words, equal bins
-    units = stash(best.select(F.col("m.row").alias("unit"), "code", "m", "bins"), "copies-units")
+    best = rows.groupBy("codes", "words").agg(F.min(F.struct(name.isNull().alias("no_id"), name.alias("id"), "row")).alias("m"), F.max("bins").alias("bins"))  # equal words, equal bins
+    units = stash(best.select(F.col("m.row").alias("unit"), "codes", "m", "bins"), "copies-units")
     texts = rows.select(F.col("row").alias("unit"), text_bytes(F.col("doc").getField(text_col)).alias("text"))
-    roots = alike_units(units.select("unit", "code", "bins"), texts, limit, tree_codes)
+    roots = alike_units(units.select("unit", "codes", "bins"), texts, limit, tree_codes)
     classes = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("m", F.coalesce("root", "unit").alias("root"))
     kept = stash(classes.groupBy("root").agg(F.min("m").alias("m")).select("m.row"), "copies-kept")
     gone = stash(rows.select("row").join(kept, "row", "left_anti"), "copies-gone")

@@ -119,10 +119,12 @@ def test_kept_rows_match_brute_force(spark, monkeypatch):
     docs = documents(spark, rows)
     shingles = lambda t: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} if t else set()
     words = [(t or "").lower().split() for _, t in rows]
-    sets, codes = [shingles(t) for t in words], [slow_fingerprint(t, simhash.ALIKE_PRINT) for _, t in rows]
-    near = lambda a, b: words[a] == words[b] or ((codes[a] ^ codes[b]).bit_count() <= simhash.ALIKE_LIMIT and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    sets, codes = [shingles(t) for t in words], [simhash.fingerprints((t or "").encode(), simhash.ALIKE_PRINT, simhash.ALIKE_PRINTS) for _, t in rows]
+    assert [c[0] for c in codes[:40]] == [slow_fingerprint(t, simhash.ALIKE_PRINT) for _, t in rows[:40]]
+    within = lambda a, b: any((x ^ y).bit_count() <= simhash.ALIKE_LIMIT for x, y in zip(codes[a], codes[b], strict=True))
+    near = lambda a, b: words[a] == words[b] or (within(a, b) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     edges = [(b, a) for a in range(len(rows)) for b in range(a) if near(a, b)]
-    unlike = sum((codes[a] ^ codes[b]).bit_count() <= simhash.ALIKE_LIMIT and not near(a, b) for a in range(len(rows)) for b in range(a))
+    unlike = sum(within(a, b) and not near(a, b) for a in range(len(rows)) for b in range(a))
     root = {k: k for k in range(len(rows))} | components(edges)
     best = {}
     for k, (i, _) in enumerate(rows):
