@@ -26,6 +26,8 @@ from docketry.llm.shared import stash, table
 SHARD_ROWS, BLOCK_ROWS = 16_384, 65_536
 #: Rows of the first and of the largest segment of the postings (each has twice the rows of the one before), and dimensions that are probed at a time.
 FIRST_ROWS, SEGMENT_ROWS, STEP = 64, 4096, 8
+#: Sums of floats are those of integers below this.
+EXACT = 2**53
 
 
 def quantised(vector: str | Column, scale: int = 256) -> Column:
@@ -66,6 +68,8 @@ class Shard:
             threshold = best[-1] if len(best) == k else -math.inf  # equal scores stay in, for ties
             bounds = np.where(query > 0, query * largest, query * least)
             terms = np.argsort(-bounds, kind="stable")
+            if (np.abs(query) * np.maximum(largest, -least)).sum() >= EXACT:
+                raise OverflowError("components are too large for exact scores")
             left = np.append(np.cumsum(bounds[terms][::-1])[::-1], 0.0)
             if left[0] < threshold:
                 continue
@@ -89,9 +93,10 @@ class Shard:
                 block = terms[done : done + STEP]
                 if 4 * len(rows) > len(ids):  # most rows are left: whole columns are read faster than chosen components
                     score = score + (query[block] @ columns[block])[rows]
+                    self.probed += len(ids) * len(block)
                 else:
                     score = score + query[block] @ columns[block[:, None], rows]
-                self.probed += len(rows) * len(block)
+                    self.probed += len(rows) * len(block)
                 done += len(block)
                 keep = score + left[done] >= threshold
                 if not keep.all():
@@ -160,7 +165,7 @@ def search_shards(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: in
 def maxscore_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "vector", **options) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with the rows of other ids.
 
-    Components are integers below 2**20 in size, so sums are exact. Rows with a null id or vector take no part, nor do vectors of another length than most rows of ``vectors``
+    Components are integers; where sums of their products could reach 2**53 and lose digits, a search raises OverflowError. Rows with a null id or vector take no part, nor do vectors of another length than most rows of ``vectors``
     have (of equally frequent lengths the greatest counts); repeated rows with one id
     count once each, with their rank by score and then id; a table of fewer than k others gives them all, empty
     tables give no rows. Other columns are not read, whatever their names.
