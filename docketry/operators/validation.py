@@ -130,6 +130,13 @@ def lost_words(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return own.select("doc_id", F.explode(F.array_except("own", F.coalesce("held", F.array().cast("array<string>")))).alias("word"))
 
 
+def text_loss(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, words, lost): how many different words a document has, and how many of them none of its chunks holds; one row a document, its text cut into words once."""
+    held = chunks.select("doc_id", F.array_distinct(lower_words(F.col("content"))).alias("ws")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("ws"))).alias("held"))
+    own = docs.select("doc_id", F.array_distinct(lower_words(F.col("text"))).alias("own")).join(held, "doc_id", "left")
+    return own.select("doc_id", F.size("own").alias("words"), F.size(F.array_except("own", F.coalesce("held", F.array().cast("array<string>")))).cast("long").alias("lost"))
+
+
 def lost_lines(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """V14 by lines: (doc_id, line) of lines of a document that are in none of its chunks, white space aside.
 

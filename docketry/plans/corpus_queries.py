@@ -280,9 +280,7 @@ C9 = """SELECT doc_id AS document_id, doc_id || '/2020/NĐ-CP' AS document_numbe
 
 def v14(spark, d):
     """Documents and how many of their words no chunk holds: none may be lost."""
-    lost = V.lost_words(docs(spark, d).select("doc_id", "text"), chunks(spark, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lost"))
-    total = docs(spark, d).select("doc_id", F.size(F.array_distinct(T.lower_words(F.col("text")))).alias("words"))
-    return total.join(lost, "doc_id", "left").fillna(0, ["lost"])
+    return V.text_loss(docs(spark, d).select("doc_id", "text"), chunks(spark, d))
 
 
 V14 = f"SELECT doc_id, len(list_distinct({lower_words_sql('text')}))::INT AS words, 0::BIGINT AS lost FROM documents"
