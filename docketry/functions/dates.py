@@ -12,6 +12,7 @@ NO_DATE = ("none", "null", "unknown", "đã biết", "không xác định")
 # Words that mean the present.
 NOW_WORDS = ("hiện nay", "hiện tại", "bây giờ", "thời điểm này", "mới nhất", "hiện hành")
 
+# Dates in numbers and in words.
 DAY_FIRST = r"(?<![\p{L}\p{N}_])(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?![\p{L}\p{N}_])"
 YEAR_FIRST = r"(?<![\p{L}\p{N}_])(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})(?![\p{L}\p{N}_])"
 WORDED = rf"(?iu)ngày{WHITE}+(\d{{1,2}}){WHITE}+tháng{WHITE}+(\d{{1,2}}){WHITE}+năm{WHITE}+(\d{{4}})"
@@ -47,6 +48,7 @@ def recover_dates(issued: Column, effective: Column, body: Column) -> tuple[Colu
     parts = F.split(flat(issued), rf"(?iu)Ngày{WHITE}+hiệu{WHITE}+lực:")
     issue = parse_legal_date(parts[0])
     body = F.coalesce(body, F.lit(""))
+    # What says from which day a law is in force, and the block that does.
     force = rf"có{WHITE}+hiệu{WHITE}+lực{WHITE}+(?:thi{WHITE}+hành{WHITE}+)?(?:kể{WHITE}+)?từ{WHITE}+"
     signing = F.when(body.rlike(rf"(?iu){force}ngày{WHITE}+ký"), issue)
     _, worded = _found(body, rf"(?iu){force}" + WORDED.removeprefix("(?iu)"), "dmy")
@@ -76,6 +78,7 @@ def temporal_intent(question: Column, as_of: Column) -> Column:
         now = now | q.contains(word)
     _, day = _found(q, WORDED, "dmy")
     _, slashed = _found(q, DAY_FIRST, "dmy")
+    # A month and a year in words.
     _, month = _found(q, rf"tháng{WHITE}+(\d{{1,2}})(?:{WHITE}*[/.-]{WHITE}*|{WHITE}+năm{WHITE}+)(\d{{4}})", "my")
     year = F.regexp_extract(q, rf"năm{WHITE}+(\d{{4}})", 1)
     return F.when(now, as_of).otherwise(F.coalesce(day, slashed, month, calendar_date(year, F.lit("12"), F.lit("31"))))

@@ -60,6 +60,7 @@ def clean_document_number(text: Column) -> Column:
 
 def infer_document_type(number: Column, declared: Column, doc_id: Column) -> Column:
     """C4: the declared type, else one named in the number field, else by the prefix of the id or the suffix of the number."""
+    # What names a type, and the ids and numbers that go with one.
     code = doc_id.startswith("BLLD")
     said = F.when((strip(declared) != "") & ~F.lower(strip(declared)).isin(*NO_TYPE), strip(declared))
     named = strip(F.nullif(F.regexp_extract(F.coalesce(number, F.lit("")), rf"(?iu)Loại{WHITE}+văn{WHITE}+bản:{WHITE}*([^\n]+)", 1), F.lit("")))

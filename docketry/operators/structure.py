@@ -37,8 +37,8 @@ INTRODUCERS = (
     "quy định tại", "hướng dẫn tại", "nêu tại", "theo quy định tại", "theo", "trong", "tại mục", "tại chương", "tại điều", "tại khoản", "khoản", "điều", "mục",
     "chương", "trừ trường hợp", "tại", "mẫu số", "kèm theo", "ban hành kèm theo", "ghi tại",
 )
+# Ends of a finished line, and the letters of points in their order.
 TERMINAL = r"""[.:;!?”")]$"""
-#: Order of the letters of points.
 LETTERS = "a b c d đ e g h i k l m n o p q r s t u v x y".split()
 
 
