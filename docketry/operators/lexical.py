@@ -78,12 +78,16 @@ class LexicalIndex:
         return rows if gone is None else rows.join(gone, (rows["doc_id"] == gone["doc_id"]) & (rows["segment"] < gone["before"]), "left_anti")
 
     def _removed(self) -> DataFrame | None:
-        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/removed")
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if not self.exists("removed"):
             return None
         rows = self.spark.read.schema(T.StructType([T.StructField("doc_id", self.id_type), T.StructField("before", T.IntegerType())])).parquet(f"{self.path}/removed")
         return rows.groupBy("doc_id").agg(F.max("before").alias("before"))
 
+    def exists(self, part: str = "lengths") -> bool:
+        """Whether a part of the index is there; the folder may have been cleared."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
     def _next_segment(self) -> int:
         return self._all_lengths().agg(F.max("segment")).first()[0] + 1 if not self._all_lengths().isEmpty() else 1
 

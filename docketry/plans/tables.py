@@ -18,7 +18,7 @@ _INDEXES: dict[tuple[str, str, bool], LexicalIndex] = {}
 def stored_index(spark: SparkSession, sf_dir: str, positional: bool = False) -> LexicalIndex:
     """The lexical index of ``documents``, built at its first use in the application: later queries on the same corpus cut no text."""
     key = (spark.sparkContext.applicationId, sf_dir, positional)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not _INDEXES[key].exists():
         _INDEXES[key] = LexicalIndex.create(load(spark, sf_dir, "documents").select("doc_id", "text"), positional=positional)
     return _INDEXES[key]
 
