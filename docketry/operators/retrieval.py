@@ -6,7 +6,7 @@ Results are rows (query_id, doc_id, score, rank), ranks from 1, ties to the smal
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,6 +35,11 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
     Blocks of queries meet shards of vectors as pairs of bounded groups; a zero vector has cosine 0. Rows with a null id, a null or empty vector, or a component that is null
     or not finite take no part; a query meets the vectors of its own length.
     """
+    return _nearest(queries, vectors, k, threshold, skip_same_id)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None, skip_same_id: bool, compared: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The pairs of bounded groups of R1 and R2; ``compared`` says of unit vectors (queries, vectors) which pairs are candidates, by default all."""
     finite = F.forall("vector", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     fit = lambda df, i: df.select(i, "vector").dropna().filter((F.size("vector") > 0) & finite)
     queries, vectors = fit(queries, "query_id"), fit(vectors, "doc_id")
@@ -60,9 +65,12 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
             matrix = unit(near["vector"])
             for at in range(0, len(same), 256):
                 some = same.iloc[at : at + 256]
-                scores = np.round(unit(some["vector"]) @ matrix.T, 6)
-                for q, row in zip(some["query_id"], scores, strict=True):
-                    keep = np.flatnonzero(row >= threshold) if threshold is not None else np.arange(len(row))
+                units = unit(some["vector"])
+                scores = np.round(units @ matrix.T, 6)
+                mask = None if compared is None else compared(units, matrix)
+                for at_row, (q, row) in enumerate(zip(some["query_id"], scores, strict=True)):
+                    keep = np.arange(len(row)) if mask is None else np.flatnonzero(mask[at_row])
+                    keep = keep if threshold is None else keep[row[keep] >= threshold]
                     keep = keep[ids[keep] != q] if skip_same_id else keep
                     if len(keep) > k:
                         kth = np.partition(row[keep], -k)[-k]
@@ -77,21 +85,22 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
 
 
 def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 1.0, tables: int = 16, radius: float = 1.4, seed: int = 3) -> DataFrame:
-    """R2: approximate nearest by random projections of unit vectors (candidates within Euclidean ``radius``), exact cosines of those."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from docketry.functions.vectors import l2_normalize
-
-    # a null vector must not reach the conversion or the hashes, wherever the planner puts the filter
-    size = vectors.agg(F.max(F.size("vector"))).first()[0] or 1
-    whole = F.coalesce("vector", F.array_repeat(F.lit(0.0), max(1, size)))
-    prepare = lambda df, i: df.filter(F.size("vector") > 0).select(F.col(i), array_to_vector(l2_normalize(whole)).alias("features"))
-    a, b = prepare(queries, "query_id"), prepare(vectors, "doc_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(b)
-    near = model.approxSimilarityJoin(a, b, radius, "distance")
-    score = F.round(1 - F.pow("distance", F.lit(2)) / 2, 6)
-    return ranked(near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.doc_id").alias("doc_id"), score.alias("score")), k)
+    """R2: approximate nearest by random projections of unit vectors: candidates share a bucket of width ``bucket`` in one of ``tables`` projections and are within Euclidean ``radius``; exact cosines of those.
+
+    Every row is hashed. Candidates are formed within the bounded groups of R1 and never leave them as pairs; a join on (table, bucket) would write a pair for each table that it shares.
+    """
+
+    def hashes(units: np.ndarray) -> np.ndarray:
+        planes = np.random.default_rng(seed).normal(size=(units.shape[1], tables))
+        return np.floor(units @ (planes / np.linalg.norm(planes, axis=0)) / bucket).astype(np.int64).T
+
+    def compared(asked: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(asked), len(docs)), dtype=bool)
+        for a, d in zip(hashes(asked), hashes(docs), strict=True):
+            out |= a[:, None] == d
+        return out
+
+    return _nearest(queries, vectors, k, 1 - radius**2 / 2, False, compared)
 
 
 def metadata_filter(rows: DataFrame, **equal: object) -> DataFrame:

@@ -185,3 +185,20 @@ def test_exact_quantiles(spark, small_ranges):
     s = sorted(values["hot"])
     assert prof["hot"].median == (s[2499] + s[2500]) / 2 and prof["hot"].n == 5000 and prof["one"].p95 == 2.0 and prof["hot"].share == 5000 / 5052
     assert N.index_quantiles(df.limit(0), ["g"], "v", {"mid": 0.5}).isEmpty()
+
+
+def test_lsh_hashes_all_rows_and_shuffles_no_pairs(spark, monkeypatch):
+    """Random projections find what brute force finds, by shards and blocks; narrow buckets find less; the plan joins no pairs."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(draw.normal(size=(400, 16)))] + [(900, None), (901, [None] * 16), (902, [0.0] * 16), (903, [1.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "doc_id long, vector array<double>")
+    queries = vectors.filter("doc_id % 25 = 0").withColumnRenamed("doc_id", "query_id")
+    monkeypatch.setattr(R, "SHARD_ROWS", 100)
+    monkeypatch.setattr(R, "BLOCK_ROWS", 6)
+    pairs = lambda df: {(r.query_id, r.doc_id) for r in df.collect()}
+    near = R.dense_topk_lsh(queries, vectors, 5)
+    exact, found = pairs(R.dense_topk(queries, vectors, 5)), pairs(near)
+    assert len(exact & found) >= 0.9 * len(exact) and len(pairs(R.dense_topk_lsh(queries, vectors, 5, bucket=0.02, tables=1))) < len(exact)
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
