@@ -5,6 +5,7 @@ All are built-in expressions. Patterns name Unicode classes, so accented letters
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -110,6 +111,12 @@ def restore_metadata(raw: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose ``\\b`` are ends of runs of ASCII letters, digits and ``_``, as in DuckDB; Java's take accented letters as parts of a word."""
+    word = "[0-9A-Za-z_]"
+    return re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))", pattern)
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)``, the value computed once a row however often it is used: within a lambda, an expression of a column is else computed anew for every element."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -187,6 +187,17 @@ def test_exact_quantiles(spark, small_ranges):
     assert N.index_quantiles(df.limit(0), ["g"], "v", {"mid": 0.5}).isEmpty()
 
 
+def test_word_bounds_are_those_of_the_sql(spark):
+    import duckdb
+
+    from docketry.functions.text import ascii_bounds
+
+    texts_ = ["ñde x", "deñ", "la de la", "ade", "de", "lade b", "ungenß", "ungen", "ungen.", "\\be", ""]
+    for pattern in (r"\b(?:of|und|de)\b", r"ungen\b", r"\bungen", r"\\be"):
+        rows = spark.createDataFrame([(t,) for t in texts_], "t string").select("t", F.col("t").rlike(ascii_bounds(pattern)).alias("got"))
+        assert {r.t: r.got for r in rows.collect()} == {t: duckdb.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in texts_}
+
+
 def test_lsh_hashes_all_rows_and_shuffles_no_pairs(spark, monkeypatch):
     """Random projections find what brute force finds, by shards and blocks; narrow buckets find less; the plan joins no pairs."""
     import numpy as np
