@@ -189,7 +189,7 @@ def split_sentences(text: Column) -> Column:
 
 def lower_words(text: Column) -> Column:
     """Lower-case words, with everything but letters, digits and ``_`` as a break."""
-    return words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: w != "")
 
 
 def one_of(word: Column, words_: Sequence[str]) -> Column:

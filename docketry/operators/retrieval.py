@@ -15,11 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.functions.text import INDEX_STOP_WORDS, extract_references, index_terms, keywords, once, phrases
-from docketry.operators.lexical import LexicalIndex
+from docketry.operators.lexical import LexicalIndex, placed_terms
 from docketry.sources.scratch import written
 
 #: Vectors and queries that one task compares at a time; a query table of up to so many rows is one block.
 SHARD_ROWS, BLOCK_ROWS = 32_768, 4_096
+#: Documents and different questions that one task of a lexical search compares at a time.
+SHARD_DOCS, BLOCK_QUESTIONS = 8_192, 32_768
 BM25_K1, BM25_B, RRF_K = 1.5, 0.75, 60
 
 
@@ -149,12 +151,118 @@ def bm25_scores(queries: DataFrame, docs: DataFrame | LexicalIndex, stop_words:
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("raw"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame | LexicalIndex, k: int, stop_words: Sequence[str] = INDEX_STOP_WORDS, keep: Column | None = None, **options) -> DataFrame:
-    """Raw scores over the query's best, rounded to six places. ``keep`` filters after the best is known, as metadata filters of this index do."""
-    raw = written(bm25_scores(queries, docs, stop_words, **options), "bm25-raw")
+def bm25_topk(queries: DataFrame, docs: DataFrame | LexicalIndex, k: int, stop_words: Sequence[str] = INDEX_STOP_WORDS, keep: Column | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Raw scores over the query's best, rounded to six places. ``keep`` filters after the best is known, as metadata filters of this index do.
+
+    Without ``keep`` no (query, document) pair leaves a task but those that may be among the ``k`` first: shards of documents meet blocks of questions, and questions with the same terms are
+    looked for once. Rows with a null id take no part; repeated rows of one id are one document.
+    """
+    if keep is not None:
+        raw = written(bm25_scores(queries, docs, stop_words, k1, b), "bm25-raw")
+        return ranked(_over_top(raw).filter(keep), k)
+    asked = queries.filter("query_id IS NOT NULL").select("query_id", F.explode(index_terms(F.col("text"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = written(asked, "bm25-asked")
+    wanted = written(asked.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()), "bm25-wanted")
+    held = written(_wanted_terms(docs, wanted, stop_words), "bm25-held")
+    counts = held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length")).first()
+    if not counts["n_docs"]:
+        return ranked(queries.select("query_id").crossJoin(held.select("doc_id")).withColumn("score", F.lit(0.0)).limit(0), k)
+    n_docs, average = counts["n_docs"], float(counts["avg_length"]) or 1.0
+    df = held.select(F.explode("terms").alias("t")).groupBy(F.col("t.term_id").alias("term_id")).agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    weighed = asked.join(wanted, "term").join(df, "term_id").select("query_id", F.struct("term_id", (idf * (k1 + 1)).alias("most"), "times").alias("t"))
+    bags = weighed.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("bag"))
+    bags = written(bags.withColumn("asker", F.min("query_id").over(W.partitionBy("bag"))), "bm25-bags")
+    different = bags.filter("query_id = asker").select("query_id", "bag")
+    shards, blocks = max(1, math.ceil(n_docs / SHARD_DOCS)), max(1, math.ceil(different.count() / BLOCK_QUESTIONS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    column = lambda of, c, t: F.transform(of, lambda x: x[c].cast(t)).alias(c)
+    left = held.filter(F.size("terms") > 0).select("doc_id", "length", column("terms", "term_id", "bigint"), column("terms", "tf", "double"), part("doc_id", shards).alias("shard"), every(blocks).alias("block"))
+    right = different.select("query_id", column("bag", "term_id", "bigint"), column("bag", "most", "double"), column("bag", "times", "double"), part("query_id", blocks).alias("block"), every(shards).alias("shard"))
+
+    def best(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return _best_of_shard(docs, asked, k, k1 * (1 - b), k1 * b / average, k1)
+
+    types = f"query_id {bags.schema['query_id'].dataType.simpleString()}, doc_id {held.schema['doc_id'].dataType.simpleString()}, raw double"
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(best, types)
+    first = ranked(_over_top(written(found, "bm25-found")), k).withColumnRenamed("query_id", "asker")
+    return first.join(bags.select("query_id", "asker"), "asker").select("query_id", "doc_id", "score", "rank")
+
+
+def _over_top(raw: DataFrame) -> DataFrame:
     best = raw.groupBy("query_id").agg(F.max("raw").alias("top"))
-    rows = raw.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("raw") / F.col("top"), 6).alias("score"))
-    return ranked(rows if keep is None else rows.filter(keep), k)
+    return raw.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("raw") / F.col("top"), 6).alias("score"))
+
+
+def _wanted_terms(docs: DataFrame | LexicalIndex, wanted: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """(doc_id, length, terms): of every document the wanted terms (term, term_id) with their counts; the length counts all its terms."""
+    listed = F.array_compact(F.collect_list(F.when(F.col("term_id").isNotNull(), F.struct("term_id", "tf")))).alias("terms")
+    if isinstance(docs, LexicalIndex):
+        hits = docs.postings(wanted.select("term")).join(wanted, "term").groupBy("doc_id").agg(listed)
+        return docs.lengths().join(hits, "doc_id", "left").select("doc_id", "length", F.coalesce("terms", F.array().cast(hits.schema["terms"].dataType)).alias("terms"))
+    rows = placed_terms(docs.select("doc_id", "text").filter("doc_id IS NOT NULL").repartition("doc_id"), stop_words)
+    counted = rows.join(wanted, "term", "left").groupBy("doc_id", "term_id").agg(F.count("term").alias("tf"))
+    return counted.groupBy("doc_id").agg(F.sum("tf").alias("length"), listed)
+
+
+def _best_of_shard(docs: pd.DataFrame, asked: pd.DataFrame, k: int, base: float, slope: float, k1: float) -> pd.DataFrame:
+    """Of each question the documents of a shard that can be among its ``k`` first by rounded score and id, with raw scores; frequent terms are multiplied as a matrix."""
+    none = pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "doc_id": docs["doc_id"].iloc[:0], "raw": np.zeros(0)})
+    if not len(docs) or not len(asked):
+        return none
+    docs = docs.sort_values("doc_id", ignore_index=True)
+    ids, n = docs["doc_id"].to_numpy(), len(docs)
+    row = np.repeat(np.arange(n), docs["term_id"].map(len))
+    terms, place = np.unique(np.concatenate(docs["term_id"].to_list()), return_inverse=True)
+    tf = np.concatenate(docs["tf"].to_list())
+    weight = tf / (tf + base + slope * docs["length"].to_numpy(dtype=float)[row])
+    order = np.argsort(place, kind="stable")
+    row, weight, starts = row[order], weight[order], np.searchsorted(place[order], np.arange(len(terms) + 1))
+    common = np.flatnonzero(np.diff(starts) * 8 >= n)
+    slot = np.full(len(terms), -1)
+    slot[common] = np.arange(len(common))
+    sizes, queries = asked["term_id"].map(len).to_numpy(), asked["query_id"].to_numpy()
+    owner, term = np.repeat(np.arange(len(asked)), sizes), np.concatenate(asked["term_id"].to_list())
+    value = np.concatenate(asked["most"].to_list()) * np.concatenate(asked["times"].to_list())
+    bound = np.bincount(owner, value, len(asked))
+    at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+    there = terms[at] == term
+    owner, at, value = owner[there], at[there], value[there]
+    out = []
+    for low in range(0, len(asked), 256):
+        few = min(256, len(asked) - low)
+        some = slice(*np.searchsorted(owner, [low, low + few]))
+        scores = np.zeros((few, n))
+        who, what, much = owner[some] - low, at[some], value[some]
+        dense = slot[what]
+        for c in range(0, len(common), 512):
+            of = common[c : c + 512]
+            here = (dense >= c) & (dense < c + 512)
+            if here.any():
+                a, m = np.zeros((few, len(of))), np.zeros((len(of), n))
+                a[who[here], dense[here] - c] = much[here]
+                for i, t in enumerate(of):
+                    m[i, row[starts[t] : starts[t + 1]]] = weight[starts[t] : starts[t + 1]]
+                scores += a @ m
+        for w, t, v in zip(who[dense < 0], what[dense < 0], much[dense < 0], strict=True):
+            scores[w, row[starts[t] : starts[t + 1]]] += v * weight[starts[t] : starts[t + 1]]
+        for w in range(few):
+            got = np.flatnonzero(scores[w])
+            if len(got) > k:  # nothing that is two roundings below the kth here can come before it, whatever the best of all shards
+                raw = scores[w, got]
+                got = got[raw >= np.partition(raw, -k)[-k] - 2e-6 * bound[low + w]]
+            raw = scores[w, got]
+            if len(got) > k:  # of equal scores the first ids
+                same = np.round(raw / bound[low + w], 12)
+                by = np.lexsort((got, -same))
+                new = np.r_[True, np.diff(same[by]) != 0]
+                turn = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+                pick = by[turn < k]
+                got, raw = got[pick], raw[pick]
+            out.append((np.full(len(got), low + w), got, raw))
+    who, got, raw = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame({"query_id": queries[who], "doc_id": ids[got], "raw": raw})
 
 
 def rrf_fuse(lists: Sequence[DataFrame], k: int, weights: Sequence[float] | None = None, constant: int = RRF_K, by: str = "query_id") -> DataFrame:

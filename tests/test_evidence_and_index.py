@@ -198,6 +198,34 @@ def test_word_bounds_are_those_of_the_sql(spark):
         assert {r.t: r.got for r in rows.collect()} == {t: duckdb.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in texts_}
 
 
+def test_lexical_search_by_shards_equals_all_scores(spark, monkeypatch):
+    """Shards and blocks, frequent and rare terms, equal texts and questions give what sorting all scores gives."""
+    draw = random.Random(5)
+    word = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(draw.choices(word, weights=[60 / (k + 1) for k in range(60)], k=n))
+    rows = [(k, text(draw.randint(0, 40))) for k in range(300)] + [(1000 + k, "w1 w2 w59") for k in range(40)] + [(2000, None), (2001, "")]
+    asked = [(k, text(draw.randint(0, 12))) for k in range(30)] + [(50 + k, "w59 w2") for k in range(9)] + [(90, None), (91, "nothing")]
+    docs, questions = texts(spark, rows), spark.createDataFrame(asked, "query_id long, text string")
+    monkeypatch.setattr(R, "SHARD_DOCS", 32)
+    monkeypatch.setattr(R, "BLOCK_QUESTIONS", 7)
+    want = R.bm25_topk(questions, docs, 5, keep=F.lit(True)).collect()
+    assert sorted(R.bm25_topk(questions, docs, 5).collect()) == sorted(want) and len(want) > 150
+    assert sorted(R.bm25_topk(questions, LexicalIndex.create(docs), 5).collect()) == sorted(want)
+    assert R.bm25_topk(questions, texts(spark, []), 5).count() == 0
+
+
+def test_lexical_search_writes_no_pairs(spark):
+    """What a search writes for 40 equal questions over 400 documents is far fewer rows than the 16,000 pairs, and questions of the same terms are looked for once."""
+    docs = texts(spark, [(k, f"cat dog x{k}") for k in range(400)])
+    asked = spark.createDataFrame([(k, "cat dog") for k in range(40)], "query_id long, text string")
+    clear(spark)
+    assert R.bm25_topk(asked, docs, 3).count() == 120
+    base = spark.conf.get("spark.checkpoint.dir") + f"/docketry-{spark.sparkContext.applicationId}"
+    import glob
+
+    assert sum(spark.read.parquet(f).count() for f in glob.glob(base + "/bm25-found-*")) <= 12
+
+
 def test_lsh_hashes_all_rows_and_shuffles_no_pairs(spark, monkeypatch):
     """Random projections find what brute force finds, by shards and blocks; narrow buckets find less; the plan joins no pairs."""
     import numpy as np
