@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketry.functions.text import INDEX_STOP_WORDS, lower_words
-from docketry.sources.scratch import new_folder
+from docketry.sources.scratch import new_folder, written
 
 BUCKETS = 64
 
@@ -126,18 +126,29 @@ def _by_document():
     return Window.partitionBy("doc_id")
 
 
-def phrase_hits(phrases: DataFrame, index: LexicalIndex) -> DataFrame:
+def phrase_hits(phrases: DataFrame, docs: DataFrame | LexicalIndex) -> DataFrame:
     """(query_id, phrase, doc_id, n): how often the words of each phrase stand one after the other in a document, by joins of neighbours in the positional postings.
 
-    ``phrases``: (query_id, phrase), two words or more. A pair of two stop words is not indexed, so it is not looked for: a phrase of none but such pairs has no rows.
+    ``phrases``: (query_id, phrase), two words or more; ``docs``: a positional index, or a table (doc_id, text), of which only the places of the phrases' pairs are kept. Phrases of the same words are looked for once.
+    A pair of two stop words is not indexed, so it is not looked for: a phrase of none but such pairs has no rows.
     """
-    if not index.positional:
+    indexed = isinstance(docs, LexicalIndex)
+    if indexed and not docs.positional:
         raise ValueError("the index holds no places")
-    words = phrases.select("query_id", "phrase", lower_words(F.col("phrase")).alias("ws")).distinct()
-    pairs = words.select("query_id", "phrase", F.posexplode(F.zip_with(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", F.lit(2), F.greatest(F.size("ws") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("ahead", "p"))
-    pairs = pairs.filter(~(F.col("p.a").isin(*index.stop_words) & F.col("p.b").isin(*index.stop_words))).select("query_id", "phrase", "ahead", F.concat("p.a", F.lit("_"), "p.b").alias("term"))
-    needed = pairs.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("needed"))
-    at = index.postings(pairs.select("term").distinct()).select("term", "doc_id", F.explode("places").alias("place"))
-    starts = pairs.join(at, "term").groupBy("query_id", "phrase", "doc_id", (F.col("place") - F.col("ahead")).alias("start")).agg(F.count(F.lit(1)).alias("found"))
-    whole = starts.join(needed, ["query_id", "phrase"]).filter("found = needed")
-    return whole.groupBy("query_id", "phrase", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    stop_words = docs.stop_words if indexed else INDEX_STOP_WORDS
+    asked = written(phrases.select("query_id", "phrase", F.array_join(lower_words(F.col("phrase")), " ").alias("words")).distinct(), "phrases-asked")
+    ws = F.split("words", " ")
+    words = asked.select("words").distinct().filter(F.size(ws) >= 2)
+    pairs = words.select("words", F.posexplode(F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("ahead", "p"))
+    pairs = pairs.filter(~(F.col("p.a").isin(*stop_words) & F.col("p.b").isin(*stop_words))).select("words", "ahead", F.concat("p.a", F.lit("_"), "p.b").alias("term"))
+    pairs = written(pairs, "phrases-pairs")
+    needed = pairs.groupBy("words").agg(F.count(F.lit(1)).alias("needed"))
+    wanted = pairs.select("term").distinct()
+    if indexed:
+        at = docs.postings(wanted).select("term", "doc_id", F.explode("places").alias("place"))
+    else:
+        rows = placed_terms(docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), stop_words)
+        at = written(rows.join(wanted, "term", "left_semi").select("term", "doc_id", "place"), "phrases-places")
+    starts = pairs.join(at, "term").groupBy("words", "doc_id", (F.col("place") - F.col("ahead")).alias("start")).agg(F.count(F.lit(1)).alias("found"))
+    whole = starts.join(needed, "words").filter("found = needed").groupBy("words", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(whole, "words").select("query_id", "phrase", "doc_id", "n")

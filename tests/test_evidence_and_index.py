@@ -241,3 +241,13 @@ def test_lsh_hashes_all_rows_and_shuffles_no_pairs(spark, monkeypatch):
     exact, found = pairs(R.dense_topk(queries, vectors, 5)), pairs(near)
     assert len(exact & found) >= 0.9 * len(exact) and len(pairs(R.dense_topk_lsh(queries, vectors, 5, bucket=0.02, tables=1))) < len(exact)
     assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_of_a_table_equal_those_of_an_index(spark):
+    draw = random.Random(8)
+    rows = [(k, " ".join(draw.choices(["cat", "dog", "và", "của", "x1"], k=draw.randint(0, 25)))) for k in range(80)] + [(90, None), (91, "")]
+    docs = texts(spark, rows)
+    asked = spark.createDataFrame([(1, "cat dog"), (2, "Cat  dog"), (3, "cat dog"), (4, "dog và cat"), (5, "và của"), (6, "x1 x1 x1"), (7, "cat"), (8, None)], "query_id long, phrase string")
+    got = phrase_hits(asked, docs).collect()
+    assert sorted(got) == sorted(phrase_hits(asked, LexicalIndex.create(docs)).collect()) and {r.query_id for r in got} == {1, 2, 3, 4, 6}
+    assert len({tuple(sorted((r.doc_id, r.n) for r in got if r.query_id == q)) for q in (1, 2, 3)}) == 1
