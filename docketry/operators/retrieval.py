@@ -6,7 +6,8 @@ Results are rows (query_id, doc_id, score, rank), ranks from 1, ties to the smal
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import INDEX_STOP_WORDS, extract_references, index_terms, keywords, once, phrases
+from docketry.functions.text import INDEX_STOP_WORDS, extract_references, index_terms, keywords, lower_words, once, phrases
 from docketry.operators.lexical import LexicalIndex, placed_terms
 from docketry.sources.scratch import written
 
@@ -22,6 +23,8 @@ from docketry.sources.scratch import written
 SHARD_ROWS, BLOCK_ROWS = 32_768, 4_096
 #: Documents and different questions that one task of a lexical search compares at a time.
 SHARD_DOCS, BLOCK_QUESTIONS = 8_192, 32_768
+#: Different terms whose counts a task holds before it hands them on.
+COUNTED_TERMS = 500_000
 BM25_K1, BM25_B, RRF_K = 1.5, 0.75, 60
 
 
@@ -128,6 +131,41 @@ def _postings(terms: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def bm25_term_counts(docs: DataFrame, stop_words: Sequence[str] = INDEX_STOP_WORDS) -> DataFrame:
+    """(term, df, total) of :func:`bm25_postings` without its rows: texts are dealt and sorted by document, and a task adds up the terms of its documents, ``COUNTED_TERMS`` at a time."""
+    rows = docs.select("doc_id", F.array_join(lower_words(F.col("text")), " ").alias("words")).repartition("doc_id").sortWithinPartitions("doc_id")
+    stops = frozenset(stop_words)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, total, same, last = Counter(), Counter(), {}, None
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"term": list(total), "df": [df[t] for t in total], "total": list(total.values())})
+
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"], batch["words"], strict=True):
+                doc = None if pd.isna(doc) else doc
+                if doc != last:  # rows of one id and length are one document
+                    for seen in same.values():
+                        df.update(seen)
+                    same, last = {}, doc
+                    if len(total) > COUNTED_TERMS:
+                        yield out()
+                        df, total = Counter(), Counter()
+                ws = text.split()
+                if stops.isdisjoint(ws):
+                    terms = [w for w in ws if len(w) >= 2] + list(map("_".join, zip(ws, ws[1:], strict=False)))
+                else:
+                    terms = [w for w in ws if len(w) >= 2 and w not in stops] + [f"{a}_{b}" for a, b in zip(ws, ws[1:], strict=False) if a not in stops or b not in stops]
+                total.update(terms)
+                same.setdefault(len(terms), set()).update(terms)
+        for seen in same.values():
+            df.update(seen)
+        yield out()
+
+    return rows.mapInPandas(count, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame | LexicalIndex, stop_words: Sequence[str] = INDEX_STOP_WORDS, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, doc_id, raw): sums over the query's terms, each as often as the query has it; idf ln((N - n + 0.5) / (n + 0.5) + 1).
 

@@ -243,6 +243,17 @@ def test_lsh_hashes_all_rows_and_shuffles_no_pairs(spark, monkeypatch):
     assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counts_of_terms_are_those_of_the_postings(spark, monkeypatch):
+    """Whatever a task holds at a time; repeated ids, null ids and texts, and stop words too. Rows of postings are not shuffled."""
+    monkeypatch.setattr(R, "COUNTED_TERMS", 5)
+    rows = [(1, "cat dog a của và cat"), (2, "dog cat, DOG"), (2, "cat dog dog"), (2, "cat"), (None, "cat x1"), (None, "cat x1"), (4, None), (5, " "), (6, "của và"), (7, "a")] + [(k, f"w{k % 7} dog") for k in range(10, 60)]
+    docs = texts(spark, rows)
+    want = R.bm25_postings(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    got = R.bm25_term_counts(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+    assert "explode" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_phrases_of_a_table_equal_those_of_an_index(spark):
     draw = random.Random(8)
     rows = [(k, " ".join(draw.choices(["cat", "dog", "và", "của", "x1"], k=draw.randint(0, 25)))) for k in range(80)] + [(90, None), (91, "")]
