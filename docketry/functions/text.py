@@ -26,6 +26,8 @@ INDEX_STOP_WORDS = (
 ANSWER_STOP_WORDS = "và hoặc của cho các những được trong theo tại với có là thì mà ở này đó ra sao bao nhiêu như thế nào gì khi quy định pháp luật".split()
 
 WHITE = r"[\s\p{Z}]"
+#: The characters of WHITE.
+WHITE_SIGNS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NOT_WORD = r"[^\p{L}\p{N}_\s\p{Z}]"
 TOKENS_PER_WORD = 1.3
 
@@ -39,6 +41,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
 
 
+def strip_line(line: Column) -> Column:
+    """:func:`strip` of a column without a search at every blank. Where a line ends in U+0085, before which the pattern's ``$`` stands too, it is that pattern."""
+    return F.when(line.endswith("\u0085"), strip(line)).otherwise(F.btrim(line, F.lit(WHITE_SIGNS)))
+
+
 def clean_text(text: Column) -> Column:
     """No-break spaces to spaces, no BOM or CR, one space for a run of blanks, one empty line for several, trimmed. Null becomes empty."""
     out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), " ﻿\r", " "), r"[ \t]+", " ")

@@ -65,19 +65,23 @@ def appendix_blocks(lines: DataFrame) -> DataFrame:
     """
     w = W.partitionBy("doc_id").orderBy("line_no")
     upto = w.rowsBetween(*_UPTO)
-    before = F.when(F.lag("line_no").over(w) == F.col("line_no") - 1, F.lag("line").over(w))  # an empty line cites nothing
-    cites = reduce(lambda a, b: a | b, [F.lower(before).endswith(x) for x in INLINE_ENDS])
-    free = ~F.coalesce(~before.rlike(FINISHED) & cites, F.lit(False)) & F.lag("line_no").over(w).isNotNull()
+    out = lines.withColumns({"_block": F.col("line").rlike(BLOCK), "_catalog": F.col("line").rlike(CATALOG)})
+    marks = F.col("_block") | F.col("_catalog")  # what follows is computed for the few lines that may begin a block
+    near = marks & (F.lag("line_no").over(w) == F.col("line_no") - 1)  # an empty line cites nothing
+    out = out.withColumns({"_before": F.when(near, F.lower(F.lag("line").over(w))), "_later": F.lag("line_no").over(w).isNotNull()})
+    cites = reduce(lambda a, b: a | b, [F.col("_before").endswith(x) for x in INLINE_ENDS])
+    out = out.withColumn("_free", marks & F.col("_later") & ~F.coalesce(~F.col("_before").rlike(FINISHED) & cites, F.lit(False)))
     capitals = (F.col("line") == F.upper("line")) & (F.col("line") != F.lower("line"))
-    out = lines.withColumns({"_block": free & F.col("line").rlike(BLOCK), "_number": F.nullif(F.regexp_extract("line", BLOCK, 1), F.lit(""))})
-    out = out.withColumns({"_catalog": free & ~F.col("_block") & capitals & F.col("line").rlike(CATALOG), "_blocks": F.sum(F.col("_block").cast("int")).over(upto)})
-    since = W.partitionBy("doc_id", "_blocks").orderBy("line_no").rowsBetween(*_UPTO)
-    bare = F.first(F.when(F.col("_block"), F.col("_number"))).over(since).isNull()
-    out = out.withColumn("_catalog", F.col("_catalog") & bare & (F.sum(F.col("_catalog").cast("int")).over(since) == 1))
+    out = out.withColumns({"_catalog": F.col("_catalog") & F.col("_free") & ~F.col("_block") & capitals, "_block": F.col("_block") & F.col("_free")})
+    out = out.withColumn("_number", F.when(F.col("_block"), F.nullif(F.regexp_extract("line", BLOCK, 1), F.lit(""))))
+    out = out.withColumn("_catalogs", F.sum(F.col("_catalog").cast("int")).over(upto))
+    # the number of the last named block, and the catalogs before it
+    out = out.withColumn("_last", F.last(F.when(F.col("_block"), F.struct(F.col("_number").alias("number"), F.col("_catalogs").alias("n"))), ignorenulls=True).over(upto))
+    out = out.withColumn("_catalog", F.col("_catalog") & F.col("_last.number").isNull() & (F.col("_catalogs") - F.coalesce("_last.n", F.lit(0)) == 1))
     name = F.when(F.col("_block"), F.concat_ws(" ", F.lit("Phụ lục"), "_number")).when(F.col("_catalog"), F.lit("Danh mục"))
     out = out.withColumns({"block": F.sum((F.col("_block") | F.col("_catalog")).cast("int")).over(upto), "appendix_number": F.coalesce(F.last(name, ignorenulls=True).over(upto), F.lit("Phụ lục"))})
-    place = F.col("line_no") - F.min("line_no").over(W.partitionBy(*_KEY))
-    out = out.withColumn("_place", place)
+    begins = F.coalesce(F.last(F.when(F.col("_block") | F.col("_catalog"), F.col("line_no")), ignorenulls=True).over(upto), F.first("line_no").over(upto))
+    out = out.withColumn("_place", F.col("line_no") - begins)
     title = F.when(F.col("_place").between(1, 5) & ~_any(F.col("line"), NO_TITLE), F.struct("line_no", "line"))
     titles = F.array_sort(F.collect_list(title).over(W.partitionBy(*_KEY)))
     out = out.withColumn("appendix_title", F.nullif(F.array_join(F.transform(F.slice(titles, 1, 2), lambda t: t["line"]), " - "), F.lit("")))
@@ -87,12 +91,12 @@ def appendix_blocks(lines: DataFrame) -> DataFrame:
 def with_kind(lines: DataFrame) -> DataFrame:
     """``kind`` of each block by the words in its first lines; the first kind that fits, else ``generic``."""
     whole = W.partitionBy(*_KEY)
-    top = F.when(F.col("place") < KIND_LINES, F.lower("line"))
-    seen = lambda word: F.coalesce(F.bool_or(top.contains(word)).over(whole), F.lit(False))
+    lines = lines.withColumn("_top", F.when(F.col("place") < KIND_LINES, F.lower("line")))
+    seen = lambda word: F.coalesce(F.bool_or(F.col("_top").contains(word)).over(whole), F.lit(False))
     form = F.bool_or((F.col("place") < FORM_LINES) & F.col("line").rlike(FORM)).over(whole)
     every = {k: reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(seen, words)) for words in sets]) for k, sets in KINDS.items()}
     every["form"] = every["form"] | form
-    return lines.withColumn("kind", F.coalesce(*[F.when(c, F.lit(k)) for k, c in every.items()], F.lit("generic")))
+    return lines.withColumn("kind", F.coalesce(*[F.when(c, F.lit(k)) for k, c in every.items()], F.lit("generic"))).drop("_top")
 
 
 def word_spans(words: Sequence[int], heads: Sequence[bool], most: int, least: int = 0) -> list[tuple[int, int, int]]:
@@ -126,7 +130,7 @@ def limited(lines: Column, head: str | None, most: int, least: int = 0) -> Colum
 
     text = lambda x: x["line"]
     marks = F.transform(lines, lambda x: text(x).rlike(head) if head else F.lit(False))
-    at = spans(F.transform(lines, lambda x: word_total(text(x))), marks)
+    at = spans.asNondeterministic()(F.transform(lines, lambda x: word_total(text(x))), marks)
     cut = lambda s: F.transform(F.slice(lines, s["start"] + 1, s["stop"] - s["start"]), text)
     return F.transform(at, lambda s: F.struct(cut(s).alias("lines"), F.when(s["head"] >= 0, text(F.get(lines, s["head"]))).alias("head")))
 
@@ -166,6 +170,8 @@ def form_units(lines: DataFrame, keep_lead: bool = True) -> DataFrame:
     name = F.coalesce(F.concat(F.lit("Mẫu số "), "number"), F.lit("Biểu mẫu"))
     long = F.aggregate("ls", F.lit(0), lambda n, x: n + word_total(x["line"])) > FORM_WORDS
     whole = F.array(F.struct(F.transform("ls", lambda x: x["line"]).alias("lines"), F.lit(None).cast("string").alias("head")))
+    forms = forms.withColumn("_long", long)
+    long = F.col("_long")
     cut = forms.withColumn("cut", F.when(long, limited(F.col("ls"), None, FORM_PART_WORDS)).otherwise(whole)).withColumn("_parts", F.size("cut"))
     cut = cut.select("*", F.posexplode("cut").alias("part", "u"))
     title = F.coalesce("t.line", name)
@@ -192,7 +198,7 @@ def occupation_units(lines: DataFrame, keep_lead: bool = True, batch: int = ENTR
     sector = last("_sector", F.struct(F.regexp_extract("line", SECTOR, 1).alias("id"), strip(F.regexp_extract("line", SECTOR, 2)).alias("title")), upto)
     tier = last("_tier", F.concat(F.lit("Điều kiện lao động loại "), F.regexp_extract("line", TIER, 1)), W.partitionBy(*_KEY, "_s").orderBy("line_no").rowsBetween(*_UPTO))
     rows = rows.withColumns({"sector": sector, "tier": F.coalesce(tier, F.lit(FIRST_TIER)), "_n": F.sum(F.col("_entry").cast("int")).over(W.partitionBy(*_KEY, "_g").orderBy("line_no").rowsBetween(*_UPTO))})
-    leads = _leads(lines.join(rows.select(*_KEY, "line_no", (F.col("_entry") | F.col("_sector") | F.col("_tier")).alias("_mark")), [*_KEY, "line_no"]), F.col("_mark")) if keep_lead else None
+    leads = _leads(rows, F.col("_entry") | F.col("_sector") | F.col("_tier")) if keep_lead else None
     inside = rows.filter("_n > 0 AND NOT _sector AND NOT _tier")
     same = [F.first(c, ignorenulls=True).alias(c) for c in ("appendix_number", "appendix_title", "sector", "tier")]
     said = F.array_sort(F.collect_list(F.when(~F.col("_entry") & ~F.col("_title"), F.struct("line_no", "line"))))

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import content_hash_id, estimate_tokens, restore_metadata, word_total
+from docketry.functions.text import WHITE_SIGNS, content_hash_id, estimate_tokens, restore_metadata
 from docketry.operators.appendices import appendix_units
 from docketry.operators.structure import (
     APPENDIX,
@@ -65,6 +67,7 @@ def pack_text(text: str, config: ChunkConfig, prefix: str = "", most: int | None
     room = max(config.least, most - config.tokens(prefix))
     pieces: list[str] = []
     held: list[str] = []
+    sizes: list[int] = []  # tokens of the sentences in held
 
     def put(body: str) -> None:
         pieces.append(f"{prefix}\n{body}".strip() if prefix else body)
@@ -74,7 +77,7 @@ def pack_text(text: str, config: ChunkConfig, prefix: str = "", most: int | None
         if size > room:
             if held:
                 put(" ".join(held))
-                held = []
+                held, sizes = [], []
             words, width, back = sentence.split(), config.words(room), config.words(config.overlap)
             at = 0
             while at < len(words):
@@ -83,16 +86,15 @@ def pack_text(text: str, config: ChunkConfig, prefix: str = "", most: int | None
                     break
                 at = max(at + 1, at + width - back)
             continue
-        if held and sum(map(config.tokens, held)) + size > room:
+        if held and sum(sizes) + size > room:
             put(" ".join(held))
-            kept, total = [], 0
-            for earlier in reversed(held):
-                total += config.tokens(earlier)
-                if total > config.overlap:
-                    break
-                kept.insert(0, earlier)
-            held = kept
+            first, total = len(held), 0
+            while first and total + sizes[first - 1] <= config.overlap:
+                first -= 1
+                total += sizes[first]
+            held, sizes = held[first:], sizes[first:]
         held.append(sentence)
+        sizes.append(size)
     if held:
         put(" ".join(held))
     return pieces
@@ -102,7 +104,7 @@ def merge_short(pieces: Sequence[str], config: ChunkConfig, joint: str = "\n") -
     """K5: neighbours join while the last one is under ``least`` and both together are within ``target``."""
     out: list[str] = []
     for piece in pieces:
-        if out and config.tokens(out[-1]) < config.least and config.tokens(out[-1]) + config.tokens(piece) <= config.target:
+        if out and (held := config.tokens(out[-1])) < config.least and held + config.tokens(piece) <= config.target:
             out[-1] += joint + piece
         else:
             out.append(piece)
@@ -137,14 +139,18 @@ def merge_headers(pieces: Sequence[str], config: ChunkConfig, joint: str = "\n")
 
 def point_packs(points: Sequence[str], lead: str, config: ChunkConfig) -> list[range]:
     """K4: numbers of the points of each pack, up to ``target`` tokens with the clause's lead repeated; a small last pack joins the one before."""
-    tokens = lambda some: config.tokens("\n".join([lead, *(points[k] for k in some)]))
+    words, above = [len(p.split()) for p in points], len(lead.split())
+    tokens = lambda n: math.ceil(n * config.per_word)
     packs: list[range] = []
-    for k in range(len(points)):
-        if packs and tokens(range(packs[-1].start, k + 1)) <= config.target:
+    held = 0  # words of the last pack
+    for k, size in enumerate(words):
+        if packs and tokens(above + held + size) <= config.target:
             packs[-1] = range(packs[-1].start, k + 1)
+            held += size
         else:
             packs.append(range(k, k + 1))
-    if len(packs) > 1 and config.tokens("\n".join(points[k] for k in packs[-1])) < config.least and tokens(range(packs[-2].start, len(points))) <= config.most:
+            held = size
+    if len(packs) > 1 and tokens(held) < config.least and tokens(above + sum(words[packs[-2].start :])) <= config.most:
         packs[-2:] = [range(packs[-2].start, len(points))]
     return packs
 
@@ -281,7 +287,9 @@ def bounded_parts(parts: Sequence[Part], config: ChunkConfig) -> list[Part]:
     return out
 
 
-PART = "array<struct<name: string, clause: string, point: string, content: string, content_type: string>>"
+PART = "array<struct<name: string, clause: string, point: string, content: string, content_type: string, words: int>>"
+#: A word as ``word_total`` counts it.
+WORD = re.compile(f"[^{WHITE_SIGNS}]+")
 #: What a chunk has of its own before it gets its document's fields.
 OWN_FIELDS = (
     "chapter_number", "chapter_title", "section_number", "section_title", "article_number", "article_title", "clause_number", "point_number", "parent_article", "content_type",
@@ -327,14 +335,14 @@ def article_chunks(rows: DataFrame, config: ChunkConfig) -> DataFrame:
     @F.pandas_udf(PART)
     def cut(frame: pd.DataFrame) -> pd.Series:
         parts = [bounded_parts(article_parts(r.number, r.title, list(r.lines), config), config) for r in frame.itertuples(index=False)]
-        return pd.Series([[vars(p) for p in ps] for ps in parts], dtype=object)
+        return pd.Series([[vars(p) | {"words": words_of(p.content)} for p in ps] for ps in parts], dtype=object)
 
     parts = cut(F.struct(name.alias("number"), F.col("h.full_title").alias("title"), own.alias("lines")))
     chunks = grouped.select("doc_id", "_unit", "h", F.posexplode(parts).alias("_part", "p"))
     titled = lambda c: F.when(F.col(f"h.{c}").isNotNull(), F.col(f"h.{c}_title")).alias(f"{c}_title")
     none = F.lit(None).cast("string")
     return chunks.select(
-        "doc_id", place(F.lit(0), F.col("_unit"), F.lit(0), F.col("_part")), F.concat(F.col("doc_id").cast("string"), F.lit("_Điều"), F.col("h.number"), F.col("p.name")).alias("_name"), "p.content",
+        "doc_id", place(F.lit(0), F.col("_unit"), F.lit(0), F.col("_part")), F.concat(F.col("doc_id").cast("string"), F.lit("_Điều"), F.col("h.number"), F.col("p.name")).alias("_name"), "p.content", F.col("p.words").alias("_words"),
         F.concat(F.lit("Chương "), F.col("h.chapter")).alias("chapter_number"), titled("chapter"), F.concat(F.lit("Mục "), F.col("h.section")).alias("section_number"), titled("section"),
         F.concat(F.lit("Điều "), F.col("h.number")).alias("article_number"), F.col("h.full_title").alias("article_title"), F.col("p.clause").alias("clause_number"), F.col("p.point").alias("point_number"),
         F.concat_ws("_", F.col("doc_id").cast("string"), F.concat(F.lit("Điều"), F.col("h.number"))).alias("parent_article"), "p.content_type", none.alias("appendix_number"), none.alias("appendix_title"),
@@ -344,16 +352,22 @@ def article_chunks(rows: DataFrame, config: ChunkConfig) -> DataFrame:
 def appendix_chunks(units: DataFrame, config: ChunkConfig) -> DataFrame:
     """K7: the same of appendix units; one over ``most`` tokens is cut at sentences, each piece under the appendix's number and title."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<text: string, words: int>>")
     def cut(texts: pd.Series, heads: pd.Series) -> pd.Series:
-        return pd.Series([[part for piece in pack_text(t, config, h) for part in pack_text(piece, config)] for t, h in zip(texts, heads, strict=True)], dtype=object)
+        found = ([part for piece in pack_text(t, config, h) for part in pack_text(piece, config)] for t, h in zip(texts, heads, strict=True))
+        return pd.Series([[{"text": x, "words": words_of(x)} for x in parts] for parts in found], dtype=object)
 
-    pieces = cut("content", F.concat_ws(" ", "appendix_number", "appendix_title"))
-    rows = units.withColumn("_pieces", pieces).withColumn("_many", F.size("_pieces") > 1).select("*", F.posexplode("_pieces").alias("_k", "_text")).drop("content", "_pieces")
+    pieces = cut.asNondeterministic()("content", F.concat_ws(" ", "appendix_number", "appendix_title"))  # else the filter of the generator cuts every text a second time
+    rows = units.withColumn("_pieces", pieces).withColumn("_many", F.size("_pieces") > 1).select("*", F.posexplode("_pieces").alias("_k", "_piece")).drop("content", "_pieces")
     name = F.concat(F.col("doc_id").cast("string"), F.col("name"), F.when(F.col("_many"), F.concat(F.lit("_"), F.col("_k") + 1)).otherwise(""))
     at = place(F.col("block") + 1, F.col("unit"), F.col("part"), F.col("_k"))
     own = [F.col(c) if c in units.columns else F.lit(None).cast("string").alias(c) for c in OWN_FIELDS]
-    return rows.select("doc_id", at, name.alias("_name"), F.col("_text").alias("content"), *own)
+    return rows.select("doc_id", at, name.alias("_name"), F.col("_piece.text").alias("content"), F.col("_piece.words").alias("_words"), *own)
+
+
+def words_of(text: str) -> int:
+    """``word_total`` of a text that is in Python already."""
+    return len(WORD.findall(text))
 
 
 def place(*parts: Column) -> Column:
@@ -381,20 +395,29 @@ def header_runs(words: Sequence[int], headers: Sequence[bool], config: ChunkConf
 
 
 def finish_chunks(chunks: DataFrame, meta: DataFrame, config: ChunkConfig) -> DataFrame:
-    """K8, K9 and the fields of a chunk: headers join the next chunk, chunks are numbered in their document, the document's fields are joined by its id."""
-
-    @F.pandas_udf("array<int>")
-    def runs(words: pd.Series, headers: pd.Series) -> pd.Series:
-        return pd.Series([header_runs(list(w), list(h), config) for w, h in zip(words, headers, strict=True)], dtype=object)
-
-    of_doc = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_name", "content", *OWN_FIELDS))).alias("cs"))
-    sizes, headers = F.transform("cs", lambda c: word_total(c["content"])), F.transform("cs", lambda c: c["content_type"].isin(*HEADER_TYPES))
-    rows = of_doc.withColumn("_runs", runs(sizes, headers)).select("doc_id", F.explode(F.arrays_zip("cs", "_runs")).alias("x")).select("doc_id", "x.cs.*", F.col("x._runs").alias("chunk_index"))
-    fields = ["_name", *OWN_FIELDS]
-    merged = rows.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_at", "content"))).alias("cs"), F.max_by(F.struct(*fields), "_at").alias("f"))
-    out = merged.select("doc_id", "f.*", F.array_join(F.transform("cs", lambda x: x["content"]), "\n\n").alias("content"), "chunk_index")
+    """K8, K9 and the fields of a chunk: headers join the next chunk, chunks are numbered in their document, the document's fields are joined by its id.
+
+    All is done on the array of a document's chunks, so texts are shuffled once.
+    """
+
+    @F.pandas_udf("array<struct<start: int, size: int>>")
+    def spans(words: pd.Series, headers: pd.Series) -> pd.Series:
+        found = [Counter(header_runs(list(w), list(h), config)) for w, h in zip(words, headers, strict=True)]
+        return pd.Series([[{"start": at, "size": n} for at, n in zip(accumulate(c.values(), initial=0), c.values(), strict=False)] for c in found], dtype=object)
+
+    own = F.struct("_name", *OWN_FIELDS).alias("f")
+    of_doc = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", own, "content", "_words"))).alias("cs"))
+    of_doc = of_doc.join(meta.withColumnRenamed("document_id", "doc_id").drop("issuing_authority"), "doc_id")
+    sizes, headers = F.transform("cs", lambda c: c["_words"]), F.transform("cs", lambda c: c["f"]["content_type"].isin(*HEADER_TYPES))
+
+    def run(s: Column) -> Column:
+        pieces = F.slice("cs", s["start"] + 1, s["size"])
+        return F.struct(F.element_at("cs", s["start"] + s["size"])["f"].alias("f"), F.array_join(F.transform(pieces, lambda c: c["content"]), "\n\n").alias("content"))
+
+    # not deterministic: else the filter of the generator folds and joins a second time
+    rows = of_doc.select("*", F.posexplode(F.transform(spans.asNondeterministic()(sizes, headers), run)).alias("chunk_index", "run")).drop("cs")
+    out = rows.select("*", "run.f.*", "run.content").drop("run")
     out = out.withColumn("chunk_id", F.concat_ws("_", F.regexp_replace("_name", r"\s+", ""), F.col("chunk_index").cast("string"))).drop("_name")
-    out = out.join(meta.withColumnRenamed("document_id", "doc_id").drop("issuing_authority"), "doc_id")
     return out.withColumnRenamed("doc_id", "document_id").withColumn("parent_document", F.col("document_id")).select(*CHUNK_FIELDS)
 
 

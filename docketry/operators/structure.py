@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import strip, word_total
+from docketry.functions.text import once, strip, strip_line, word_total
 
 # Words that head a chapter, section, article and appendix; the number is in group 1 and the rest of the line in group 2.
 HEADINGS = {
@@ -45,7 +45,7 @@ LETTERS = "a b c d đ e g h i k l m n o p q r s t u v x y".split()
 def to_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no from 0, line) with trimmed lines, empty ones left out. A null text has no lines."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\r?\n")).alias("line_no", "line"))
-    return lines.withColumn("line", strip(F.col("line"))).filter("line <> ''")
+    return lines.withColumn("line", strip_line(F.col("line"))).filter("line <> ''")
 
 
 def by_line(frame: tuple[int, int] | None = None):
@@ -66,10 +66,15 @@ def _beside(step: int, most: int) -> Column:
     return F.when(near, F.lead("line", step).over(by_line()))
 
 
+def _beside_marks(rows: DataFrame, marks: Column) -> DataFrame:
+    """``_before``, the line before in small letters, and ``_next``, the next line, as columns of their own, so that each is computed once a row, and only where ``marks`` holds."""
+    return rows.withColumns({"_before": F.when(marks, F.lower(_beside(-1, LINES_BEFORE))), "_next": F.when(marks, _beside(1, LINES_AFTER))})
+
+
 def _introduced(introducers: Sequence[str]) -> Column:
-    """The line before is unfinished and one of ``introducers`` stands in its last 30 characters."""
-    before = F.lower(_beside(-1, LINES_BEFORE))
-    return ~before.rlike(TERMINAL) & F.greatest(F.lit(False), F.lit(False), *[F.right(before, F.lit(30)).contains(w) for w in introducers])
+    """The line ``_before`` is unfinished and one of ``introducers`` stands in its last 30 characters."""
+    said = F.right("_before", F.lit(30)).rlike("|".join(rf"\Q{w}\E" for w in introducers)) if introducers else F.lit(False)
+    return ~F.col("_before").rlike(TERMINAL) & said
 
 
 def reject_references(
@@ -81,9 +86,8 @@ def reject_references(
     an article either is cited if the next line goes on with a clause or a small letter. An article is cited unless ``article_rest`` follows its number, by
     ``;`` at its end, and if the unfinished line before ends in one of ``phrase_ends`` or in the number of a clause, article or point. A title over two lines that is cut after ``,`` stays a heading.
     """
-    upto = by_line((W.unboundedPreceding, W.currentRow))
-    before = F.lower(_beside(-1, LINES_BEFORE))
-    ends = F.greatest(F.lit(False), F.lit(False), *[before.endswith(w) for w in phrase_ends]) | before.rlike(r"(?:khoản|điều|điểm)\s+\d+$")
+    before = F.col("_before")
+    ends = before.rlike("|".join([*(rf"\Q{w}\E\z" for w in phrase_ends), r"(?:khoản|điều|điểm)\s+\d+$"]))
     sure = lambda c: F.coalesce(c, F.lit(False))
     introduced = sure(_introduced(introducers))
     article = F.col("title").rlike(article_rest) & ~F.col("line").endswith(";") & ~sure(~before.rlike(TERMINAL) & ends)
@@ -93,14 +97,14 @@ def reject_references(
         .when(F.col("kind").isin("chapter", "section"), F.col("title").rlike(suffix) | introduced | ((F.col("kind") == "chapter") & F.col("line").rlike("[,;]$")))
         .otherwise(False)
     )
-    goes_on = sure(_beside(1, LINES_AFTER).rlike(r"^(?:\d+\.\s|\p{Ll})")) & F.col("kind").isin("chapter", "section")
-    out = headings.withColumns({"_cited": sure(cited), "_goes_on": goes_on})
+    goes_on = F.col("kind").isin("chapter", "section") & sure(F.col("_next").rlike(r"^(?:\d+\.\s|\p{Ll})"))
+    out = _beside_marks(headings, F.col("kind").isNotNull()).withColumns({"_cited": F.when(F.col("kind").isNull(), False).otherwise(sure(cited)), "_goes_on": goes_on})
     # a heading that goes on is one only where no article is open, so it never changes whether one is
     opens = F.when(~F.col("_cited") & ~F.col("_goes_on") & F.col("kind").isin("chapter", "section", "article"), F.col("kind") == "article")
     inside = sure(F.last(opens, ignorenulls=True).over(by_line((W.unboundedPreceding, -1))))
     out = out.withColumn("_kind", F.when(~(F.col("_cited") | (F.col("_goes_on") & inside)), F.col("kind")))
     kept = {c: F.when(F.col("_kind").isNotNull(), F.col(c)) for c in ("number", "title")}
-    return out.withColumns(kept).withColumnRenamed("kind", "candidate").withColumnRenamed("_kind", "kind").drop("_cited", "_goes_on")
+    return out.withColumns(kept).withColumnRenamed("kind", "candidate").withColumnRenamed("_kind", "kind").drop("_cited", "_goes_on", "_before", "_next")
 
 
 def flag_appendix_start(headings: DataFrame, ahead: int = 150, introducers: Sequence[str] = INTRODUCERS, appendix: str = APPENDIX, suffix: str = APPENDIX_SUFFIX) -> DataFrame:
@@ -117,13 +121,15 @@ def flag_appendix_start(headings: DataFrame, ahead: int = 150, introducers: Sequ
     window = W.partitionBy("doc_id").orderBy("line_no").rangeBetween(1, ahead - 1)
     higher = F.max(number).over(window) > F.col("_open")
     chapter = F.max((kind == "chapter").cast("int")).over(window) == 1
-    before = F.lower(_beside(-1, LINES_BEFORE))
+    before = F.col("_before")
     cited = strip(F.regexp_replace("line", appendix, "")).rlike(suffix) | _introduced(introducers) | (~before.rlike(TERMINAL) & before.rlike(r"(?:khoản|điều|điểm|mẫu)\s+\d*$"))
-    goes_on = _beside(1, LINES_AFTER).rlike(r"^(?:\d+\.\s+|[a-zđ]\)\s+|\p{Ll})")
+    goes_on = F.col("_next").rlike(r"^(?:\d+\.\s+|[a-zđ]\)\s+|\p{Ll})")
     no = F.lit(False)
-    for c in (higher, chapter, cited, goes_on):
+    for c in (F.col("_higher"), F.col("_chapter_ahead"), cited, goes_on):
         no = no | F.coalesce(c, F.lit(False))
-    return out.withColumn("appendix_start", (F.coalesce(kind, F.lit("")) == "appendix") & F.coalesce(F.col("_any"), F.lit(False)) & ~no).drop("_open", "_any")
+    named = F.coalesce(kind, F.lit("")) == "appendix"
+    out = _beside_marks(out.withColumns({"_higher": higher, "_chapter_ahead": chapter}), named)
+    return out.withColumn("appendix_start", F.when(named & F.coalesce(F.col("_any"), F.lit(False)), ~no).otherwise(False)).drop("_open", "_any", "_higher", "_chapter_ahead", "_before", "_next")
 
 
 def join_title_lines(headings: DataFrame, most: int = 4) -> DataFrame:
@@ -134,24 +140,35 @@ def join_title_lines(headings: DataFrame, most: int = 4) -> DataFrame:
     ``most`` lines before the next heading.
     """
     marker = r"^(?:(?iu:Điều|Chương|Mục)(?![\p{L}\p{N}_])|(?:\d+\.|[a-zđ]\))(?=[\p{L}\p{N}_]))"
-    after = lambda n: F.lead("line", n).over(by_line())
-    own = strip(F.regexp_replace("title", r"^[.:\-\s–—]+", ""))
-    title, taken, parts, open_ = F.nullif(own, F.lit("")), F.lit(0), (own != "").cast("int"), F.lit(True)
-    last = own
-    for n in range(1, most + 1):
-        fits = (F.lead("line_no", n).over(by_line()) == F.col("line_no") + n) & ~after(n).rlike(marker)
-        wants = (parts == 0) | last.rlike(r"(?iu)(?:[,:\-]|(?<![\p{L}\p{N}_])(?:của|về|và|đối\s+với|trong|cho)\s*)$") | after(n).rlike(r"^\p{Ll}")
-        open_ = open_ & F.coalesce(fits & wants & (parts < most), F.lit(False))
-        title = F.when(open_, F.concat_ws(" ", title, after(n))).otherwise(title)
-        taken, parts, last = taken + open_.cast("int"), parts + open_.cast("int"), F.when(open_, after(n)).otherwise(last)
-    heads = F.when(F.col("kind") == "article", F.struct(title.alias("t"), taken.alias("n")))
-    more, number_of, going = F.lit(None).cast("string"), F.lit(0), own == ""
-    for n in range(1, most + 1):
-        going = going & F.coalesce(F.lead("kind", n).over(by_line()).isNull() & after(n).isNotNull() & ~after(n).rlike(r"^(?iu:Điều|Chương|Mục)\s+[\dIVXLCDM]"), F.lit(False))
-        more, number_of = F.when(going, F.concat_ws(" ", more, after(n))).otherwise(more), number_of + going.cast("int")
-    above = F.when(F.col("kind").isin("chapter", "section"), F.struct(F.coalesce(F.nullif(own, F.lit("")), more).alias("t"), number_of.alias("n")))
+    own = F.col("_own")
+    # the lines that follow a heading, for folds that read each of them once
+    nexts = [F.struct((F.lead("line_no", n).over(by_line()) == F.col("line_no") + n).alias("near"), F.lead("line", n).over(by_line()).alias("line"), F.lead("kind", n).over(by_line()).alias("kind")) for n in range(1, most + 1)]
+    marks = F.col("kind").isin("article", "chapter", "section")
+    headings = headings.withColumn("_nexts", F.when(marks, F.array(*nexts))).withColumn("_own", F.when(marks, strip(F.regexp_replace("title", r"^[.:\-\s–—]+", ""))))
+    first = F.when(own != "", own)
+
+    def goes_on(a: Column, x: Column) -> Column:
+        fits = x["near"] & ~x["line"].rlike(marker)
+        wants = (a["parts"] == 0) | a["last"].rlike(r"(?iu)(?:[,:\-]|(?<![\p{L}\p{N}_])(?:của|về|và|đối\s+với|trong|cho)\s*)$") | x["line"].rlike(r"^\p{Ll}")
+        step = F.when(a["open"] & (a["parts"] < most), fits & wants)
+        return once(F.coalesce(step, F.lit(False)), lambda go: _state(F.when(go, F.concat_ws(" ", a["t"], x["line"])).otherwise(a["t"]), a["n"] + go.cast("int"), a["parts"] + go.cast("int"), go, F.when(go, x["line"]).otherwise(a["last"])))
+
+    def stands_below(a: Column, x: Column) -> Column:
+        step = F.when(a["open"], x["kind"].isNull() & x["line"].isNotNull() & ~x["line"].rlike(r"^(?iu:Điều|Chương|Mục)\s+[\dIVXLCDM]"))
+        return once(F.coalesce(step, F.lit(False)), lambda go: _state(F.when(go, F.concat_ws(" ", a["t"], x["line"])).otherwise(a["t"]), a["n"] + go.cast("int"), a["parts"], go, a["last"]))
+
+    heads = F.when(F.col("kind") == "article", F.aggregate("_nexts", _state(first, F.lit(0), (own != "").cast("int"), F.lit(True), own), goes_on))
+    below = F.aggregate("_nexts", _state(F.lit(None), F.lit(0), F.lit(0), own == "", own), stands_below)
+    above = F.when(F.col("kind").isin("chapter", "section"), below)
     out = headings.withColumn("_t", F.coalesce(heads, above))
-    return out.withColumns({"full_title": F.col("_t.t"), "title_lines": F.col("_t.n")}).drop("_t")
+    title = F.when(F.col("kind") == "article", F.col("_t.t")).otherwise(F.coalesce(first, F.col("_t.t")))
+    return out.withColumns({"full_title": title, "title_lines": F.col("_t.n")}).drop("_t", "_nexts", "_own")
+
+
+def _state(title: Column, lines: Column, parts: Column, open_: Column, last: Column) -> Column:
+    """What a fold over the lines below a heading holds: the title so far, the lines it took, its parts, whether it goes on, and its last part."""
+    named = {"t": title.cast("string"), "n": lines.cast("int"), "parts": parts.cast("int"), "open": open_.cast("boolean"), "last": last.cast("string")}
+    return F.struct(*[c.alias(k) for k, c in named.items()])
 
 
 def carry_hierarchy(headings: DataFrame) -> DataFrame:
