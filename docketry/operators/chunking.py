@@ -7,10 +7,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -395,29 +393,21 @@ def header_runs(words: Sequence[int], headers: Sequence[bool], config: ChunkConf
 
 
 def finish_chunks(chunks: DataFrame, meta: DataFrame, config: ChunkConfig) -> DataFrame:
-    """K8, K9 and the fields of a chunk: headers join the next chunk, chunks are numbered in their document, the document's fields are joined by its id.
-
-    All is done on the array of a document's chunks, so texts are shuffled once.
-    """
-
-    @F.pandas_udf("array<struct<start: int, size: int>>")
-    def spans(words: pd.Series, headers: pd.Series) -> pd.Series:
-        found = [Counter(header_runs(list(w), list(h), config)) for w, h in zip(words, headers, strict=True)]
-        return pd.Series([[{"start": at, "size": n} for at, n in zip(accumulate(c.values(), initial=0), c.values(), strict=False)] for c in found], dtype=object)
-
-    own = F.struct("_name", *OWN_FIELDS).alias("f")
-    of_doc = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", own, "content", "_words"))).alias("cs"))
-    of_doc = of_doc.join(meta.withColumnRenamed("document_id", "doc_id").drop("issuing_authority"), "doc_id")
-    sizes, headers = F.transform("cs", lambda c: c["_words"]), F.transform("cs", lambda c: c["f"]["content_type"].isin(*HEADER_TYPES))
-
-    def run(s: Column) -> Column:
-        pieces = F.slice("cs", s["start"] + 1, s["size"])
-        return F.struct(F.element_at("cs", s["start"] + s["size"])["f"].alias("f"), F.array_join(F.transform(pieces, lambda c: c["content"]), "\n\n").alias("content"))
-
-    # not deterministic: else the filter of the generator folds and joins a second time
-    rows = of_doc.select("*", F.posexplode(F.transform(spans.asNondeterministic()(sizes, headers), run)).alias("chunk_index", "run")).drop("cs")
-    out = rows.select("*", "run.f.*", "run.content").drop("run")
+    """K8, K9 and the fields of a chunk: headers join the next chunk, chunks are numbered in their document, the document's fields are joined by its id."""
+
+    @F.pandas_udf("array<int>")
+    def runs(words: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([header_runs(list(w), list(h), config) for w, h in zip(words, headers, strict=True)], dtype=object)
+
+    of_doc = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_name", "content", "_words", *OWN_FIELDS))).alias("cs"))
+    sizes, headers = F.transform("cs", lambda c: c["_words"]), F.transform("cs", lambda c: c["content_type"].isin(*HEADER_TYPES))
+    # not deterministic: else the filter of the generator folds a second time
+    rows = of_doc.withColumn("_runs", runs.asNondeterministic()(sizes, headers)).select("doc_id", F.explode(F.arrays_zip("cs", "_runs")).alias("x")).select("doc_id", "x.cs.*", F.col("x._runs").alias("chunk_index"))
+    fields = ["_name", *OWN_FIELDS]
+    merged = rows.groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("_at", "content"))).alias("cs"), F.max_by(F.struct(*fields), "_at").alias("f"))
+    out = merged.select("doc_id", "f.*", F.array_join(F.transform("cs", lambda x: x["content"]), "\n\n").alias("content"), "chunk_index")
     out = out.withColumn("chunk_id", F.concat_ws("_", F.regexp_replace("_name", r"\s+", ""), F.col("chunk_index").cast("string"))).drop("_name")
+    out = out.join(meta.withColumnRenamed("document_id", "doc_id").drop("issuing_authority"), "doc_id")
     return out.withColumnRenamed("doc_id", "document_id").withColumn("parent_document", F.col("document_id")).select(*CHUNK_FIELDS)
 
 
